@@ -30,13 +30,13 @@ more) don't make a passage by themselves.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +50,10 @@ BLOCK, ANCHORS = 10, 4
 DENSE_BLOCK, DENSE_ANCHORS = 5, 3
 #: At most one token in so many of a passage is replaced, with at least APART matches between two replaced ones.
 MISMATCH, APART = 7, 3
+#: Tokens in a row that match somewhere in every passage: its replaced words and one line mark leave at least one such run.
+RUN, DENSE_RUN = 5, 3
+#: Offsets that are looked at at a time.
+CHUNK = 4_096
 #: Tokens that line marks may put between two runs of a passage.
 DRIFT = 2
 #: Items in which a sentence stands from which it is a stock sentence, and least words of a passage outside of them: of an exact one, of one with replaced words.
@@ -60,9 +64,9 @@ ITEMS = 5_000
 NEAR = 60
 
 _DENSE = "぀-ヿ㐀-鿿฀-๿"
-_TOKEN = regex.compile(rf"[{_DENSE}]|[^\W_{_DENSE}]+")
-_DENSE_CHAR = regex.compile(rf"[{_DENSE}]")
-_HIDDEN = regex.compile("[­​-‏⁠﻿]")
+_TOKEN = re.compile(rf"[{_DENSE}]|[^\W_{_DENSE}]+")
+_DENSE_CHAR = re.compile(rf"[{_DENSE}]")
+_HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 
 def tokens(text: str) -> list[str]:
@@ -153,6 +157,7 @@ def passages(item: Item, doc: np.ndarray, offsets: list[int]) -> list[tuple[int,
     """(start, end, replaced) of item passages that stand in a document, along the given offsets."""
     runs = []
     m, n = len(item.ids), len(doc)
+    offsets = sorted({o + d for o in offsets for d in range(-DRIFT, DRIFT + 1)})  # line marks may have moved a part of the passage
     for off in offsets:
         lo, hi = max(0, -off), min(m, n - off)
         if hi - lo < 2:
@@ -189,6 +194,30 @@ def passages(item: Item, doc: np.ndarray, offsets: list[int]) -> list[tuple[int,
     return best
 
 
+class Runs:
+    """Looks for runs of matching tokens at many offsets of a document at once."""
+
+    def __init__(self, items: list[Item]):
+        longest = max((len(i.ids) for i in items), default=0)
+        self.items = np.full((len(items), longest), -2, dtype=np.int32)
+        for n, i in enumerate(items):
+            self.items[n, : len(i.ids)] = i.ids
+        self.run = np.array([DENSE_RUN if i.dense else RUN for i in items], dtype=np.int8)
+        self.places = np.arange(longest)
+
+    def keep(self, doc: np.ndarray, item: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which of the (item, offset) candidates have a run."""
+        out = np.zeros(len(item), dtype=bool)
+        for k in range(0, len(item), CHUNK):
+            at = off[k : k + CHUNK, None] + self.places
+            inside = (at >= 0) & (at < len(doc))
+            same = (doc[np.where(inside, at, 0)] == self.items[item[k : k + CHUNK]]) & inside
+            run = same[:, :-2] & same[:, 1:-1] & same[:, 2:]
+            long = run[:, :-2] & run[:, 2:]
+            out[k : k + CHUNK] = np.where(self.run[item[k : k + CHUNK]] == RUN, long.any(axis=1), run.any(axis=1))
+        return out
+
+
 _COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 _INDEX = pa.schema([("doc_id", pa.int64()), ("term", pa.list_(pa.int32())), ("pos", pa.list_(pa.int32())), ("tokens", pa.binary())])
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("replaced", pa.int32())])
@@ -197,7 +226,6 @@ _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", p
 def _search(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
     spark = documents.sparkSession
     items, terms = read_items(rows)
-    items_by_n = items
     if not terms:
         return None
     vocabulary = frozenset(terms)
@@ -233,6 +261,7 @@ def _search(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | No
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _INDEX)], schema=_INDEX)
 
     postings = corpus.mapInArrow(index, "doc_id bigint, term array<int>, pos array<int>, tokens binary").persist()
+    postings.count()  # both sides of the join below read the index; this makes it once
     listed = pd.DataFrame({"term": np.searchsorted(pairs, [a[0] for a in anchors]), "item": [a[1] for a in anchors], "item_pos": [a[2] for a in anchors]}).astype("int32")
     wanted = spark.createDataFrame(pa.Table.from_pandas(listed, preserve_index=False))
     hits = (
@@ -246,17 +275,27 @@ def _search(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | No
     # offsets of one document and item: at most as many as the document has tokens
     candidates = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item", "off")).alias("candidates"))
 
+    runs = Runs(items)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc, found, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            found = b.column(1)
+            first = found.offsets.to_numpy()
+            item_of = found.values.field(0).to_numpy(zero_copy_only=False)
+            offset_of = found.values.field(1).to_numpy(zero_copy_only=False)
+            for row, (doc, packed) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
                 ids = np.frombuffer(packed, dtype=np.int32)
+                own, off = item_of[first[row] : first[row + 1]], offset_of[first[row] : first[row + 1]]
+                kept = runs.keep(ids, own, off)
+                if not kept.any():
+                    continue
                 offsets: dict[int, list[int]] = defaultdict(list)
-                for c in found:
-                    offsets[c["item"]].append(c["off"])
+                for n, o in zip(own[kept].tolist(), off[kept].tolist()):
+                    offsets[n].append(o)
                 for n, offs in offsets.items():
-                    item = items_by_n[n]
-                    good = passages(item, ids, sorted({o + d for o in offs for d in (-1, 0, 1)}) if len(offs) > 1 else offs)
+                    item = items[n]
+                    good = passages(item, ids, offs)
                     if good:
                         start, end, replaced = max(good, key=lambda p: (p[1] - p[0], -p[2]))
                         out[0].append(doc)
