@@ -247,14 +247,13 @@ def quantile_table(stats: DataFrame, least: int = 200) -> DataFrame:
     documents without a known language.
     """
     own = sketches(stats)
-    whole = own.agg(*(F.kll_merge_agg_double(s).alias(f"all_{s}") for s in STATISTICS))
+    whole = own.agg(*(F.kll_merge_agg_double(s).alias(s) for s in STATISTICS)).first()  # one row of sketches of fixed size
 
     def quantiles(sketch: Column) -> Column:
         return F.array(*(F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in LEVELS))
 
     few = (F.col("n") < least) | (F.col("language") == "und")
-    joined = own.crossJoin(F.broadcast(whole))  # one row with the sketches of the corpus
-    return joined.select("language", "n", *(quantiles(F.when(few, F.col(f"all_{s}")).otherwise(F.col(s))).alias(f"q_{s}") for s in STATISTICS))
+    return own.select("language", "n", *(quantiles(F.when(few, F.lit(whole[s])).otherwise(F.col(s))).alias(f"q_{s}") for s in STATISTICS))
 
 
 def scored_statistics(documents: DataFrame, least: int = 200) -> DataFrame:
