@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from spanloom.plans import record_queries, score_queries, segment_queries, store_queries
 
-from spanloom.plans import record_queries
-from spanloom.tables import read
+flagship = store_queries.voted_agreement
 
-QUERIES = record_queries.QUERIES
-ORACLE_SQL = record_queries.ORACLE_SQL
-
-
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").groupBy("lang").count()
+QUERIES = record_queries.QUERIES | segment_queries.QUERIES | score_queries.QUERIES | store_queries.QUERIES
+ORACLE_SQL = record_queries.ORACLE_SQL | segment_queries.ORACLE_SQL | score_queries.ORACLE_SQL | store_queries.ORACLE_SQL
