@@ -44,7 +44,7 @@ K = len(LABELS)
 #: Power iterations; the second eigenvalue is far below the first.
 ITERATIONS = 8
 #: Most and least reliability that a vote is weighed with.
-MOST, LEAST = 0.97, 0.0
+MOST, LEAST = 0.97, 0.01
 #: Annotators up to which their table is sent to all workers.
 BROADCAST_ANNOTATORS = 100_000
 #: Characters of a bucket in the join of spans and units.
@@ -160,7 +160,9 @@ def consensus(votes: DataFrame, galleries: dict[int, DataFrame], iterations: int
     bottom = squares.agg(F.expr("sum(q * q - f) AS bottom")).first()["bottom"] or 0.0
     sizes = profile.select("annotator", "n")
     sign = x.join(sizes, "annotator").agg(F.expr("sum(x * n) AS s")).first()["s"] or 0.0
-    factor = math.copysign(math.sqrt(top / bottom), sign) if top > 0 and bottom > 0 else 0.0
+    shares = profile.agg(*(F.expr(f"sum(n * p{k}) / sum(n) AS p{k}") for k in range(K))).first()
+    beyond = 1 - sum((p or 0.0) ** 2 for p in shares)  # what is left of agreement beyond chance
+    factor = math.copysign(math.sqrt(top / bottom / beyond), sign) if top > 0 and bottom > 0 and beyond > 0 else 0.0
     reliability = _settled(x.join(sizes, "annotator").selectExpr("annotator", f"x * {factor!r}D AS reliability", "n AS n_votes"), small)
 
     # weights: log odds of the chance that the vote is right

@@ -11,7 +11,8 @@ full containers and one remainder, which is packed like any other text.
 
 Defined results for odd inputs: a null or empty text has no tokens, takes no
 room and is placed in no container; repeated rows of one id count once when
-``distinct_ids`` says ids may repeat; special tokens in a text are ordinary text.
+``distinct_ids`` says ids may repeat; special tokens in a text are ordinary text;
+without a capacity for the purpose nothing is filled.
 """
 
 from __future__ import annotations
@@ -143,8 +144,9 @@ def fill_containers(documents: DataFrame, limits: DataFrame, purpose: str = "doc
     ``distinct_ids`` false, repeated ids are dropped first.
     """
     limit = limits.where(F.col("purpose") == purpose).select("capacity").orderBy("capacity").first()
+    schema = "container bigint, doc_id bigint, part int, position int, n_tokens int"
     if limit is None or not limit["capacity"]:
-        raise ValueError(f"no capacity for {purpose}")
+        return documents.sparkSession.createDataFrame([], schema)
     capacity, path = int(limit["capacity"]), tokenizer or tokenizer_path()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,4 +169,4 @@ def fill_containers(documents: DataFrame, limits: DataFrame, purpose: str = "doc
     rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
     if not distinct_ids:
         rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
-    return spread(rows).mapInArrow(fill, "container bigint, doc_id bigint, part int, position int, n_tokens int")
+    return spread(rows).mapInArrow(fill, schema)

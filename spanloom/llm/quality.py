@@ -72,6 +72,7 @@ _WIDE = re.compile(r"(?<=\S)(?:  +|\t+)(?=\S)")
 _KEY_VALUE = re.compile(r"(?:^|[\s,;{])\"?[\w.-]+\"?\s?(?:=|:)\s?\"?[^\s=:,;]+")
 _TIGHT = re.compile(r"(?<=[\w.)%/-])[,;|](?=[\w.(\"'+%-])")
 _HEX = re.compile(r"\s*(?:[0-9a-fA-F]{6,}:?\s+)?(?:[0-9a-fA-F]{2}\s+){6,}|\s*(?:\\x[0-9a-fA-F]{2}|%[0-9a-fA-F]{2}){4,}|\s*(?:[01]{8}\s*){3,}")
+_THOUSANDS = re.compile(r"[-+]?\d{1,3},\d{3}\W*\Z")
 _HEX_STARTS = frozenset("0123456789abcdefABCDEF\\%")
 _BASE64 = re.compile(r"[A-Za-z0-9+/=_-]{32,}")
 _FORMULA = re.compile(r"\$|\\[(\[a-zA-Z]|[\w)]\s*[=^]\s*[-\w(\\]|\d! / \d!")
@@ -135,7 +136,7 @@ def _line_kind(line: str, flat: str, words: list[str], sentence: int) -> str | N
     if len(_KEY_VALUE.findall(flat)) >= 2 and not _FORMULA.search(flat[:12] if "= " in flat else ""):
         return "table"
     tight = len(_TIGHT.findall(flat))
-    if tight >= 2 and len(tokens) <= 3 * (tight + 1):
+    if tight >= 2 and len(tokens) <= 3 * (tight + 1) or tight == 1 and len(tokens) == 1 and not _THOUSANDS.match(flat):
         return "table"
     wide = len(_WIDE.findall(flat))
     if wide and not _LEADER.search(flat) and w <= 3 * (wide + 1) and not bullet and sentence == 0 and wide >= 2:
@@ -253,7 +254,7 @@ def quantile_table(stats: DataFrame, least: int = 200) -> DataFrame:
         return F.array(*(F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in LEVELS))
 
     few = (F.col("n") < least) | (F.col("language") == "und")
-    return own.select("language", "n", *(quantiles(F.when(few, F.lit(whole[s])).otherwise(F.col(s))).alias(f"q_{s}") for s in STATISTICS))
+    return own.select("language", "n", *(quantiles(F.when(few, F.lit(whole[s]).cast("binary")).otherwise(F.col(s))).alias(f"q_{s}") for s in STATISTICS))
 
 
 def scored_statistics(documents: DataFrame, least: int = 200) -> DataFrame:
