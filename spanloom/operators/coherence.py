@@ -180,6 +180,57 @@ def topic_labels(units: list[str], least_units: int = 100, k: int = 8, embed: Em
     return [names[int(c)] for c in own]
 
 
+# --------------------------------------------------------------------------
+# Label sets of the reasoning-flow and thought-anchor schemes, of
+# the general scheme, and of argument mining.
+# --------------------------------------------------------------------------
+LABEL_SETS = {
+    "reasoning_flow": ["Context", "Planning", "Fact", "Reasoning", "Restatement", "Assumption", "Example", "Reflection", "Conclusion"],
+    "thought_anchor": ["Problem Setup", "Plan Generation", "Fact Retrieval", "Active Computation", "Uncertainty Management", "Result Consolidation", "Self Checking", "Final Answer Emission"],
+    "general": ["Context", "Planning", "Fact", "Restatement", "Example", "Reflection", "Conclusion"],
+    "argument": ["PREMISE", "INTERMEDIATE CLAIM", "REBUTTAL-CORRECTION", "FINAL CLAIM", "META"],
+}
+
+
+def label_scores(unit: str, labels: list[str]) -> list[float]:
+    """Scores of labels by words and word beginnings that they share with a unit."""
+    words = _WORD.findall(unit.lower())
+    return [sum(w[:5] == part[:5] for w in words for part in _WORD.findall(label.lower())) / (len(words) or 1) for label in labels]
+
+
+def zero_shot_labels(units: list[str], labels: list[str], score: Callable[[str, list[str]], list[float]] = label_scores) -> list[str]:
+    """The best label of each unit, the first of equal ones."""
+    return [max(zip(score(u, labels), range(len(labels), 0, -1), labels))[2] for u in units]
+
+
+def labelled_runs(labels: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Runs of equal labels with their spans."""
+    out: list[tuple[int, int, str]] = []
+    for label, (s, e) in zip(labels, spans):
+        if out and out[-1][2] == label:
+            out[-1] = (out[-1][0], e, label)
+        else:
+            out.append((s, e, label))
+    return out
+
+
+def by_labels(df: DataFrame, key: str, label: Callable[[list[str]], list[str]], text: str = "text", units: str = "units") -> DataFrame:
+    """(key, spans of (s, e, label)): runs of the labels that a function gives the units of a text, such as topic_labels."""
+    narrow = df.select(key, text, units)
+    kind = dict(narrow.dtypes)[key]
+    out_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("label", pa.string())]))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t, us in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                spans = [(u["s"], u["e"]) for u in us or []]
+                rows.append([dict(zip(("s", "e", "label"), r)) for r in labelled_runs(label([t[s:e] for s, e in spans]), spans)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, out_type)], names=[key, "spans"])
+
+    return spread(narrow).mapInArrow(walk, f"`{key}` {kind}, spans array<struct<s:int,e:int,label:string>>")
+
+
 #: Keyword labels, tried in this order; the default is the last.
 KEYWORDS = [("conclusion", ("answer", "therefore", "conclusion", "final")), ("reflection", ("wait", "hmm", "check", "wrong")), ("planning", ("let", "need", "next", "first")), ("fact", ("know", "recall", "table")), ("reasoning", ())]
 

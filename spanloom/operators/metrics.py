@@ -56,6 +56,12 @@ def cover(a: str = "pb", b: str = "gb", slack: float = SLACK) -> str:
     return f"CASE WHEN size({a}) = 0 THEN 1D ELSE {near_share(a, b, slack)} END"
 
 
+def jitter_similarity(a: str = "gb", b: str = "pb", jitter: int = 3) -> str:
+    """One-sided similarity: boundaries of a near one of b, over the number of b (may exceed 1) and of a, in harmonic mean; if one has none, 1 if the other has none too, else 0."""
+    near_a = f"size(filter({a}, x -> exists({b}, y -> abs(x - y) <= {jitter})))"
+    return f"CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN IF(size({a}) = size({b}), 1D, 0D) ELSE {f_score(f'{near_a} / size({b})', f'{near_a} / size({a})')} END"
+
+
 def soft(a: str, b: str, sigma: float = SIGMA) -> str:
     """Mean decay of the distance from each boundary of a to the nearest of b."""
     return f"aggregate(transform({a}, x -> exp(-{nearest('x', b)} / {sigma}D)), 0D, (t, v) -> t + v) / size({a})"
@@ -223,6 +229,17 @@ def aligner(name: str) -> str:
     return "CASE " + " ".join(f"WHEN instr(lower({name}), '{a}') > 0 THEN '{a}'" for a in ("fuzzy", "graph", "union", "intersect", "voting", "flatten")) + " ELSE 'none' END"
 
 
+def score_time(df: DataFrame, name: str = "exp_id", score: str = "score", seconds: str = "ptime") -> DataFrame:
+    """Family, aligner, score and the fourth root of the time of each experiment, as plotted against each other."""
+    return df.select(name, F.expr(families(name)).alias("family"), F.expr(aligner(name)).alias("aligner"), score, F.pow(F.col(seconds), F.lit(0.25)).alias("x"))
+
+
+def by_unit(df: DataFrame, name: str = "exp_id", score: str = "score") -> DataFrame:
+    """(engine, sent, clause): scores of each engine on either unit side by side."""
+    parts = df.select(F.regexp_extract(name, "^(.*)_(sent|clause)$", 1).alias("engine"), F.regexp_extract(name, "^(.*)_(sent|clause)$", 2).alias("unit"), score)
+    return parts.where("engine <> ''").groupBy("engine").pivot("unit", ["sent", "clause"]).agg(F.avg(score))
+
+
 def ranked(df: DataFrame, score: str, tie: str) -> DataFrame:
     """Adds a dense order by falling score, ties by name.  For tables of experiments, which are few."""
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))

@@ -131,6 +131,14 @@ def eval_consensus(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).groupBy(F.col("id").alias("doc_id")).agg(F.round(F.avg("b_score"), 6).alias("consensus"))
 
 
+def eval_fuzzy_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Greater and mean cover of each pair of engines, and their one-sided similarity, over all documents."""
+    rows = segmented(texts(spark, d)).select("id", F.expr(metrics.ends("nl")).alias("gb"), F.expr(metrics.ends("mk")).alias("pb"))
+    one, two = metrics.cover("gb", "pb"), metrics.cover("pb", "gb")
+    scored = rows.select(F.col("id").alias("doc_id"), F.expr(one).alias("a"), F.expr(two).alias("b"), F.expr(metrics.jitter_similarity()).alias("j"))
+    return scored.select("doc_id", F.round(F.greatest("a", "b"), 6).alias("optimistic"), F.round((F.col("a") + F.col("b")) / 2, 6).alias("symmetric"), F.round("j", 6).alias("jitter"))
+
+
 _AGGREGATED = ["boundary_f1", "bias", "b_score"]
 
 
@@ -208,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fuse_flatten, fuse_union, fuse_intersect, fuse_voting, fuse_fuzzy, fuse_graph, fuse_label_majority, fuse_label_concat, m_boundary, m_near, m_overlap, m_windows, m_density, m_intrinsic, m_alpha,
-        eval_pair_matrix, eval_consensus, eval_aggregate, eval_json, leaderboard_rf, leaderboard_ta, human_baseline, score_boxes, score_density,
+        eval_pair_matrix, eval_consensus, eval_fuzzy_agreement, eval_aggregate, eval_json, leaderboard_rf, leaderboard_ta, human_baseline, score_boxes, score_density,
     )
 }
 
@@ -274,6 +282,9 @@ ORACLE_SQL = {
     "m_near": f"""WITH {_LISTS} SELECT id AS doc_id, round({sql.b_score('gb', 'pb')}, 6) AS b_score, round(CASE WHEN len(pb) = 0 THEN 1.0 ELSE {sql.near('pb', 'gb', 10)} END, 6) AS boundary_cover,
         round(CASE WHEN len(gb) = 0 AND len(pb) = 0 THEN 1.0 WHEN len(gb) = 0 OR len(pb) = 0 THEN 0.0 ELSE {_f(sql.soft('pb', 'gb'), sql.soft('gb', 'pb'))} END, 6) AS soft_f1,
         CASE WHEN len(gb) = 0 OR len(pb) = 0 THEN 'Infinity'::DOUBLE ELSE round(list_sum(list_transform(gb, lambda x: list_min(list_transform(pb, lambda y: abs(x - y))))) / len(gb), 6) END AS displacement FROM bp""",
+    "eval_fuzzy_agreement": f"""WITH {_LISTS.replace(' WHERE t.n > 0', '')}, c AS (SELECT id, CASE WHEN len(gb) = 0 THEN 1.0 ELSE {sql.near('gb', 'pb', 10)} END AS a, CASE WHEN len(pb) = 0 THEN 1.0 ELSE {sql.near('pb', 'gb', 10)} END AS b,
+        len(gb) AS ng, len(pb) AS np, len(list_filter(gb, lambda x: len(list_filter(pb, lambda y: abs(x - y) <= 3)) > 0)) AS m FROM bp)
+        SELECT id AS doc_id, round(greatest(a, b), 6) AS optimistic, round((a + b) / 2, 6) AS symmetric, round(CASE WHEN ng = 0 OR np = 0 THEN CASE WHEN ng = np THEN 1.0 ELSE 0.0 END WHEN m = 0 THEN 0.0 ELSE 2 * (m / np) * (m / ng) / (m / np + m / ng) END, 6) AS jitter FROM c""",
     "m_overlap": f"""WITH {_ENG},
         x AS (SELECT g.id, g.s, g.e, max({_OVER} / nullif((g.e - g.s) + (p.e - p.s) - {_OVER}, 0)) AS iou, max(2.0 * {_OVER} / ((g.e - g.s) + (p.e - p.s))) AS dice FROM nl g JOIN mk p ON g.id = p.id WHERE g.e > g.s AND p.e > p.s GROUP BY g.id, g.s, g.e)
         SELECT t.id AS doc_id, round(avg(iou), 6) AS mean_iou, round(avg(dice), 6) AS mean_dice FROM texts t LEFT JOIN x ON t.id = x.id WHERE t.n > 0 GROUP BY t.id""",

@@ -186,6 +186,21 @@ def seg_keyword_labels(spark: SparkSession, d: str) -> DataFrame:
     return units.exploded(runs, ["id"], "spans", "seg_idx", "x").select(F.col("id").alias("doc_id"), "seg_idx", "x.s", "x.e", "x.label")
 
 
+def _label_runs(spark: SparkSession, d: str, label) -> DataFrame:  # noqa: ANN001
+    runs = coherence.by_labels(units.micro_merged(texts(spark, d)), "id", label)
+    return units.exploded(runs, ["id"], "spans", "seg_idx", "x").select(F.col("id").alias("doc_id"), "seg_idx", "x.s", "x.e", "x.label")
+
+
+def seg_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of equal topics of units; texts of few units have keyword labels."""
+    return _label_runs(spark, d, coherence.topic_labels)
+
+
+def seg_zero_shot(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of equal labels out of the reasoning-flow scheme."""
+    return _label_runs(spark, d, lambda us: coherence.zero_shot_labels(us, coherence.LABEL_SETS["reasoning_flow"]))
+
+
 def topic_terms(spark: SparkSession, d: str) -> DataFrame:
     """The ten most telling words of each domain."""
     words = read(spark, d, "documents").where("text IS NOT NULL AND domain IS NOT NULL").select("domain", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{3,})"), F.lit(1))).alias("term"))
@@ -197,7 +212,7 @@ QUERIES = {
     for f in (
         mask_spans, units_sentence, units_clause, unit_micro_merge, unit_overlap_merge, clean_offsets, seg_newline_line, seg_newline_para, seg_marker_rules, seg_marker_rules_custom, seg_every,
         marker_family_counts, rle_merge_a, rle_merge_b, context_window_prompts, reply_parsing, lm_bigram_counts, tok_surprisal, seg_surprisal, seg_entropy, seg_flatness, seg_topk_shift, seg_forced,
-        seg_step_reward, seg_semantic_shift, seg_entailment, seg_offset_chunks, seg_keyword_labels, topic_terms,
+        seg_step_reward, seg_semantic_shift, seg_entailment, seg_offset_chunks, seg_keyword_labels, seg_topics, seg_zero_shot, topic_terms,
     )
 }
 

@@ -204,6 +204,18 @@ def test_folds():
     assert series.step_turns(np.array([0, 0, 0, 0, 9, 9, 9, 9.0]), np.arange(10, 90, 10)) != []
 
 
+def test_labels_and_tables(spark):
+    labels = coherence.zero_shot_labels(["We plan the planning.", "A fact is a fact", ""], coherence.LABEL_SETS["reasoning_flow"])
+    assert labels == ["Planning", "Fact", "Context"]
+    assert coherence.labelled_runs(["a", "a", "b"], [(0, 2), (2, 5), (5, 6)]) == [(0, 5, "a"), (5, 6, "b")] and coherence.labelled_runs([], []) == []
+    df = spark.createDataFrame([("newline_sent", 0.5, 16.0), ("newline_clause", 0.25, 81.0)], "exp_id string, score double, ptime double")
+    assert [(r["family"], r["aligner"], round(r["x"], 6)) for r in metrics.score_time(df).collect()] == [("H", "none", 2.0), ("H", "none", 3.0)]
+    assert rows(metrics.by_unit(df)) == [("newline", 0.5, 0.25)]
+    b = spark.createDataFrame([([5, 9], [6]), ([], [1]), ([], [])], "gb array<int>, pb array<int>")
+    # both boundaries lie near the single other one: precision 2, recall 1
+    assert [r[0] for r in b.select(F.expr(metrics.jitter_similarity())).collect()] == [pytest.approx(4 / 3), 0.0, 1.0]
+
+
 def test_engines_that_ask():
     text = "One two. Three four! Five six? " * 30
     got = coherence.offset_chunks(text, coherence.sentence_reply)
