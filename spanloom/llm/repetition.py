@@ -43,8 +43,8 @@ MONOTONE = [1, 1, 1, 1, 1, 1, -1, -1, 0]
 SHARE = 0.4
 #: Least score of a candidate that is measured exactly.
 CANDIDATE = 0.1
-#: Most texts that the trees are trained on.
-SAMPLE_TEXTS = 200
+#: Most texts that the trees are trained on, and most characters of such a text.
+SAMPLE_TEXTS, SAMPLE_CHARS = 200, 20_000
 
 _DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}"
 _TOKEN = regex.compile(rf"[{_DENSE}]|\d+(?:[.,/:]\d+)*|[^\W\d_{_DENSE}]+|[^\w\s]", regex.V0)
@@ -288,11 +288,12 @@ def repetition(traces: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame
 
     ``score`` is the trees' probability that at least ``SHARE`` of the text is
     repetition; ``share`` is measured for every trace.  The trees are trained on
-    at most ``sample_texts`` texts, those whose ids have the smallest hashes, so
-    any run over the same rows trains the same trees.
+    at most ``sample_texts`` texts of at most ``SAMPLE_CHARS`` characters, those
+    whose ids have the smallest hashes, so any run over the same rows trains the
+    same trees.
     """
     rows = traces.where("id IS NOT NULL").select("id", "rt", "stored_at")
-    sample = rows.where("rt IS NOT NULL").select("rt", F.xxhash64("id").alias("h")).orderBy("h", "rt").limit(sample_texts)
+    sample = rows.where(F.length("rt") <= SAMPLE_CHARS).select("rt", F.xxhash64("id").alias("h")).orderBy("h", "rt").limit(sample_texts)
     trees = train([r["rt"] for r in sample.collect()])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
