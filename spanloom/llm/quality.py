@@ -80,11 +80,11 @@ _RULE = re.compile(r"(?:[-=_*~#+|:.\s$]|\\[\[\]()])+\Z|[-*•]\Z|`{3}\w*\Z")
 _CAPTION = re.compile(r"\s*(?:table|tabelle|tableau|tabla|tab\.|figure)\s*\d+", re.I)
 
 
-def _line_kind(line: str, flat: str, words: list[str], sentence: int) -> str | None:
+def _line_kind(line: str, flat: str, words: list[str], letters: int, sentence: int) -> str | None:
     """prose, list, table or junk; None for lines that tell nothing.
 
-    flat is the line without outer space, words are its words in lower case and
-    sentence is how many of them are SENTENCE_WORDS.
+    flat is the line without outer space, words are its words in lower case,
+    letters is their length in all and sentence is how many are SENTENCE_WORDS.
     """
     n = len(flat)
     w = len(words)
@@ -105,6 +105,8 @@ def _line_kind(line: str, flat: str, words: list[str], sentence: int) -> str | N
             return "junk"
     if flat[0] in _HEX_STARTS and _HEX.match(flat):
         return "junk"
+    if w >= 8 and letters * 2 < w * 3 and flat.count(" ") * 9 >= n * 4:
+        return "junk"  # single letters with spaces between them
     bullet = flat[0] in _BULLET_STARTS and bool(_BULLET.match(line))
     if w >= 4 and sentence and sentence * 12 >= w and not bullet and "&" not in flat:
         return "prose"
@@ -113,7 +115,6 @@ def _line_kind(line: str, flat: str, words: list[str], sentence: int) -> str | N
     tokens = flat.split()
     if not w and not any(map(str.isdigit, flat)) or sum(map(str.isalnum, flat)) * 8 < sum(map(len, tokens)):
         return None if _RULE.match(flat) else "junk"
-    letters = sum(map(len, words))
     gaps = len(_GAP.findall(flat))
     if len(tokens) >= 8 and not gaps and "|" not in flat and sum(len(t) == 1 for t in tokens) * 10 >= len(tokens) * 7 and letters * 3 > len(tokens):
         return "junk"
@@ -194,12 +195,13 @@ def statistics(text: str | None) -> tuple:
         flat = line.strip()
         words = _WORD.findall(flat.lower())
         w += len(words)
-        letters += sum(map(len, words))
+        here = sum(map(len, words))
+        letters += here
         counts.update(words)
         if flat in seen:
             repeated += len(flat)
         seen.add(flat)
-        kind = _line_kind(line, flat, words, sum(map(SENTENCE_WORDS.__contains__, words)))
+        kind = _line_kind(line, flat, words, here, sum(map(SENTENCE_WORDS.__contains__, words)))
         if kind:
             weights[kind] += len(flat)
     if repeated * 2 > n - spaces and len(lines) > 3 and weights["prose"] * 2 < sum(weights.values()):
