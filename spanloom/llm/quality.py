@@ -58,6 +58,7 @@ _SCRIPT_LANGUAGE = {"kana": "ja", "han": "zh", "cyr": "ru", "arab": "ar", "deva"
 _WORD = re.compile(r"[^\W\d_]+")
 _END_LINE = re.compile(r"[.!?。！？।؟۔…:;][\"'”’»)\]」』*]*\s*$", re.M)
 _DAMAGED = re.compile(r"[�\x00-\x08\x0e-\x1f\x7f]")
+_MISREAD = re.compile(r"[\x80-\xa6\xa8-\xaa\xac-\xaf\xb1\xb3-\xb6\xb8-\xba\xbc-\xbe]")
 _NON_LATIN = re.compile(r"[Ͱ-ϿЀ-ӿ֐-ۿऀ-෿฀-๿぀-ヿ㐀-鿿가-힯]")
 _BULLET = re.compile(r"\s*(?:\\?[-*+•–—‣◦·▪●]|\[[ xX✓]?\]|[\[(]?\d{1,4}[\]).]|[\[(]?[a-zA-Z][\])]|[a-zA-Z]\.)\s+\S")
 _BULLET_STARTS = frozenset("\\-*+•–—‣◦·▪●[(0123456789") | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -91,6 +92,8 @@ def _line_kind(line: str, flat: str, words: list[str], letters: int, sentence: i
     if not flat.isascii():
         if ("�" in flat or _DAMAGED.search(flat)) and len(_DAMAGED.findall(flat)) * 5 > n:
             return "junk"
+        if len(_MISREAD.findall(flat)) * 10 > n:
+            return "junk"  # UTF-8 that was read as Latin-1
         if len(_NON_LATIN.findall(flat)) * 4 > n:
             if n < 80 and _BULLET.match(line) and not _END_LINE.search(flat):
                 return "list"
@@ -157,6 +160,8 @@ def _line_kind(line: str, flat: str, words: list[str], letters: int, sentence: i
         return "list" if marks * 5 >= w or _GLOSS.search(flat) else "junk"
     if _FORMULA.search(flat):
         return None
+    if w >= 4 and flat[0].isupper() and flat[-1] in ".!?" and sum(map(COMMON.__contains__, words)) * 3 >= w and not bullet:
+        return "prose"
     if w <= 9 and (sentence == 0 or sentence * 12 < w):
         return "list" if w else None
     return "prose" if sentence and w >= 3 else None

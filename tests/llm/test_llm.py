@@ -299,7 +299,7 @@ PROSE = "The old mill stands by the river, and nobody knows who built it. It was
 @pytest.mark.parametrize(
     ("text", "kind"),
     [
-        (PROSE, "prose"), (PROSE.replace(", ", ",\n").replace(". ", ".\n"), "prose"), ("结果会不会依赖压强？这不可能是对的！", "prose"), ("यह सही नहीं हो सकता! अब गणना करते हैं।", "prose"),
+        (PROSE, "prose"), ("Falta calcular la longitud de la cuerda.", "prose"), ("Это не может быть верно! Да.".encode().decode("latin-1"), "junk"), ("यह सही नहीं है।".encode().decode("latin-1"), "junk"), (PROSE.replace(", ", ",\n").replace(". ", ".\n"), "prose"), ("结果会不会依赖压强？这不可能是对的！", "prose"), ("यह सही नहीं हो सकता! अब गणना करते हैं।", "prose"),
         ("- oak lens\n- copper rod\n  - zinc disc\n- tin", "list"), ("Oak lens\ncopper rod\nnet drag of zinc disc\nVelwick", "list"), ("[x] split oak lens\n[ ] check rod\n[ ] label disc", "list"), ("rod, 4, 17\nlens, 99, 103\ndisc, 8", "list"), ("Rod ....... 4\nOak lens ..... 17", "list"),
         ("a | b | c\n|---|---|---|\n| 1 | 2 | kg |\n| 3 | 4 | mm |", "table"), ("mass,drag,flux\n1,2,kg\n3.5,B16,mm", "table"), ("mass\tdrag\n1\t2\n3\t4", "table"), ("\\begin{tabular}{rr}\n1 & 2 \\\\\n3 & kg \\\\", "table"), ("<table>\n<tr><td>1</td><td>kg</td></tr>", "table"), ("mass=1 drag=kg flux=3\nmass=4 drag=mm flux=9", "table"), ("mass      drag      flux\n1         kg        3\n4         mm        9", "table"),
         ("#!?%;>{&+?]%_&|\n&>+:[}~@", "junk"), ("W e k n o w t h a t t h e r o d i s o l d .", "junk"), ("I s a w a b o a t . A n d I s a w i t s i n k , a s a t o y .", "junk"), ("����� ��� 4 ����", "junk"), ("Home > Login | Register | Help\nHome > Login | Register | Help", "junk"), ("00000000  6a f5 6f 2e b2 3b a4 00", "junk"), ("<div class=\"c1\"><span></span></div>", "junk"), ("qwer tzui opas dfgh jklx cvbn mqwe rtzu iopa sdfg hjkl yxcv", "junk"),
