@@ -63,7 +63,6 @@ _NON_LATIN = re.compile(r"[Ͱ-ϿЀ-ӿ֐-ۿऀ-෿฀-๿぀-ヿ㐀-鿿가-힯]")
 _BULLET = re.compile(r"\s*(?:\\?[-*+•–—‣◦·▪●]|\[[ xX✓]?\]|[\[(]?\d{1,4}[\]).]|[\[(]?[a-zA-Z][\])]|[a-zA-Z]\.)\s+\S")
 _BULLET_STARTS = frozenset("\\-*+•–—‣◦·▪●[(0123456789") | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LEADER = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$|…+\s*\d+\s*$")
-_INDEX = re.compile(r",\s*\d+(?:[-–]\d+)?(?:,\s*\d+(?:[-–]\d+)?)*\s*[.;]?\s*$")
 _GLOSS = re.compile(r"\S\s+[–—-]\s+\S|\S:\s+\S")
 _TABLE_TAG = re.compile(r"</?(?:table|tr|td|th|tbody|thead)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&[a-z]+;|<!--.*?-->")
@@ -119,6 +118,7 @@ def _line_kind(line: str, flat: str, words: list[str], letters: int, sentence: i
     if not w and not any(map(str.isdigit, flat)) or sum(map(str.isalnum, flat)) * 8 < sum(map(len, tokens)):
         return None if _RULE.match(flat) else "junk"
     gaps = len(_GAP.findall(flat))
+    leader = n < 400 and bool(_LEADER.search(flat))
     if len(tokens) >= 8 and not gaps and "|" not in flat and sum(len(t) == 1 for t in tokens) * 10 >= len(tokens) * 7 and letters * 3 > len(tokens):
         return "junk"
     menu = sum(x in _MENU for x in words)
@@ -135,7 +135,7 @@ def _line_kind(line: str, flat: str, words: list[str], letters: int, sentence: i
         return "table"
     if "\t" in flat:
         return "table"
-    if gaps and not _LEADER.search(flat) and len(tokens) <= 4 * (gaps + 1):
+    if gaps and not leader and len(tokens) <= 4 * (gaps + 1):
         return "table"
     if len(_KEY_VALUE.findall(flat)) >= 2 and not _FORMULA.search(flat[:12] if "= " in flat else ""):
         return "table"
@@ -143,15 +143,15 @@ def _line_kind(line: str, flat: str, words: list[str], letters: int, sentence: i
     if tight >= 2 and len(tokens) <= 3 * (tight + 1) or tight == 1 and len(tokens) == 1 and not _THOUSANDS.match(flat):
         return "table"
     wide = len(_WIDE.findall(flat))
-    if wide and not _LEADER.search(flat) and w <= 3 * (wide + 1) and not bullet and sentence == 0 and wide >= 2:
+    if wide and not leader and w <= 3 * (wide + 1) and not bullet and sentence == 0 and wide >= 2:
         return "table"
     if letters * 3 < n and not bullet and n > 12 and not _FORMULA.search(flat):
         digits = sum(c.isdigit() for c in flat)
         if digits * 2 < n - letters:
-            return None if _LEADER.search(flat) else "junk"
+            return None if leader else "junk"
     if letters + 2 * len(tokens) < n * 0.35 and n > 6 and not any(c.isdigit() for c in flat) and not _FORMULA.search(flat):
         return "junk"
-    if bullet or _LEADER.search(flat):
+    if bullet or leader:
         return "list"
     if _BASE64.search(flat) and not _FORMULA.search(flat) and max(map(len, tokens)) * 2 > n:
         return "junk"
