@@ -21,6 +21,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p7_found": p7_found}
 
 ORACLE_SQL = {
+    "p7_found": """
+        WITH RECURSIVE r AS (SELECT record_id, max_by(payload, (received_at, payload)) AS p FROM rf_raw WHERE record_id IS NOT NULL GROUP BY record_id),
+        v AS (SELECT record_id, CAST(p AS JSON) AS j FROM r WHERE CASE WHEN p IS NULL OR p = '' THEN false ELSE json_valid(p) END),
+        t AS (SELECT record_id, CASE WHEN json_type(j, '$.nodes') = 'OBJECT' OR json_array_length(j, '$.nodes') > 0 THEN json_extract(j, '$.nodes') ELSE json_extract(j, '$.document.nodes') END AS ns FROM v WHERE json_type(j) = 'OBJECT'),
+        top AS (SELECT record_id, CASE json_type(ns) WHEN 'ARRAY' THEN json_extract(ns, '$[*]') WHEN 'OBJECT' THEN [ns] END AS l FROM t),
+        nodes AS (
+            SELECT record_id, '' AS parent_path, CAST(i - 1 AS VARCHAR) AS path, e AS n FROM (SELECT record_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM top) WHERE json_type(e) = 'OBJECT'
+            UNION ALL
+            SELECT record_id, path, path || '/' || (i - 1), e FROM (
+                SELECT record_id, path, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (
+                    SELECT record_id, path, CASE json_type(n, '$.children') WHEN 'ARRAY' THEN json_extract(n, '$.children[*]') WHEN 'OBJECT' THEN [json_extract(n, '$.children')] END AS l FROM nodes))
+            WHERE json_type(e) = 'OBJECT'
+        ),
+        lab AS (SELECT *, CASE json_type(n, '$.label') WHEN 'ARRAY' THEN list_filter(json_extract_string(n, '$.label[*]'), lambda x: x IS NOT NULL) WHEN 'NULL' THEN [] ELSE list_filter([json_extract_string(n, '$.label')], lambda x: x IS NOT NULL) END AS ls FROM nodes)
+        SELECT DISTINCT record_id, parent_path, path AS node_path, coalesce(json_extract_string(n, '$.id'), '') AS node_id,
+            CASE lower(trim(json_extract_string(n, '$.annotation'))) WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE -1 END AS annotated, unnest(CASE WHEN len(ls) = 0 THEN [''] ELSE ls END) AS label
+        FROM lab
+    """,
     "p2_found": """
         WITH sp AS (
             SELECT 'rf_doc' AS origin, doc_id, n.start AS a, n."end" AS b FROM (SELECT doc_id, unnest(nodes) AS n FROM rf_doc) WHERE n.source = 'response'
