@@ -58,7 +58,7 @@ def context_table(counts: DataFrame) -> DataFrame:
 
 def scored_tokens(pairs: DataFrame, key: str) -> DataFrame:
     """Tokens with ``surprisal``, ``entropy`` and ``gap`` (how much likelier the likeliest hard mark is than the token)."""
-    counts = bigram_counts(pairs)
+    counts = bigram_counts(pairs).persist()  # read three times, small beside the tokens
     contexts = context_table(counts)
     model = counts.join(contexts, "prev").select("prev", "token", "entropy", F.log((F.col("total") + F.col("v")) / (F.col("n") + 1)).alias("surprisal"), F.log((F.col("sep_n") + 1) / (F.col("n") + 1)).alias("gap"))
     return pairs.join(model, ["prev", "token"]).select(key, "tok_idx", "token", "prev", "char_s", "surprisal", "entropy", "gap")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import coherence, engines, series, units
 from spanloom.operators.units import CLAUSE_PATTERN, CONNECTIVES, MASK_PATTERN, SENTENCE_PATTERN
+from spanloom.partitions import spread
 from spanloom.plans import sql
 from spanloom.tables import read
 
@@ -16,7 +17,8 @@ CUSTOM_MARKERS = ["the", "and", "der", "que", "et"]
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """(id, text, n) of all documents."""
-    return read(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.length("text").alias("n"))
+    rows = spread(read(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text"))
+    return rows.withColumn("n", F.length("text"))
 
 
 def traces(spark: SparkSession, d: str) -> DataFrame:
