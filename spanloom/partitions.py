@@ -13,8 +13,11 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
 
     Inputs of many files or row groups come in enough partitions already and are
     left as they are; only a small table of a single file is dealt out, so that
-    Python work on it isn't done by one task.
+    Python work on it isn't done by one task.  What comes out of a shuffle is left
+    as it is too; asking for its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     least = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
