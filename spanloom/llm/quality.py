@@ -48,6 +48,8 @@ TAIL_Z = 3.5
 LEAST_SPREAD = 0.05
 #: The median prose share is taken as at least this, so that a corpus with little prose doesn't make it normal.
 PROSE_FLOOR = 0.6
+#: Prose share under which a text is no prose in its main part. The spread of the prose share is bounded so that all below it lies in the low tail, however much of the corpus isn't prose.
+PROSE_CUT = 0.5
 #: Size of the sketches.
 SKETCH_K = 200
 LEVELS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -274,8 +276,11 @@ def scored_statistics(documents: DataFrame, least: int = 200) -> DataFrame:
     def z(s: str) -> Column:
         q = F.col(f"q_{s}")
         floor = F.lit(LEAST_SPREAD) if s.endswith("share") else F.greatest(F.lit(LEAST_SPREAD), F.abs(q[middle]) * LEAST_SPREAD)
-        centre = F.greatest(q[middle], F.lit(PROSE_FLOOR)) if s == "prose_share" else q[middle]
-        return (F.col(s) - centre) / F.greatest((q[high] - q[low]) * F.lit(0.7413), floor)
+        spread_of = F.greatest((q[high] - q[low]) * F.lit(0.7413), floor)
+        if s != "prose_share":
+            return (F.col(s) - q[middle]) / spread_of
+        centre = F.greatest(q[middle], F.lit(PROSE_FLOOR))
+        return (F.col(s) - centre) / F.least(spread_of, (centre - F.lit(PROSE_CUT)) / F.lit(TAIL_Z))
 
     scored = scored.select(*stats.columns, *(z(s).alias(f"z_{s}") for s in STATISTICS), *(F.expr(f"size(filter(q_{s}, q -> q <= {s})) AS band_{s}") for s in STATISTICS))
     tails = F.array_compact(F.array(*(F.when(F.abs(F.col(f"z_{s}")) > TAIL_Z, F.lit(s)) for s in STATISTICS)))
@@ -288,6 +293,6 @@ def no_prose(documents: DataFrame, least: int = 200) -> DataFrame:
     A document is looked at if its prose share lies in the low tail of its
     language; its kind is the one that most of its letters belong to.
     """
-    scored = scored_statistics(documents, least).where((F.col("z_prose_share") < -TAIL_Z) & (F.col("prose_share") < 0.5))
+    scored = scored_statistics(documents, least).where((F.col("z_prose_share") < -TAIL_Z) & (F.col("prose_share") < PROSE_CUT))
     shares = [F.struct(F.col(f"{k}_share").alias("share"), F.lit(k).alias("kind")) for k in KINDS if k != "prose"]
     return scored.select("doc_id", F.greatest(*shares).alias("main")).where(F.col("main.share") > F.lit(0.0)).select("doc_id", F.col("main.kind").alias("kind")).distinct()

@@ -320,6 +320,12 @@ def test_no_prose(spark):
     assert quality.no_prose(table.limit(0)).count() == 0
 
 
+def test_no_prose_where_a_third_of_the_corpus_is_none(spark):
+    docs = [(i, PROSE + f" Number {i} is the last one.") for i in range(80)] + [(100 + i, f"- oak lens {i}\n- copper rod\n- zinc disc\n- tin") for i in range(40)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert dict(rows(quality.no_prose(table))) == dict.fromkeys(range(100, 140), "list")
+
+
 def test_sketches_follow_exact_quantiles(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     stats = quality.document_statistics(docs).persist()
