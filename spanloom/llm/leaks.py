@@ -167,30 +167,22 @@ def passages(item: Item, doc: np.ndarray, offsets: list[int]) -> list[tuple[int,
         runs += [(lo + int(a), lo + int(b), off) for a, b in zip(edge[::2], edge[1::2]) if b - a >= 2]
     runs.sort()
     best: list[tuple[int, int, int]] = []
-    chains: list[list[tuple[int, int, int]]] = []
-    for run in runs:
-        for chain in reversed(chains[-8:]):
-            a = chain[-1]
-            gap, shift = run[0] - a[1], run[2] - a[2]
-            near = (shift == 0 and gap == 1) or (shift != 0 and gap in (0, 1) and -1 <= shift <= DRIFT)
-            if near and (len(chain) == 1 or a[1] - a[0] >= APART or shift != 0):
-                chain.append(run)
-                break
-        else:
-            chains.append([run])
-    for chain in chains:
+    # of every run, by its offset and end: its length, and for each start of a chain that ends with it the fewest replaced words
+    chains: dict[tuple[int, int], tuple[int, dict[int, int]]] = {}
+    for start, end, off in runs:
+        least = {start: 0}
+        for shift in range(-1, DRIFT + 1):
+            for gap in (0, 1) if shift else (1,):
+                before = chains.get((off - shift, start - gap))
+                if before is None:
+                    continue
+                length, known = before
+                for first, replaced in known.items():
+                    if shift or length >= APART or first == start - gap - length:
+                        least[first] = min(least.get(first, m), replaced + gap)
+        chains[off, end] = end - start, least
         # a chain may hold a passage though its whole has too many replaced words
-        for i in range(len(chain)):
-            replaced = matched = 0
-            for j in range(i, len(chain)):
-                if j > i:
-                    replaced += chain[j][0] - chain[j - 1][1]
-                matched += chain[j][1] - chain[j][0]
-                start, end = chain[i][0], chain[j][1]
-                if replaced * MISMATCH <= end - start and item.long_enough(start, end, replaced):
-                    best.append((start, end, replaced))
-            if i > 200:
-                break
+        best += [(first, end, replaced) for first, replaced in least.items() if replaced * MISMATCH <= end - first and item.long_enough(first, end, replaced)]
     return best
 
 

@@ -292,6 +292,27 @@ def test_leaks_against_brute_force():
             assert leaks.passages(item, ids, [15 - a])
 
 
+@pytest.mark.parametrize("copies", [1, 8, 9, 30])
+def test_leaks_of_a_passage_that_stands_often_in_a_document(copies):
+    words = [f"w{i}" for i in range(60)]
+    items, terms = leaks.read_items([(1, " ".join(words))])
+    passage = [*words[20:32], "other", *words[33:44]]
+    doc = [w for k in range(copies) for w in [*passage, *["x"] * (30 + k)]]
+    ids = np.array([terms.get(w, -1) for w in doc], dtype=np.int32)
+    offsets = [k - 20 for k in range(len(doc)) if doc[k] == "w20"]
+    assert len(offsets) == copies and max(leaks.passages(items[0], ids, offsets)) == (20, 44, 1)
+
+
+def test_leaks_behind_many_copies_of_a_sentence_of_the_item():
+    words = [f"w{i}" for i in range(60)]
+    items, terms = leaks.read_items([(1, " ".join(words))])
+    sentence = words[26:32]
+    doc = [w for k in range(12) for w in [*sentence, *["x"] * (30 + k)]] + [*words[20:32], "other", *words[33:44]]
+    ids = np.array([terms.get(w, -1) for w in doc], dtype=np.int32)
+    offsets = [k - 26 for k in range(len(doc)) if doc[k] == "w26"]
+    assert (20, 44, 1) in leaks.passages(items[0], ids, offsets)
+
+
 # -- quality --------------------------------------------------------------------
 PROSE = "The old mill stands by the river, and nobody knows who built it. It was sold twice before the war. We have seen the papers that the owner kept in a box."
 
