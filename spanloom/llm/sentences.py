@@ -185,6 +185,7 @@ _SCRIPTS = [
 ]
 _ASCII_LINE = regex.compile(r"[\x00-\x7f]*\Z")
 _UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
+_ASCII_UPPER, _ASCII_LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _OPERATOR = set("=+*/^<>≤≥×·−")
 
 
@@ -253,6 +254,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 
 def _mostly_one_case(text: str) -> bool:
     """Whether an ASCII text is written in one letter case, single letters of formulas aside."""
-    upper = sum(map(str.isupper, text)) if len(text) < 4000 else sum(map(str.isupper, text[:4000]))
-    lower = sum(map(str.islower, text)) if len(text) < 4000 else sum(map(str.islower, text[:4000]))
+    letters = text.encode()
+    upper = len(letters) - len(letters.translate(None, _ASCII_UPPER))
+    lower = len(letters) - len(letters.translate(None, _ASCII_LOWER))
     return upper > 20 * (lower + 1) or lower > 400 * (upper + 1) and lower > 40

@@ -46,6 +46,13 @@ def test_sentences(text, units):
     assert [text[s:e] for s, e in sentences.sentence_spans(text)] == units
 
 
+@pytest.mark.parametrize("head", ["so we add the two and keep the rest\n", "ADD THE TWO AND KEEP THE REST\n"])
+def test_letter_case_is_judged_over_the_whole_text(head):
+    head, tail = head * (4_200 // len(head)), "We see this. then it stops here. The sum is 4.\n" * 400
+    units = sentences.sentence_spans(head + tail)
+    assert [(s - len(head), e - len(head)) for s, e in units if s >= len(head)] == sentences.sentence_spans(tail)
+
+
 def test_sentences_match_annotated_units(spark):
     votes = spark.read.parquet(f"{DATA}/ta_votes.parquet").select("rtrace_id", "unit_start", "unit_end").distinct()
     found = sentences_spark.sentence_units(spark.read.parquet(f"{DATA}/rtrace.parquet"))
