@@ -56,8 +56,8 @@ RUN, DENSE_RUN = 5, 3
 CHUNK = 4_096
 #: Tokens that line marks may put between two runs of a passage.
 DRIFT = 2
-#: Items in which a sentence stands from which it is a stock sentence, and least words of a passage outside of them: of an exact one, of one with replaced words.
-STOCK, OWN_WORDS, OWN_WORDS_REPLACED = 3, 5, 15
+#: Items in which a sentence stands from which it is a stock sentence, and least words of a passage outside of them.
+STOCK, OWN_WORDS = 3, 5
 #: Items that are searched for at a time.
 ITEMS = 5_000
 #: Tokens within which a document must hold two anchors to be kept in the index.
@@ -104,12 +104,12 @@ class Item:
                 marked |= np.array([s <= a < e for a, _ in spans], dtype=bool)
         self.stock = marked
 
-    def long_enough(self, start: int, end: int, replaced: int = 0) -> bool:
+    def long_enough(self, start: int, end: int) -> bool:
         """Whether tokens start..end - 1 make a passage."""
         own = len(set(self.words[start:end][~self.stock[start:end]].tolist()))
         if self.dense:
             return self.characters[end - 1][1] - self.characters[start][0] >= CHARACTERS and not self.stock[start:end].all()
-        return int(self.words[end - 1] - self.words[start]) + 1 >= WORDS and own >= (OWN_WORDS_REPLACED if replaced else OWN_WORDS)
+        return int(self.words[end - 1] - self.words[start]) + 1 >= WORDS and own >= OWN_WORDS
 
 
 def _plain(sentence: str) -> str:
@@ -182,7 +182,7 @@ def passages(item: Item, doc: np.ndarray, offsets: list[int]) -> list[tuple[int,
                         least[first] = min(least.get(first, m), replaced + gap)
         chains[off, end] = end - start, least
         # a chain may hold a passage though its whole has too many replaced words
-        best += [(first, end, replaced) for first, replaced in least.items() if replaced * MISMATCH <= end - first and item.long_enough(first, end, replaced)]
+        best += [(first, end, replaced) for first, replaced in least.items() if replaced * MISMATCH <= end - first and item.long_enough(first, end)]
     return best
 
 

@@ -320,6 +320,19 @@ def test_leaks_behind_many_copies_of_a_sentence_of_the_item():
     assert (20, 44, 1) in leaks.passages(items[0], ids, offsets)
 
 
+@pytest.mark.parametrize("replaced", [0, 1])
+def test_leaks_that_run_into_a_stock_sentence(replaced):
+    items, terms = leaks.read_items([(1, ITEM), (2, OTHER), (3, OTHER.replace("marbles", "kites"))])
+    words = leaks.tokens(ITEM)
+    passage = words[-(11 + 12) :]
+    if replaced:
+        passage[5] = "other"
+    ids = np.array([terms.get(w, -1) for w in ["before", *passage, "behind"]], dtype=np.int32)
+    found = leaks.passages(items[0], ids, [1 - (len(words) - len(passage))])
+    assert max(found, default=None) == (len(words) - len(passage), len(words), replaced)
+    assert not leaks.passages(items[0], np.array([terms[w] for w in words[-11:]], dtype=np.int32), [11 - len(words)])
+
+
 # -- quality --------------------------------------------------------------------
 PROSE = "The old mill stands by the river, and nobody knows who built it. It was sold twice before the war. We have seen the papers that the owner kept in a box."
 
