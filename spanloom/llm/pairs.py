@@ -20,6 +20,7 @@ last decides; prompts and responses are used whole, of any length.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,7 +95,7 @@ LANGUAGE_SHARE = 0.5
 
 _NOT_TEXT = regex.compile(r"</?[\p{L}_][^<>]*/?>|<!--.*?-->|&[a-z]+;", regex.S)
 _NOTHING = regex.compile(r"[\s\p{P}\p{S}\p{Cf}\p{Cc}\p{Zs}⠀ㅤᅟᅠ]*\Z")
-_TRIM = regex.compile(r"\A[\s\p{Cf}\p{P}\p{S}]+|[\s\p{Cf}\p{P}\p{S}]+\Z")
+_KEPT, _KEPT_LAST = regex.compile(r"[^\s\p{Cf}\p{P}\p{S}]"), regex.compile(r"(?r)[^\s\p{Cf}\p{P}\p{S}]")
 
 
 def _automaton(phrases: list[str]) -> ahocorasick.Automaton:
@@ -115,13 +116,12 @@ def _has(a: ahocorasick.Automaton, text: str) -> bool:
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
-    if len(text) > 400 and regex.search(r"\p{L}{3}.*?\p{L}{3}", text[:400]) and "<" not in text[:400]:
-        return False
     rest = _NOT_TEXT.sub("", text)
     if _NOTHING.match(rest):
         # marks alone are nothing; a lone formula or tick with a number is no such text
         return True
-    return _TRIM.sub("", rest).casefold() in PLACEHOLDERS.split()
+    first, last = _KEPT.search(rest), _KEPT_LAST.search(rest)
+    return (rest[first.start() : last.end()] if first else "").casefold() in PLACEHOLDERS.split()
 
 
 def is_refusal(text: str, units: list[tuple[int, int]]) -> bool:
@@ -252,6 +252,11 @@ _EQUATION = regex.compile(r"\s*(?!.*\p{L}{4})[\p{L}\d({\\][^\p{Lo}]{0,80}=[^\p{L
 _THAI = regex.compile(r"[฀-๿]")
 _THAI_DONE = regex.compile("(?:" + "|".join(THAI_ENDINGS.split()) + r")\Z")
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "」": "「", "』": "『", "】": "【", "》": "《", "”": "“"}
+_CODE = regex.compile(r"^[^\S\n]*(```|~~~).*?^[^\S\n]*\1[^\n]*$", regex.M | regex.S)
+_BLOCK = regex.compile(r"\\\\|\\[\[\]()$]|\\(begin|end)\{([^{}]*)\}|\$\$")
+_BLANK = regex.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)")
+_BRACE = regex.compile(r"\\.|[{}]", regex.S)
+_BRACKET = regex.compile(r"\\.|[()\[\]{}（）「」『』【】《》“”]", regex.S)
 _OPENERS = set(_PAIRS.values())
 
 
@@ -290,6 +295,47 @@ def _open_delimiters(line: str) -> bool:
     return bool(stack) or formula is not None
 
 
+def _open_blocks(text: str) -> bool:
+    """Whether a formula or an environment that may run over lines is left open, code aside."""
+    environments: Counter[str] = Counter()
+    formula = ""
+    for m in _BLOCK.finditer(_CODE.sub("", text)):
+        mark = m.group()
+        if m.group(2):
+            environments[m.group(2)] = max(0, environments[m.group(2)] + (1 if m.group(1) == "begin" else -1))
+        elif mark in ("\\[", "\\("):
+            formula = mark
+        elif mark in ("\\]", "\\)"):
+            formula = ""
+        elif mark == "$$":
+            formula = "" if formula == "$$" else "$$"
+    return bool(formula) or any(environments.values())
+
+
+def _open_bracket(text: str) -> bool:
+    """Whether a bracket of the last paragraph is left open; half-open intervals close as well."""
+    paragraph = _BLANK.split(_CODE.sub("\n\n", text))[-1]
+    stack: list[str] = []
+    for m in _BRACKET.finditer(paragraph):
+        c = m.group()
+        if c in _OPENERS:
+            stack.append(c)
+        elif c in _PAIRS and stack and (stack[-1] == _PAIRS[c] or c in ")]" and stack[-1] in "(["):
+            stack.pop()
+    return bool(stack)
+
+
+def _closing_box(text: str) -> bool:
+    """Whether the last box of a text is closed on its last line."""
+    boxes = list(_BOX.finditer(text))
+    depth = 0
+    for m in _BRACE.finditer(text, boxes[-1].end() - 1) if boxes else ():
+        depth += {"{": 1, "}": -1}.get(m.group(), 0)
+        if not depth:
+            return not regex.search(r"[\n\r]", text[m.end() :])
+    return False
+
+
 def is_truncated(text: str, units: list[tuple[int, int]]) -> bool:
     body = text.rstrip()
     if not units:
@@ -303,11 +349,9 @@ def is_truncated(text: str, units: list[tuple[int, int]]) -> bool:
     line = body[max(body.rfind("\n"), body.rfind("\r")) + 1 :]
     if regex.fullmatch(r"\s*(?:```|~~~)\s*", line):
         return False
-    if body.count("$$") % 2 and "$$" in body[-400:]:
-        return True
-    if _open_delimiters(last):
+    if _open_blocks(body) or _open_delimiters(last) or _open_bracket(body):
         return True
-    if _BOX.search(line[-80:]) and regex.search(r"\}\$*[.。]?\**\Z", line):
+    if _closing_box(body) and regex.search(r"\}\$*[.。]?\**\Z", line):
         return False
     if _MARK_END.search(line):
         return False

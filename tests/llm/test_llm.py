@@ -98,6 +98,18 @@ def test_defects(question, response, defect):
     assert pairs.defect(question, response) == defect
 
 
+@pytest.mark.parametrize(
+    ("response", "defect"),
+    [
+        ("We set\n\\[\na = b + 3\nx = 5", "truncated"), ("We set\n\\begin{align}\na = b + 3\n\nx = 5", "truncated"), ("We set\n$$\n" + "a = b + 3\n" * 60 + "x = 5", "truncated"), ("The old rod holds (as we\nknow from the first part\nx = 5", "truncated"),
+        ("It is so.\n\n\\boxed{" + "x + 3 + " * 20 + "4}", None), ("It is so.\n\n\\boxed{\\frac{" + "x + 3 + " * 20 + "4}{2}}.", None), ("&nbsp;" * 100, "empty"), ("&nbsp;" * 100 + "The rod is old.", None), ("- " * 300 + "N/A", "empty"),
+        ("We set\n\\[\na = b \\\\[2pt]\nx = 5\n\\]", None), ("We set\n\\begin{align}\na = b\n\\end{align}\nx = 5", None), ("For t in [0, 1)\nwe have\nx = 5", None), ("It fails (see above.\n\nx = 5", None), ("We run\n\n```\necho $$ ( \\[\n```\n\nx = 5", None), ("Let $$ a = b $$\nbe so.\nx = 5", None),
+    ],
+)
+def test_defects_of_whole_texts(response, defect):
+    assert pairs.defect(QUESTION, response) == defect
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(1)
     for _ in range(60):
