@@ -116,11 +116,17 @@ def _plain(sentence: str) -> str:
     return " ".join(tokens(sentence))
 
 
-def read_items(rows: list[tuple[int, str]]) -> tuple[list[Item], dict[str, int]]:
-    shared: Counter[str] = Counter()
-    for _, text in rows:
-        shared.update({_plain(text[s:e]) for s, e in sentence_spans(text)})
-    stock = {s for s, n in shared.items() if n >= STOCK and s}
+def _sentences(text: str) -> set[str]:
+    return {_plain(text[s:e]) for s, e in sentence_spans(text)} - {""}
+
+
+def read_items(rows: list[tuple[int, str]], stock: set[str] | None = None) -> tuple[list[Item], dict[str, int]]:
+    """The items and their terms; stock sentences are counted over the rows if they aren't given."""
+    if stock is None:
+        shared: Counter[str] = Counter()
+        for _, text in rows:
+            shared.update(_sentences(text))
+        stock = {s for s, n in shared.items() if n >= STOCK}
     terms: dict[str, int] = {}
     return [Item(i, t, terms, stock) for i, t in rows], terms
 
@@ -215,9 +221,20 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("term", pa.list_(pa.int32())), ("po
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("replaced", pa.int32())])
 
 
-def _search(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
+def _stock_sentences(items: DataFrame) -> set[str]:
+    """Stock sentences of all items, whatever block they fall into."""
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([s for t in b.column(0).to_pylist() for s in _sentences(t)], pa.string())], names=["sentence"])
+
+    counted = items.select("text").mapInArrow(sentences, "sentence string").groupBy("sentence").agg(F.count(F.lit(1)).alias("n"))
+    return {r["sentence"] for r in counted.where(F.col("n") >= STOCK).collect()}
+
+
+def _search(documents: DataFrame, rows: list[tuple[int, str]], stock: set[str] | None = None) -> DataFrame | None:
     spark = documents.sparkSession
-    items, terms = read_items(rows)
+    items, terms = read_items(rows, stock)
     if not terms:
         return None
     vocabulary = frozenset(terms)
@@ -309,9 +326,10 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = ITEMS) -> DataFra
     n = known.count()
     found = None
     parts = max(1, -(-n // block))
+    stock = _stock_sentences(known) if parts > 1 else None
     for k in range(parts):
         rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else known
-        one = _search(documents, sorted((r["item_id"], r["text"]) for r in rows.collect()))
+        one = _search(documents, sorted((r["item_id"], r["text"]) for r in rows.collect()), stock)
         if one is not None:
             found = one if found is None else found.unionByName(one)
     if found is None:

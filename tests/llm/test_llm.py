@@ -345,6 +345,13 @@ def test_leaks_that_run_into_a_stock_sentence(replaced):
     assert not leaks.passages(items[0], np.array([terms[w] for w in words[-11:]], dtype=np.int32), [11 - len(words)])
 
 
+def test_stock_sentences_are_counted_over_all_blocks(spark):
+    long = "Write down every step of the whole way and name each unit that you use before you give the final value with two decimals."
+    items = spark.createDataFrame([(k, f"The {w} weighs {k} kg in the old harbour. {long}") for k, w in enumerate(["rod", "lens", "disc"])], "item_id bigint, text string")
+    table = spark.createDataFrame([(1, "Before it. " + long + " Behind it.")], "doc_id bigint, text string")
+    assert leaks.leaks(table, items, block=1).count() == leaks.leaks(table, items).count() == 0
+
+
 # -- quality --------------------------------------------------------------------
 PROSE = "The old mill stands by the river, and nobody knows who built it. It was sold twice before the war. We have seen the papers that the owner kept in a box."
 
