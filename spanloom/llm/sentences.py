@@ -148,20 +148,21 @@ _CASELESS_ENGLISH = [r for r in ENGLISH if CLOSING_EN.split()[0] not in r.before
 
 
 class _Table:
-    """Compiled cascade."""
+    """A cascade as one pattern: its rules in order, each with an empty group whose number says which one decided.
+
+    Rules see the whole line, back to its start and on to its end.
+    """
 
     def __init__(self, tables: list[list[Rule]], last: list[Rule]):
         rules = [r for t in [COMMON_FIRST, *tables, last] for r in t]
-        self.rules = [(r.breaks, regex.compile(r.before) if r.before else None, regex.compile(r.after)) for r in rules]
+        self.pattern = regex.compile("|".join(f"(?={r.after})(?<={r.before.removesuffix('$')})()" if r.before else f"(?={r.after})()" for r in rules))
+        self.ends = [False, *(r.breaks for r in rules)]
+        if self.pattern.groups != len(rules):
+            raise ValueError("rules may not have groups of their own")
 
-    def breaks(self, text: str, line: int, at: int) -> bool:
-        left = max(line, at - 40)
-        head = text[left:at] if left == line else "\x00" + text[left:at]
-        tail = text[at : at + 24]
-        for breaks, before, after in self.rules:
-            if after.match(tail) and (before is None or before.search(head)):
-                return breaks
-        return False
+    def breaks(self, line: str, at: int) -> bool:
+        m = self.pattern.match(line, at)
+        return m is not None and self.ends[m.lastindex]
 
 
 _CASED = {k: _Table(v, COMMON_LAST) for k, v in CASCADES.items()}
@@ -236,7 +237,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                 continue
             if text[at].isdigit() and text[at - 1] in ".．" and text[at - 2 : at - 1].isdigit():
                 continue
-            if table.breaks(text, lo, at):
+            if table.breaks(line, at - lo):
                 cuts.append(at)
         if thai:
             cuts += [k.end() for k in _SPACES.finditer(text, lo, hi) if k.start() > lo and k.end() < hi and _thai_space(text, *k.span())]

@@ -395,3 +395,18 @@ def test_sketches_follow_exact_quantiles(spark):
     got = table["en"]["q_mean_word"]
     for level, value in zip(quality.LEVELS, got):
         assert abs((en <= value).mean() - level) < 0.06
+
+
+def test_rules_see_the_whole_line():
+    text = f"{'word ' * 60}and see No.{' ' * 90}5 for it. Then go."
+    assert [text[s:e] for s, e in sentences.sentence_spans(text)] == [text[:-9], "Then go."]
+
+
+def test_other_language_is_judged_over_all_letters():
+    rng = random.Random(6)
+    pool = ["The mass of the old lens is not what it was before.", "Die Masse des Körpers ist nicht groß und der Rest bleibt.", "最后比较等式两边的单位。", "1 + 1 = 2", "Le reste de la masse est dans une boîte avec les autres."]
+    for _ in range(200):
+        units = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
+        shares = languages.language_shares(units)
+        want = bool(shares) and shares.get("en", 0) < 0.5 and max(shares.values()) > 0.5
+        assert languages.other_language(units, "en", 0.5) == want
