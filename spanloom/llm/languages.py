@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 
 # --------------------------------------------------------------------------
@@ -31,11 +33,12 @@ REQUEST_VERBS = "answer reply respond write antworte antworten schreibe beantwor
 _SCRIPT = regex.compile(r"(?P<kana>[぀-ヿ])|(?P<han>[㐀-鿿])|(?P<cyr>[Ѐ-ӿ])|(?P<arab>[؀-ۿ])|(?P<deva>[ऀ-ॿ])|(?P<thai>[฀-๿])|(?P<hang>[가-힯])")
 _NON_LATIN = regex.compile(r"[ऀ-ॿ฀-๿؀-ۿЀ-ӿ぀-ヿ㐀-鿿가-힯]")
 _SCRIPT_LANG = {"cyr": "ru", "arab": "ar", "deva": "hi", "thai": "th", "hang": "ko"}
-_WORD = regex.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _WORD_LANGS: dict[str, tuple[str, ...]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in _words.split():
         _WORD_LANGS[_w] = (*_WORD_LANGS.get(_w, ()), _lang)
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _LETTERS = {"de": "äöüß", "fr": "êèçàâîôûœ", "es": "ñ¿¡óíú"}
 _LETTER_LANG = {c: lang for lang, cs in _LETTERS.items() for c in cs}
 _FORMULA = regex.compile(r"\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|```.*?(?:```|\Z)", regex.S)
@@ -59,34 +62,65 @@ def unit_language(text: str) -> str | None:
             return best
     votes = dict.fromkeys(STOPWORDS, 0.0)
     low = text.casefold()
-    for w in _WORD.findall(low):
-        langs = _WORD_LANGS.get(w)
-        if langs:
-            for lang in langs:
-                votes[lang] += 1 / len(langs)
+    for langs in filter(None, map(_WORD_LANGS.get, _WORD.findall(low))):
+        for lang in langs:
+            votes[lang] += 1 / len(langs)
     if not low.isascii():
         for c in low:
             if c in _LETTER_LANG:
                 votes[_LETTER_LANG[c]] += 0.7
-    best = max(votes, key=lambda k: (votes[k], k))
-    ordered = sorted(votes.values())
-    return best if votes[best] >= 1 and ordered[-1] > ordered[-2] else None
+    top = max(votes.values())
+    if top < 1:
+        return None
+    best = [lang for lang, v in votes.items() if v == top]
+    return best[0] if len(best) == 1 else None
+
+
+def _letters(text: str) -> int:
+    return len(text.encode().translate(None, _NO_LETTERS)) if text.isascii() else sum(map(str.isalpha, text))
+
+
+def _vote(unit: str) -> tuple[str | None, int]:
+    """Language and weight of a unit, formulas aside; one letter of a dense script counts as three."""
+    if "$" in unit or "\\" in unit or "`" in unit:
+        unit = _FORMULA.sub(" ", unit)
+    lang = unit_language(unit)
+    return lang, _letters(unit) * (3 if lang in ("zh", "ja") else 1) if lang else 0
 
 
 def language_shares(units: list[str]) -> dict[str, float]:
     """Share of each language in the letters of units that have a vote."""
     weights: dict[str, float] = {}
     for u in units:
-        u = _FORMULA.sub(" ", u)
-        lang = unit_language(u)
+        lang, weight = _vote(u)
         if lang:
-            # one letter of a dense script counts as three
-            letters = sum(c.isalpha() for c in u)
-            weights[lang] = weights.get(lang, 0) + letters * (3 if lang in ("zh", "ja") else 1)
+            weights[lang] = weights.get(lang, 0) + weight
     total = sum(weights.values())
     return {k: v / total for k, v in weights.items()} if total else {}
 
 
+def other_language(units: list[str], expected: str, share: float) -> bool:
+    """Whether more than this share of the letters with a vote is in one other language and less than the rest in the expected one.
+
+    Stops where all letters that are left could not change that any more.
+    """
+    most = [_letters(u) * (1 if u.isascii() else 3) for u in units]
+    left = sum(most)
+    weights: dict[str, int] = {}
+    own = others = 0
+    for u, n in zip(units, most):
+        lang, weight = _vote(u)
+        left -= n
+        if lang == expected:
+            own += weight
+            if own * share >= (others + left) * (1 - share):
+                return False
+        elif lang:
+            others += weight
+            weights[lang] = weights.get(lang, 0) + weight
+    return bool(weights) and own < (own + others) * (1 - share) and max(weights.values()) > (own + others) * share
+
+
 _NAMES = [(lang, regex.compile("|".join(regex.escape(w) for w in names.split()))) for lang, names in LANGUAGE_NAMES.items()]
 _REQUEST = regex.compile(rf"(?:{'|'.join(regex.escape(v) for v in REQUEST_VERBS.split())})")
 

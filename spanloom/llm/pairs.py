@@ -22,15 +22,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.languages import expected_language, language_shares
+from spanloom.llm.languages import expected_language, other_language
 from spanloom.llm.sentences import (
     CLOSING_EN,
     INSIDE_DE,
@@ -44,6 +43,7 @@ from spanloom.llm.sentences import (
     TITLES_FR,
     sentence_spans,
 )
+from spanloom.partitions import joined, spread
 
 # --------------------------------------------------------------------------
 # Placeholder words, refusal and courtesy phrases (lower case).
@@ -173,8 +173,13 @@ class SuffixAutomaton:
                     self.link[q] = self.link[cur] = clone
             last = cur
 
-    def covered(self, t: str, least: int) -> int:
-        """Characters of t that lie in matches of at least so many characters."""
+    def covered(self, t: str, least: int, wanted: float = 0.0) -> int:
+        """Characters of t that lie in matches of at least so many characters.
+
+        Stops with a number below ``wanted`` as soon as too many characters lie
+        outside of matches for it to be reached.
+        """
+        spare = len(t) - wanted
         state = n = total = 0
         done = 0  # t[:done] is counted
         nxt, link, length = self.next, self.link, self.len
@@ -185,6 +190,8 @@ class SuffixAutomaton:
                     state = link[state]
                     to = nxt[state].get(c)
                 n = length[state]
+                if i - n - total > spare:  # what lies before the match is settled
+                    return total
                 if to is None:
                     n = 0
                     continue
@@ -198,34 +205,47 @@ class SuffixAutomaton:
 
 
 _KEEP = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+_ASCII_REST = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def _plain(text: str) -> str:
     """Letters and digits, without case."""
+    if text.isascii():
+        return text.lower().encode().translate(None, _ASCII_REST).decode()
     return _KEEP.sub("", text.casefold())
 
 
-@lru_cache(maxsize=512)
-def _prompt(question: str) -> tuple[int, SuffixAutomaton]:
-    q = _plain(question)
-    return len(q), SuffixAutomaton(q)
+class _Prompts:
+    """Automata and languages of prompts that were met, as far as all of them hold at most so many letters."""
+
+    def __init__(self, letters: int = 1 << 20):
+        self.most, self.letters, self.known = letters, 0, {}
 
+    def get(self, question: str) -> tuple[int, SuffixAutomaton, str | None]:
+        got = self.known.get(question)
+        if got is None:
+            q = _plain(question)
+            got = len(q), SuffixAutomaton(q), expected_language(question)
+            if self.letters + len(q) > self.most:
+                self.known, self.letters = {}, 0
+            self.known[question] = got
+            self.letters += len(q)
+        return got
 
-@lru_cache(maxsize=4096)
-def _expected(question: str) -> str | None:
-    return expected_language(question)
+
+_PROMPTS = _Prompts()
 
 
 def is_copy(text: str, question: str | None) -> bool:
     if not question:
         return False
-    n, automaton = _prompt(question)
+    n, automaton, _ = _PROMPTS.get(question)
     if n < 4:
         return False
     plain = _plain(text)
     if not plain:
         return False
-    matched = automaton.covered(plain, max(4, min(12, n // 5)))
+    matched = automaton.covered(plain, max(4, min(12, n // 5)), COPY_RESPONSE_SHARE * len(plain))
     return matched >= COPY_RESPONSE_SHARE * len(plain) and matched >= COPY_PROMPT_SHARE * n
 
 
@@ -295,11 +315,15 @@ def _open_delimiters(line: str) -> bool:
     return bool(stack) or formula is not None
 
 
+def _no_code(text: str, filler: str = "") -> str:
+    return _CODE.sub(filler, text) if "```" in text or "~~~" in text else text
+
+
 def _open_blocks(text: str) -> bool:
     """Whether a formula or an environment that may run over lines is left open, code aside."""
     environments: Counter[str] = Counter()
     formula = ""
-    for m in _BLOCK.finditer(_CODE.sub("", text)):
+    for m in _BLOCK.finditer(_no_code(text)):
         mark = m.group()
         if m.group(2):
             environments[m.group(2)] = max(0, environments[m.group(2)] + (1 if m.group(1) == "begin" else -1))
@@ -314,7 +338,7 @@ def _open_blocks(text: str) -> bool:
 
 def _open_bracket(text: str) -> bool:
     """Whether a bracket of the last paragraph is left open; half-open intervals close as well."""
-    paragraph = _BLANK.split(_CODE.sub("\n\n", text))[-1]
+    paragraph = _BLANK.split(_no_code(text, "\n\n"))[-1]
     stack: list[str] = []
     for m in _BRACKET.finditer(paragraph):
         c = m.group()
@@ -327,7 +351,7 @@ def _open_bracket(text: str) -> bool:
 
 def _closing_box(text: str) -> bool:
     """Whether the last box of a text is closed on its last line."""
-    boxes = list(_BOX.finditer(text))
+    boxes = list(_BOX.finditer(text)) if "box" in text else []
     depth = 0
     for m in _BRACE.finditer(text, boxes[-1].end() - 1) if boxes else ():
         depth += {"{": 1, "}": -1}.get(m.group(), 0)
@@ -340,9 +364,9 @@ def is_truncated(text: str, units: list[tuple[int, int]]) -> bool:
     body = text.rstrip()
     if not units:
         return False
-    if len(_FENCE.findall(body)) % 2:
+    if ("```" in body or "~~~" in body) and len(_FENCE.findall(body)) % 2:
         return True
-    if regex.search(r"<think>(?!.*</think>)", body, regex.S) and not regex.search(r"</think>", body):
+    if "<think>" in body and "</think>" not in body:
         return True
     start, end = units[-1]
     last = text[start:end]
@@ -383,39 +407,34 @@ def defect(question: str | None, response: str | None) -> str | None:
         return "refusal"
     if is_copy(response, question):
         return "copy"
-    expected = _expected(question) if question else None
-    if expected:
-        shares = language_shares([response[s:e] for s, e in units])
-        if shares and shares.get(expected, 0) < 1 - LANGUAGE_SHARE and max(shares.values()) > LANGUAGE_SHARE:
-            return "other_language"
+    expected = _PROMPTS.get(question)[2] if question else None
+    if expected and other_language([response[s:e] for s, e in units], expected, LANGUAGE_SHARE):
+        return "other_language"
     return "truncated" if is_truncated(response, units) else None
 
 
-def _defects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_OUT = pa.schema([("rtrace_id", pa.string()), ("stored_at", pa.timestamp("us", tz="UTC")), ("defect", pa.string())])
+
+
+def _defects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [defect(q if isinstance(q, str) else None, r if isinstance(r, str) else None) for q, r in zip(b["question"], b["rt"])]
-        yield pd.DataFrame({"rtrace_id": b["id"], "stored_at": b["stored_at"], "defect": found})
+        found = [defect(q, r) for q, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(3).cast(_OUT.field(1).type), pa.array(found, pa.string())], schema=_OUT)
 
 
-def broken_pairs(samples: DataFrame, traces: DataFrame, salts: int = 8) -> DataFrame:
+def broken_pairs(samples: DataFrame, traces: DataFrame) -> DataFrame:
     """(rtrace_id, defect) of each trace with a defect.
 
-    A sample may hold a large part of all traces, so the join is salted: traces
-    spread over ``salts`` parts of their sample, whose (short) prompt is repeated
-    for each.  Traces are judged row by row and repeated rows are settled on the
-    verdicts, so no text is shuffled a second time.  Traces with null id are left
-    out; of rows of one id the one stored last decides, a null time counting as
-    the earliest.
+    Prompts are sent to the traces, so no text of a trace is shuffled, unless
+    they are measured to be too large; a sample that holds a large part of all
+    traces is then dealt over parts.  Traces are judged row by row and repeated
+    rows are settled on the verdicts.  Traces with null id are left out; of rows
+    of one id the one stored last decides, a null time counting as the earliest.
     """
-    prompts = (
-        samples.select(F.col("id").alias("_sample"), "question")
-        .groupBy("_sample")
-        .agg(F.max("question").alias("question"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    rows = traces.where("id IS NOT NULL").select("id", F.col("sample_id").alias("_sample"), "rt", "stored_at", F.pmod(F.hash("id"), F.lit(salts)).alias("_salt"))
-    pairs = rows.join(prompts, ["_sample", "_salt"], "left").select("id", "question", "rt", "stored_at")
-    verdicts = pairs.mapInPandas(_defects, "rtrace_id string, stored_at timestamp, defect string")
+    prompts = samples.where("id IS NOT NULL").select(F.col("id").alias("_sample"), "question").groupBy("_sample").agg(F.max("question").alias("question"))
+    rows = spread(traces.where("id IS NOT NULL").select("id", F.col("sample_id").alias("_sample"), "rt", "stored_at"))
+    pairs = joined(rows, prompts, ["_sample"], F.col("id"), F.octet_length("question") + 64, "left").select("id", "question", "rt", "stored_at")
+    verdicts = pairs.mapInArrow(_defects, "rtrace_id string, stored_at timestamp, defect string")
     return (
         verdicts.groupBy("rtrace_id")
         .agg(F.max(F.struct("stored_at", "defect"))["defect"].alias("defect"))
