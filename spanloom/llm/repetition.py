@@ -9,7 +9,8 @@ and numbers, until a known share of the text is repetition, and the trees learn
 whether that share is at least ``SHARE``.  Scores never fall as a share of
 repetition grows, nor as the share of distinct tokens falls (monotonic
 constraints).  The fitted trees are flattened into numpy node arrays and score
-whole batches at once; texts that score as candidates are then measured exactly.
+whole batches at once; a text is repetitive if its score says that this is more
+likely than not.
 
 Letter case, spacing and numbers never matter: tokens are case-folded words,
 single letters of scripts without spaces, punctuation, and one token for every
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,89 +43,108 @@ FEATURES = ["gram4", "gram8", "gram14", "sentences", "lines", "paragraphs", "com
 MONOTONE = [1, 1, 1, 1, 1, 1, -1, -1, 0]
 #: Share of a text's letters from which it counts as repetitive.
 SHARE = 0.4
-#: Least score of a candidate that is measured exactly.
-CANDIDATE = 0.1
+#: Score from which a text counts as repetitive.
+DECISION = 0.5
 #: Most texts that the trees are trained on, and most characters of such a text.
 SAMPLE_TEXTS, SAMPLE_CHARS = 200, 20_000
 
 _DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}"
 _TOKEN = regex.compile(rf"[{_DENSE}]|\d+(?:[.,/:]\d+)*|[^\W\d_{_DENSE}]+|[^\w\s]", regex.V0)
-_SENTENCE = regex.compile(r"(?<=[.!?。！？।؟])\s+|(?<=[。！？])|\n+")
-_NUMBER = regex.compile(r"[-−]?\d+(?:[.,/:]\d+)*")
-_SPACE = regex.compile(r"\s+")
+_SENTENCE = re.compile(r"(?<=[.!?。！？।؟])\s+|(?<=[。！？])|\n+")
+_NUMBER = re.compile(r"[-−]?\d+(?:[.,/:]\d+)*")
 _P = np.uint64(0x9E3779B97F4A7C15)
+_POWER = {b: np.uint64(pow(int(_P), b, 1 << 64)) for b in (1, 2, 4, 6)}
+#: An array of no windows, for texts of fewer tokens.
+_NONE = np.zeros(0, dtype=np.uint64)
+
+
+def _window_hashes(ids: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of all windows of 4, 8 and 14 tokens, each put together from two shorter ones."""
+    known = {1: ids}
+    for k, a in ((2, 1), (4, 2), (6, 4), (8, 4), (14, 8)):
+        b = k - a
+        n = len(ids) - k + 1
+        if n < 2:
+            break
+        known[k] = known[a][:n] * _POWER[b] + known[b][a : a + n]
+    return known
+
+
+def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k tokens."""
+    n = max(0, len(ids) - k + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        h = h * _P + ids[j : j + n]
+    return h
 
 
-def _repeat_mask(ids: np.ndarray, k: int) -> np.ndarray | None:
-    """Tokens that lie in a window of k tokens that stood earlier in the text."""
-    n = len(ids) - k + 1
+def _repeat_mask(h: np.ndarray, k: int) -> np.ndarray | None:
+    """Tokens that lie in a window of k tokens that stood earlier in the text, from the windows' hashes."""
+    n = len(h)
     if n < 2:
         return None
-    h = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            h = h * _P + ids[j : j + n]
     order = np.argsort(h, kind="stable")
     s = h[order]
-    again = np.empty(n, dtype=bool)
-    again[order[0]] = False
+    again = np.zeros(n, dtype=bool)
     again[order[1:]] = s[1:] == s[:-1]
-    edge = np.zeros(len(ids) + 1, dtype=np.int32)
+    edge = np.zeros(n + k, dtype=np.int32)
     edge[:n] += again
     edge[k : k + n] -= again
     return np.cumsum(edge[:-1]) > 0
 
 
-def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of a text, one for all numbers, and the letters of each token."""
-    tokens = _TOKEN.findall(text.casefold())
-    known: dict[str, int] = {}
-    ids = np.fromiter((0 if t[0].isdigit() else known.setdefault(t, len(known) + 1) for t in tokens), dtype=np.uint64, count=len(tokens))
-    return ids, np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+def _shares(low: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of a text without letter case, one for all numbers, and the letters of each token."""
+    tokens = _TOKEN.findall(low)
+    ids = {t: 0 if t[0].isdigit() else n for n, t in enumerate(dict.fromkeys(tokens), 1)}
+    size = len(tokens)
+    return np.fromiter(map(ids.__getitem__, tokens), dtype=np.uint64, count=size), np.fromiter(map(len, tokens), dtype=np.int64, count=size)
+
+
+def _window_share(h: np.ndarray, weight: np.ndarray, k: int) -> float:
+    mask = _repeat_mask(h, k)
+    return float(weight[mask].sum() / weight.sum()) if mask is not None else 0.0
 
 
 def repeated_share(text: str | None, k: int = 8) -> float:
     """Share of the letters in passages of k tokens or more that repeat earlier ones."""
     if not text:
         return 0.0
-    ids, weight = _shares(text)
-    mask = _repeat_mask(ids, k)
-    return float(weight[mask].sum() / weight.sum()) if mask is not None else 0.0
+    ids, weight = _shares(text.casefold())
+    return _window_share(_hashes(ids, k), weight, k)
 
 
 def _part_share(parts: list[str]) -> float:
+    """Share of the letters of parts that stood earlier, up to spacing."""
     seen: set[str] = set()
     total = repeated = 0
     for p in parts:
-        p = _SPACE.sub(" ", _NUMBER.sub("0", p)).strip()
-        if not p:
-            continue
+        p = " ".join(p.split())
         total += len(p)
         if p in seen:
             repeated += len(p)
-        else:
+        elif p:
             seen.add(p)
     return repeated / total if total else 0.0
 
 
 def features(text: str | None) -> list[float]:
+    """The values of FEATURES for one text."""
     if not text or not text.strip():
         return [0.0] * 6 + [1.0, 1.0, 0.0]
-    ids, weight = _shares(text)
-    total = weight.sum()
-    out = []
-    for k in (4, 8, 14):
-        mask = _repeat_mask(ids, k) if total else None
-        out.append(float(weight[mask].sum() / total) if mask is not None else 0.0)
     low = text.casefold()
-    out.append(_part_share(_SENTENCE.split(low)))
-    out.append(_part_share(low.split("\n")))
-    out.append(_part_share(low.split("\n\n")))
-    raw = _NUMBER.sub("0", low).encode("utf-8", "surrogatepass")
-    out.append(min(1.5, len(zlib.compress(raw, 1)) / len(raw)))
-    out.append(len(np.unique(ids)) / len(ids) if len(ids) else 1.0)
-    out.append(math.log1p(len(ids)))
-    return out
+    ids, weight = _shares(low)
+    h = _window_hashes(ids)
+    flat = _NUMBER.sub("0", low)
+    raw = flat.encode("utf-8", "surrogatepass")
+    return [
+        *(_window_share(h.get(k, _NONE), weight, k) for k in (4, 8, 14)),
+        *(_part_share(parts) for parts in (_SENTENCE.split(flat), flat.split("\n"), flat.split("\n\n"))),
+        min(1.5, len(zlib.compress(raw, 1)) / len(raw)),
+        len(np.unique(ids)) / len(ids) if len(ids) else 1.0,
+        math.log1p(len(ids)),
+    ]
 
 
 # -- trees ------------------------------------------------------------------
@@ -283,18 +304,19 @@ def train(texts: list[str], seed: int = 7) -> Trees:
 _OUT = pa.schema([("rtrace_id", pa.string()), ("score", pa.float64()), ("share", pa.float64()), ("stored_at", pa.timestamp("us", tz="UTC"))])
 
 
-def repetition(traces: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
+def repetition(traces: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """(rtrace_id, score, share) of every trace.
 
     ``score`` is the trees' probability that at least ``SHARE`` of the text is
-    repetition; ``share`` is measured for every trace.  The trees are trained on
-    at most ``sample_texts`` texts of at most ``SAMPLE_CHARS`` characters, those
-    whose ids have the smallest hashes, so any run over the same rows trains the
-    same trees.
+    repetition; ``share`` is what windows of 8 tokens measure.  The trees are
+    trained on at most ``sample_texts`` texts of at most ``sample_chars``
+    characters, those whose ids have the smallest hashes, so any run over the
+    same rows trains the same trees.  Both bounds limit the training alone: every
+    text of any length is scored whole.
     """
     rows = traces.where("id IS NOT NULL").select("id", "rt", "stored_at")
-    sample = rows.where(F.length("rt") <= SAMPLE_CHARS).select("rt", F.xxhash64("id").alias("h")).orderBy("h", "rt").limit(sample_texts)
-    trees = train([r["rt"] for r in sample.collect()])
+    sample = rows.where(F.length("rt") <= sample_chars).select("rt", F.xxhash64("id").alias("h")).orderBy("h", "rt").limit(sample_texts)
+    trees = train(list(dict.fromkeys(r["rt"] for r in sample.collect())))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,6 +328,6 @@ def repetition(traces: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame
     return last.select("rtrace_id", "r.score", "r.share")
 
 
-def repetitive(traces: DataFrame) -> DataFrame:
-    """(rtrace_id) of traces of which at least ``SHARE`` is repetition: candidates by score, measured exactly."""
-    return repetition(traces).where((F.col("score") >= CANDIDATE) & (F.col("share") >= SHARE)).select("rtrace_id")
+def repetitive(traces: DataFrame, decision: float = DECISION) -> DataFrame:
+    """(rtrace_id) of traces of which at least ``SHARE`` is repetition, as the trees decide."""
+    return repetition(traces).where(F.col("score") >= decision).select("rtrace_id")

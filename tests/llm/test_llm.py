@@ -410,3 +410,24 @@ def test_other_language_is_judged_over_all_letters():
         shares = languages.language_shares(units)
         want = bool(shares) and shares.get("en", 0) < 0.5 and max(shares.values()) > 0.5
         assert languages.other_language(units, "en", 0.5) == want
+
+
+def test_trees_alone_find_repetition_in_held_out_texts():
+    rng = random.Random(11)
+    trees = repetition.train([repetition._made_up(rng) for _ in range(40)])
+    x, share = [], []
+    for _ in range(120):
+        units = [u for u in repetition._SENTENCE.split(repetition._made_up(rng)) if u.strip()]
+        text, got = repetition._repeat(units, rng.choice([0.0, rng.uniform(0.05, 0.3), rng.uniform(0.5, 0.9)]), rng)
+        x.append(repetition.features(text))
+        share.append(got)
+    assert ((trees.score(np.array(x)) >= repetition.DECISION) == (np.array(share) >= repetition.SHARE)).mean() >= 0.97
+
+
+def test_long_texts_are_scored_whole(spark):
+    rng = random.Random(12)
+    once = repetition._made_up(rng)
+    late = " ".join(repetition._made_up(rng) for _ in range(12)) + once * 60
+    assert len(late) > repetition.SAMPLE_CHARS
+    found = {r[0] for r in rows(repetition.repetitive(trace_rows(spark, [once, late])))}
+    assert found == {"t1"}
