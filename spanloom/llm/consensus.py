@@ -6,17 +6,19 @@ of the chance-centred agreement matrix.  The chance of a pair is taken from both
 annotators' own label shares, which leaves nothing to those who always give the
 same label.  The matrix is corrected for overlap counts: its entries are divided
 by the roots of both annotators' numbers of co-labelled units.  It is never
-built: its product with a vector is a sum over the labels of each unit, a
-sparse join and two aggregations linear in the votes, which power iteration
-repeats.  The reliabilities weigh the votes; one pass over each annotator's
-confusions, counted against the weighted votes, settles the labels.
+built: its product with a vector is a join of the votes with the annotators, an
+aggregation by unit, a join back with the votes and an aggregation by annotator,
+all linear in the votes.  Power iteration repeats it until the vector changes by
+less than ``TOLERANCE``.  The reliabilities weigh the votes, and the label of
+most weight is the unit's.  Optionally (``settle="confusions"``) one pass over
+each annotator's confusions, counted against the weighted votes, settles labels.
 
 Defined results for odd inputs: null labels, units and annotators don't count;
 unknown labels count as null; of several labels by one annotator for a unit the
 one saved last counts (ties: the one made last, then the smaller label); repeated
 rows count once; a unit without any label has no row; with a single annotator
-per unit all reliabilities are 0 and the vote decides alone, ties by the label
-that is more frequent overall.
+per unit all reliabilities are 0 and the vote decides alone; of labels of equal
+weight the first in order of ``LABELS`` counts.
 """
 
 from __future__ import annotations
@@ -41,12 +43,14 @@ LABELS = [
     "Final Answer Emission",
 ]
 K = len(LABELS)
-#: Power iterations; the second eigenvalue is far below the first.
-ITERATIONS = 8
+#: Most power iterations, and the change of the vector (whose greatest entry is 1) at which they stop.
+ITERATIONS, TOLERANCE = 60, 1e-6
 #: Most and least reliability that a vote is weighed with.
 MOST, LEAST = 0.97, 0.01
-#: Annotators up to which their table is sent to all workers.
-BROADCAST_ANNOTATORS = 100_000
+#: Annotators up to which their table (a few numbers for each) is sent to all workers.
+BROADCAST_ANNOTATORS = 20_000
+#: Votes in one partition of the table that the iterations read.
+PARTITION_VOTES = 500_000
 #: Characters of a bucket in the join of spans and units.
 BUCKET = 512
 #: Count that every cell of a confusion table starts with.
@@ -125,68 +129,110 @@ def _plus(parts: list[str]) -> str:
     return " + ".join(parts)
 
 
-def consensus(votes: DataFrame, galleries: dict[int, DataFrame], iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
+def _layout(base: DataFrame, n: int) -> DataFrame:
+    """Votes laid out by unit once for all iterations, so that sums over a unit need no shuffle."""
+    parts = max(base.sparkSession.sparkContext.defaultParallelism, -(-n // PARTITION_VOTES))
+    return base.repartition(parts, "unit_id").sortWithinPartitions("unit_id").persist()
+
+
+def _product(laid: DataFrame, x: DataFrame, small: bool) -> DataFrame:
+    """What the chance-centred agreement times x needs of the votes: for each annotator
+
+    ``hits`` (sum of x over equal labels of others and the own one), ``r0``.. (sums of all annotators' x times
+    label share over the annotator's units), ``d`` (votes of others in these units) and ``q`` (sums of squares of x).
+    """
+    rows = _with_annotators(laid, x, small)
+    units = rows.groupBy("unit_id").agg(
+        F.count(F.lit(1)).alias("m"), F.expr("sum(x * x) AS q"), *(F.expr(f"sum(CASE WHEN label = {k} THEN x ELSE 0D END) AS s{k}") for k in range(K)), *(F.expr(f"sum(x * p{k}) AS t{k}") for k in range(K))
+    )
+    return laid.join(units, "unit_id").groupBy("annotator").agg(F.expr(f"sum({_own('s')}) AS hits"), F.expr("CAST(sum(m - 1) AS DOUBLE) AS d"), F.sum("q").alias("q"), *(F.sum(f"t{k}").alias(f"r{k}") for k in range(K)))
+
+
+def _change(both: DataFrame, small: bool) -> tuple[float, float]:
+    """Greatest entry of z, and the most that any entry of z, scaled to it, differs from x."""
+    if small:
+        pairs = both.select("x", "z").collect()  # at most BROADCAST_ANNOTATORS rows, which the driver holds already
+        top = max((abs(r["z"]) for r in pairs), default=0.0)
+        return top, max((abs(r["z"] / top - r["x"]) for r in pairs), default=0.0) if top else 0.0
+    top = both.selectExpr("max(abs(z)) AS top").first()["top"] or 0.0
+    return top, both.selectExpr(f"max(abs(z / {top!r}D - x)) AS change").first()["change"] if top else 0.0
+
+
+def _reliabilities(laid: DataFrame, profile: DataFrame, small: bool, iterations: int) -> DataFrame:
+    """(annotator, reliability, n_votes) from power iteration."""
+    shares = [f"p{k}" for k in range(K)]
+    x = profile.selectExpr("annotator", "n", *shares, "1D AS x")
+    squares = _plus([f"p{k} * p{k}" for k in range(K)])
+    for _ in range(max(1, iterations)):
+        sums = _product(laid, x, small).join(x, "annotator")
+        # less the annotator's own share of every sum; then x is y / d, since v = root(d) x and the next v is y / root(d)
+        y = f"hits - n * x - ({_plus([f'p{k} * r{k}' for k in range(K)])}) + n * x * ({squares})"
+        both = _settled(sums.selectExpr("annotator", "n", *shares, "x", "d", "q", f"{y} AS y").selectExpr("*", "CASE WHEN d > 0 THEN y / d ELSE 0D END AS z"), small)
+        top, change = _change(both, small)
+        if not top:
+            x = both.withColumn("x", F.lit(0.0))
+            break
+        done, x = both, both.selectExpr("annotator", "n", *shares, f"z / {top!r}D AS x")
+        if change < TOLERANCE:
+            break
+    if not top:
+        return x.selectExpr("annotator", "0D AS reliability", "n AS n_votes")
+    # scale: the least-squares fit of the products of reliabilities to the centred agreements, of what is left of agreement beyond chance
+    fit = done.agg(F.expr("sum(x * y) AS top"), F.expr("sum(x * x * (q - n * x * x)) AS bottom"), F.expr("sum(x * n) AS sign"), *(F.expr(f"sum(n * p{k}) / sum(n) AS p{k}") for k in range(K))).first()
+    beyond = 1 - sum((fit[f"p{k}"] or 0.0) ** 2 for k in range(K))
+    usable = fit["top"] > 0 and fit["bottom"] > 0 and beyond > 0
+    factor = math.copysign(math.sqrt(fit["top"] / fit["bottom"] / beyond), fit["sign"]) if usable else 0.0
+    return _settled(done.selectExpr("annotator", f"x * {factor!r}D AS reliability", "n AS n_votes"), small)
+
+
+def _best(prefix: str, rows: DataFrame) -> DataFrame:
+    """(unit_id, label, agreement, n_votes) of rows with a score of each label (prefix), its weight (w) and all weight."""
+    best = "greatest(" + ", ".join(f"struct({prefix}{k} AS score, {-k} AS l, w{k} AS w)" for k in range(K)) + ")"
+    names = "array(" + ", ".join(f"'{x}'" for x in LABELS) + ")"
+    return rows.selectExpr("unit_id", f"{best} AS best", "all_w", "n_votes").selectExpr("unit_id", f"element_at({names}, 1 - best.l) AS label", "CASE WHEN all_w > 0 THEN best.w / all_w ELSE 0D END AS agreement", "n_votes")
+
+
+def consensus(votes: DataFrame, galleries: dict[int, DataFrame], iterations: int = ITERATIONS, settle: str = "votes") -> tuple[DataFrame, DataFrame]:
     """Units (unit_id, label, agreement, n_votes) and annotators (annotator, reliability, n_votes).
 
-    ``agreement`` is the winning label's share of the unit's vote weight.
+    ``agreement`` is the winning label's share of the unit's vote weight.  The
+    label is the one of most weight, or with ``settle="confusions"`` the one that
+    is likeliest by the annotators' confusion tables.
     """
+    if settle not in ("votes", "confusions"):
+        raise ValueError(f"unknown way to settle labels {settle!r}")
     base = all_votes(votes, galleries).persist()
-    profile = base.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"count_if(label = {k}) AS n{k}") for k in range(K)))
-    profile = profile.selectExpr("annotator", "n", *(f"n{k} / n AS p{k}" for k in range(K))).persist()
-    small = profile.count() <= BROADCAST_ANNOTATORS
-    profile = _settled(profile, small)
-
-    # every vote with its annotator's label shares and the unit's size, laid out by unit once for all iterations
-    laid = _with_annotators(base, profile, small).repartition("unit_id").selectExpr("*", "count(1) OVER (PARTITION BY unit_id) AS in_unit").sortWithinPartitions("unit_id").persist()
-    degree = _settled(laid.groupBy("annotator").agg(F.expr("CAST(sum(in_unit - 1) AS DOUBLE) AS d")), small)
-
-    def product(x: DataFrame) -> DataFrame:
-        """Chance-centred agreement times x, an (annotator, x) table, as (annotator, x, d, y)."""
-        rows = _with_annotators(laid, x, small).selectExpr(
-            "*",
-            *(f"sum(CASE WHEN label = {k} THEN x ELSE 0D END) OVER (PARTITION BY unit_id) AS s{k}" for k in range(K)),
-            *(f"sum(x * p{k}) OVER (PARTITION BY unit_id) AS t{k}" for k in range(K)),
-        )
-        chance = _plus([f"p{k} * (t{k} - x * p{k})" for k in range(K)])
-        return rows.groupBy("annotator").agg(F.expr(f"sum({_own('s')} - x - ({chance})) AS y"), F.expr("first(x) AS x"), F.expr("first(d) AS d"))
-
-    x = degree.selectExpr("annotator", "d", "CASE WHEN d > 0 THEN 1D ELSE 0D END AS x")
-    for _ in range(iterations):
-        # v = root(d) x; the next v is y / root(d), so the next x is y / d
-        x = _settled(product(x).selectExpr("annotator", "d", "CASE WHEN d > 0 THEN y / d ELSE 0D END AS x"), small)
-    # scale: the least-squares fit of the products of reliabilities to the centred agreements
-    top = product(x).agg(F.expr("sum(x * y) AS top")).first()["top"] or 0.0
-    squares = _with_annotators(laid.select("unit_id", "annotator"), x, small).groupBy("unit_id").agg(F.expr("sum(x * x) AS q"), F.expr("sum(x * x * x * x) AS f"))
-    bottom = squares.agg(F.expr("sum(q * q - f) AS bottom")).first()["bottom"] or 0.0
-    sizes = profile.select("annotator", "n")
-    sign = x.join(sizes, "annotator").agg(F.expr("sum(x * n) AS s")).first()["s"] or 0.0
-    shares = profile.agg(*(F.expr(f"sum(n * p{k}) / sum(n) AS p{k}") for k in range(K))).first()
-    beyond = 1 - sum((p or 0.0) ** 2 for p in shares)  # what is left of agreement beyond chance
-    factor = math.copysign(math.sqrt(top / bottom / beyond), sign) if top > 0 and bottom > 0 and beyond > 0 else 0.0
-    reliability = _settled(x.join(sizes, "annotator").selectExpr("annotator", f"x * {factor!r}D AS reliability", "n AS n_votes"), small)
+    profile = base.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"count_if(label = {k}) AS n{k}") for k in range(K))).persist()
+    size = profile.agg(F.count(F.lit(1)).alias("annotators"), F.sum("n").alias("votes")).first()
+    small = size["annotators"] <= BROADCAST_ANNOTATORS
+    profile = _settled(profile.selectExpr("annotator", "n", *(f"n{k} / n AS p{k}" for k in range(K))), small)
+    laid = _layout(base, size["votes"] or 0)
+    reliability = _reliabilities(laid, profile, small, iterations)
+    base.unpersist()
 
     # weights: log odds of the chance that the vote is right
     weighed = reliability.selectExpr("annotator", f"least(greatest(reliability, {LEAST}D), {MOST}D) AS r").selectExpr("annotator", f"r + (1 - r) / {K} AS right").selectExpr("annotator", f"ln(right * {K - 1} / (1 - right)) AS w")
-    narrow = _with_annotators(laid.select("unit_id", "annotator", "label"), weighed, small)
-    soft = narrow.groupBy("unit_id").agg(*(F.expr(f"sum(CASE WHEN label = {k} THEN w ELSE 0D END) AS w{k}") for k in range(K)))
-    peak = "greatest(" + ", ".join(f"w{k}" for k in range(K)) + ")"
-    soft = soft.selectExpr("unit_id", *(f"exp(w{k} - {peak}) AS e{k}" for k in range(K)))
-    soft = soft.selectExpr("unit_id", *(f"e{k} / ({_plus([f'e{j}' for j in range(K)])}) AS q{k}" for k in range(K))).persist()
+    narrow = _with_annotators(laid, weighed, small)
+    sums = narrow.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_votes"), F.sum("w").alias("all_w"), *(F.expr(f"sum(CASE WHEN label = {k} THEN w ELSE 0D END) AS w{k}") for k in range(K)))
+    if settle == "votes":
+        return _best("w", sums), reliability
+    return _best("l", _likely(laid, sums, small)), reliability
 
+
+def _likely(laid: DataFrame, sums: DataFrame, small: bool) -> DataFrame:
+    """sums with l0.., the log likelihood of each label by the annotators' confusions against the weighted votes."""
+    peak = "greatest(" + ", ".join(f"w{k}" for k in range(K)) + ")"
+    soft = sums.selectExpr("unit_id", *(f"exp(w{k} - {peak}) AS e{k}" for k in range(K)))
+    soft = soft.selectExpr("unit_id", *(f"e{k} / ({_plus([f'e{j}' for j in range(K)])}) AS q{k}" for k in range(K)))
     prior = soft.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"q{k}").alias(f"q{k}") for k in range(K))).first()
     before = [math.log(((prior[f"q{k}"] or 0.0) + SMOOTH) / (prior["n"] + SMOOTH * K)) for k in range(K)]
-    cells = laid.select("unit_id", "annotator", "label").join(soft, "unit_id").groupBy("annotator", "label").agg(*(F.sum(f"q{k}").alias(f"c{k}") for k in range(K)))
+    cells = laid.join(soft, "unit_id").groupBy("annotator", "label").agg(*(F.sum(f"q{k}").alias(f"c{k}") for k in range(K)))
     of_all = Window.partitionBy("annotator")  # K rows each
     likely = cells.select("annotator", "label", *(F.log((F.col(f"c{k}") + SMOOTH) / (F.sum(f"c{k}").over(of_all) + SMOOTH * K)).alias(f"l{k}") for k in range(K)))
     if small:
-        scored = narrow.join(F.broadcast(likely), ["annotator", "label"])  # K rows for each annotator
+        scored = laid.join(F.broadcast(likely), ["annotator", "label"])  # K rows for each annotator
     else:
         salted = likely.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        scored = narrow.withColumn("_salt", F.pmod(F.hash("unit_id"), F.lit(16))).join(salted, ["annotator", "label", "_salt"])
-    sums = scored.groupBy("unit_id").agg(
-        F.count(F.lit(1)).alias("n_votes"), F.sum("w").alias("all_w"), *(F.sum(f"l{k}").alias(f"l{k}") for k in range(K)), *(F.expr(f"sum(CASE WHEN label = {k} THEN w ELSE 0D END) AS w{k}") for k in range(K))
-    )
-    best = "greatest(" + ", ".join(f"struct(l{k} + ({before[k]!r}D) AS score, {-k} AS l, w{k} AS w)" for k in range(K)) + ")"
-    names = "array(" + ", ".join(f"'{x}'" for x in LABELS) + ")"
-    units = sums.selectExpr("unit_id", f"{best} AS best", "all_w", "n_votes").selectExpr("unit_id", f"element_at({names}, 1 - best.l) AS label", "CASE WHEN all_w > 0 THEN best.w / all_w ELSE 0D END AS agreement", "n_votes")
-    return units, reliability
+        scored = laid.withColumn("_salt", F.pmod(F.hash("unit_id"), F.lit(16))).join(salted, ["annotator", "label", "_salt"])
+    chances = scored.groupBy("unit_id").agg(*(F.expr(f"sum(l{k}) + ({before[k]!r}D) AS l{k}") for k in range(K)))
+    return sums.join(chances, "unit_id")

@@ -57,14 +57,20 @@ def p6_units(spark: SparkSession, d: str) -> DataFrame:
     return units.select("unit_id", "label", F.round("agreement", 6).alias("agreement"), "n_votes")
 
 
+def p6_confusions(spark: SparkSession, d: str) -> DataFrame:
+    """Label of every unit if the annotators' confusion tables settle it."""
+    units, _ = _consensus(spark, d, "confusions")
+    return units.select("unit_id", "label")
+
+
 def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
     """Reliability of every annotator."""
     _, annotators = _consensus(spark, d)
     return annotators.select("annotator", F.round("reliability", 6).alias("reliability"), "n_votes")
 
 
-def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return consensus.consensus(read(spark, d, "ta_votes"), {1: read(spark, d, "thought_anchor_gold_ha"), 8: read(spark, d, "thought_anchor_gold_ve")})
+def _consensus(spark: SparkSession, d: str, settle: str = "votes") -> tuple[DataFrame, DataFrame]:
+    return consensus.consensus(read(spark, d, "ta_votes"), {1: read(spark, d, "thought_anchor_gold_ha"), 8: read(spark, d, "thought_anchor_gold_ve")}, settle=settle)
 
 
 def p8_filling(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_units": p6_units,
+    "p6_confusions": p6_confusions,
     "p6_annotators": p6_annotators,
     "p8_filling": p8_filling,
     "p9_found": p9_found,

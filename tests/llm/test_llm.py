@@ -431,3 +431,39 @@ def test_long_texts_are_scored_whole(spark):
     assert len(late) > repetition.SAMPLE_CHARS
     found = {r[0] for r in rows(repetition.repetitive(trace_rows(spark, [once, late])))}
     assert found == {"t1"}
+
+
+def test_power_iteration_against_the_dense_matrix(spark):
+    rng = random.Random(9)
+    care = {a: rng.uniform(0.1, 0.95) for a in range(2, 9)}
+    v = []
+    for u in range(150):
+        truth = rng.randrange(8)
+        for a in rng.sample(sorted(care), rng.randint(1, 5)):
+            v.append((u, f"t{u % 9}", u * 10, u * 10 + 9, a, consensus.LABELS[truth if rng.random() < care[a] else rng.randrange(8)], T0, T0, "x"))
+    none = spark.createDataFrame([], SPANS)
+    votes = spark.createDataFrame(v, VOTE)
+    _, annotators = consensus.consensus(votes, {1: none})
+    got = {r["annotator"]: r["reliability"] for r in annotators.collect()}
+    names = sorted(care)
+    own = {(u, a): consensus.LABELS.index(label) for u, _, _, _, a, label, *_ in v}
+    share = {a: np.bincount([k for (_, b), k in own.items() if b == a], minlength=8) / sum(b == a for _, b in own) for a in names}
+    m, d = np.zeros((7, 7)), np.zeros(7)
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = [u for u in range(150) if i != j and (u, a) in own and (u, b) in own]
+            m[i, j] = sum((own[u, a] == own[u, b]) - share[a] @ share[b] for u in both)
+            d[i] += len(both)
+    values, vectors = np.linalg.eigh(m / np.sqrt(np.outer(d, d)))
+    want = vectors[:, np.argmax(np.abs(values))] / np.sqrt(d)
+    have = np.array([got[a] for a in names])
+    assert np.allclose(have / np.abs(have).max(), want / want[np.argmax(np.abs(want))] * np.sign(have[np.argmax(np.abs(have))]), atol=1e-4)
+    # beyond the bound on annotators, by salted joins and checkpoints
+    before, consensus.BROADCAST_ANNOTATORS = consensus.BROADCAST_ANNOTATORS, 0
+    try:
+        units, far = consensus.consensus(votes, {1: none}, settle="confusions")
+        assert all(abs(r["reliability"] - got[r["annotator"]]) < 1e-6 for r in far.collect()) and units.count() == 150
+    finally:
+        consensus.BROADCAST_ANNOTATORS = before
+    with pytest.raises(ValueError):
+        consensus.consensus(votes, {1: none}, settle="dice")
