@@ -18,8 +18,9 @@ of 10 tokens, at most one word in ``MISMATCH`` of it is replaced and replaced
 words stand apart, so of the block's four anchors and those beside it at least
 two are found at the same offset, each in a pair of its own.
 
-Only the items, a bounded table, are ever sent to all workers; more than
-``ITEMS`` items are searched in blocks of that many.  Tokens are compared
+Only the items are ever sent to all workers.  They are measured first: more than
+``ITEMS`` of them, or than ``ITEM_BYTES`` of text, are searched in blocks.  Stock
+sentences are counted over all items, whatever block they fall into.  Tokens are compared
 without letter case, spacing, line marks and punctuation.
 
 Defined results for odd inputs: null and empty items and documents match
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.sentences import sentence_spans
-from spanloom.partitions import spread
+from spanloom.partitions import joined, shared_dir, spread
 
 #: Least length of a passage: words, or characters in scripts without spaces.
 WORDS, CHARACTERS = 20, 30
@@ -52,14 +53,16 @@ DENSE_BLOCK, DENSE_ANCHORS = 5, 3
 MISMATCH, APART = 7, 3
 #: Tokens in a row that match somewhere in every passage: its replaced words and one line mark leave at least one such run.
 RUN, DENSE_RUN = 5, 3
-#: Offsets that are looked at at a time.
-CHUNK = 4_096
+#: Tokens that are compared at a time.
+CHUNK = 1 << 20
 #: Tokens that line marks may put between two runs of a passage.
 DRIFT = 2
+#: Tokens of the item that a replaced word may have been, by how much the offset changes behind it; 0 is a line mark put in.
+_GAPS = {-2: (3,), -1: (0, 1, 2, 3), 0: (1, 2, 3), 1: (0, 1, 2), 2: (0, 1)}
 #: Items in which a sentence stands from which it is a stock sentence, and least words of a passage outside of them.
 STOCK, OWN_WORDS = 3, 5
-#: Items that are searched for at a time.
-ITEMS = 5_000
+#: Items, and bytes of their texts, that are searched for at a time.
+ITEMS, ITEM_BYTES = 5_000, 16 << 20
 #: Tokens within which a document must hold two anchors to be kept in the index.
 NEAR = 60
 
@@ -120,15 +123,16 @@ def _sentences(text: str) -> set[str]:
     return {_plain(text[s:e]) for s, e in sentence_spans(text)} - {""}
 
 
-def read_items(rows: list[tuple[int, str]], stock: set[str] | None = None) -> tuple[list[Item], dict[str, int]]:
-    """The items and their terms; stock sentences are counted over the rows if they aren't given."""
+def read_items(rows: list[tuple[int, str]], stock: dict[int, set[str]] | None = None) -> tuple[list[Item], dict[str, int]]:
+    """The items and their terms; each item's stock sentences are counted over the rows if they aren't given."""
     if stock is None:
         shared: Counter[str] = Counter()
         for _, text in rows:
             shared.update(_sentences(text))
-        stock = {s for s, n in shared.items() if n >= STOCK}
+        common = {s for s, n in shared.items() if n >= STOCK}
+        stock = {i: common for i, _ in rows}
     terms: dict[str, int] = {}
-    return [Item(i, t, terms, stock) for i, t in rows], terms
+    return [Item(i, t, terms, stock.get(i, set())) for i, t in rows], terms
 
 
 def choose_anchors(items: list[Item], df: np.ndarray) -> list[tuple[int, int, int]]:
@@ -177,15 +181,15 @@ def passages(item: Item, doc: np.ndarray, offsets: list[int]) -> list[tuple[int,
     chains: dict[tuple[int, int], tuple[int, dict[int, int]]] = {}
     for start, end, off in runs:
         least = {start: 0}
-        for shift in range(-1, DRIFT + 1):
-            for gap in (0, 1) if shift else (1,):
+        for shift in range(-DRIFT, DRIFT + 1):
+            for gap in _GAPS[shift]:
                 before = chains.get((off - shift, start - gap))
-                if before is None:
-                    continue
+                if before is None or gap > 1 and (item.dense or item.words[start - gap] != item.words[start - 1]):
+                    continue  # a gap of several tokens must be one word, such as a number with decimals
                 length, known = before
                 for first, replaced in known.items():
                     if shift or length >= APART or first == start - gap - length:
-                        least[first] = min(least.get(first, m), replaced + gap)
+                        least[first] = min(least.get(first, m), replaced + (gap > 0))
         chains[off, end] = end - start, least
         # a chain may hold a passage though its whole has too many replaced words
         best += [(first, end, replaced) for first, replaced in least.items() if replaced * MISMATCH <= end - first and item.long_enough(first, end)]
@@ -193,26 +197,34 @@ def passages(item: Item, doc: np.ndarray, offsets: list[int]) -> list[tuple[int,
 
 
 class Runs:
-    """Looks for runs of matching tokens at many offsets of a document at once."""
+    """Looks for runs of matching tokens at many offsets of a document at once; items lie one behind the other in one array."""
 
     def __init__(self, items: list[Item]):
-        longest = max((len(i.ids) for i in items), default=0)
-        self.items = np.full((len(items), longest), -2, dtype=np.int32)
-        for n, i in enumerate(items):
-            self.items[n, : len(i.ids)] = i.ids
-        self.run = np.array([DENSE_RUN if i.dense else RUN for i in items], dtype=np.int8)
-        self.places = np.arange(longest)
+        self.size = np.array([len(i.ids) for i in items], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([np.zeros(0, dtype=np.int32), *(i.ids for i in items)])
+        self.run = np.array([DENSE_RUN if i.dense else RUN for i in items], dtype=np.int64)
 
     def keep(self, doc: np.ndarray, item: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Which of the (item, offset) candidates have a run."""
         out = np.zeros(len(item), dtype=bool)
-        for k in range(0, len(item), CHUNK):
-            at = off[k : k + CHUNK, None] + self.places
-            inside = (at >= 0) & (at < len(doc))
-            same = (doc[np.where(inside, at, 0)] == self.items[item[k : k + CHUNK]]) & inside
-            run = same[:, :-2] & same[:, 1:-1] & same[:, 2:]
-            long = run[:, :-2] & run[:, 2:]
-            out[k : k + CHUNK] = np.where(self.run[item[k : k + CHUNK]] == RUN, long.any(axis=1), run.any(axis=1))
+        low = np.maximum(0, -off.astype(np.int64))
+        shared = np.maximum(0, np.minimum(self.size[item], len(doc) - off) - low)  # tokens that the item and the document have at this offset
+        block = (np.cumsum(shared) - shared) // CHUNK
+        for k in np.unique(block):
+            part = np.flatnonzero((block == k) & (shared > 0))
+            if not len(part):
+                continue
+            n = shared[part]
+            own = np.repeat(np.arange(len(part)), n)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            at = place + low[part][own]
+            same = doc[at + off[part][own]] == self.flat[at + self.first[item[part]][own]]
+            seen = np.concatenate([[0], np.cumsum(same)])
+            need = self.run[item[part]][own]
+            end = np.arange(1, len(own) + 1)
+            long = (place + 1 >= need) & (seen[end] - seen[np.maximum(end - need, 0)] == need)
+            out[part] = np.bincount(own[long], minlength=len(part)) > 0
         return out
 
 
@@ -221,18 +233,20 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("term", pa.list_(pa.int32())), ("po
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("replaced", pa.int32())])
 
 
-def _stock_sentences(items: DataFrame) -> set[str]:
-    """Stock sentences of all items, whatever block they fall into."""
+def _stock_sentences(items: DataFrame) -> DataFrame:
+    """(item_id, stock): the stock sentences of each item that has any, counted over all items."""
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([s for t in b.column(0).to_pylist() for s in _sentences(t)], pa.string())], names=["sentence"])
+            own = [(i, s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in _sentences(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([s for _, s in own], pa.string())], names=["item_id", "sentence"])
 
-    counted = items.select("text").mapInArrow(sentences, "sentence string").groupBy("sentence").agg(F.count(F.lit(1)).alias("n"))
-    return {r["sentence"] for r in counted.where(F.col("n") >= STOCK).collect()}
+    every = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(sentences, "item_id bigint, sentence string")
+    common = every.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= STOCK).select("sentence")
+    return joined(every, common, ["sentence"], F.col("item_id"), F.octet_length("sentence") + 32).groupBy("item_id").agg(F.collect_list("sentence").alias("stock"))
 
 
-def _search(documents: DataFrame, rows: list[tuple[int, str]], stock: set[str] | None = None) -> DataFrame | None:
+def _search(documents: DataFrame, rows: list[tuple[int, str]], stock: dict[int, set[str]]) -> DataFrame | None:
     spark = documents.sparkSession
     items, terms = read_items(rows, stock)
     if not terms:
@@ -313,7 +327,10 @@ def _search(documents: DataFrame, rows: list[tuple[int, str]], stock: set[str] |
                         out[3].append(replaced)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _LEAKS)], schema=_LEAKS)
 
-    return candidates.join(postings.select("doc_id", "tokens"), "doc_id").select("doc_id", "candidates", "tokens").mapInArrow(verify, "doc_id bigint, item_id bigint, words int, replaced int")
+    both = candidates.join(postings.select("doc_id", "tokens"), "doc_id").select("doc_id", "candidates", "tokens")
+    found = both.mapInArrow(verify, "doc_id bigint, item_id bigint, words int, replaced int").checkpoint()  # small, and the index can go
+    postings.unpersist()
+    return found
 
 
 def leaks(documents: DataFrame, items: DataFrame, block: int = ITEMS) -> DataFrame:
@@ -323,15 +340,18 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = ITEMS) -> DataFra
     replaces; 0 is an exact phrase.
     """
     known = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
-    n = known.count()
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shared_dir(documents.sparkSession)
     found = None
-    parts = max(1, -(-n // block))
-    stock = _stock_sentences(known) if parts > 1 else None
+    parts = max(1, -(-size["n"] // block), -(-(size["bytes"] or 0) // ITEM_BYTES))
+    marked = known.join(_stock_sentences(known), "item_id", "left").withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
     for k in range(parts):
-        rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else known
-        one = _search(documents, sorted((r["item_id"], r["text"]) for r in rows.collect()), stock)
+        rows = sorted((r["item_id"], r["text"], r["stock"] or ()) for r in marked.where(F.col("_part") == k).collect())
+        one = _search(documents, [(i, t) for i, t, _ in rows], {i: set(s) for i, _, s in rows})
         if one is not None:
             found = one if found is None else found.unionByName(one)
     if found is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, words int, replaced int")
-    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.min("replaced").alias("replaced"))
+    # rows of repeated documents are settled; words and replaced words are of the same passage
+    longest = F.max_by(F.struct("words", "replaced"), F.struct(F.col("words"), -F.col("replaced"))).alias("p")
+    return found.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", "p.words", "p.replaced")

@@ -282,7 +282,8 @@ def test_leaks(spark):
     items = spark.createDataFrame([(10, ITEM), (10, ITEM), (11, OTHER), (12, ZH), (13, "Short item. " + STOCK), (14, OTHER.replace("marbles", "kites")), (15, None), (None, ITEM), (16, "")], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r["replaced"] for r in leaks.leaks(table, items).collect()}
     assert set(got) == {(1, 10), (2, 10), (5, 12)} and got[1, 10] == 0 and got[2, 10] == 3
-    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(table, items, block=2).collect()} == set(got)
+    for block in (1, 2, 3):
+        assert {(r["doc_id"], r["item_id"]): r["replaced"] for r in leaks.leaks(table, items, block=block).collect()} == got
     assert leaks.leaks(table, items.limit(0)).count() == 0 and leaks.leaks(table.limit(0), items).count() == 0
 
 
@@ -393,8 +394,26 @@ def test_sketches_follow_exact_quantiles(spark):
     table = {r["language"]: r for r in quality.quantile_table(stats, 1).collect()}
     en = exact[exact.language == "en"].mean_word
     got = table["en"]["q_mean_word"]
-    for level, value in zip(quality.LEVELS, got):
-        assert abs((en <= value).mean() - level) < 0.06
+    for level in quality.LEVELS:
+        assert abs((en <= got[quality.RANKS.index(level)]).mean() - level) < 0.06
+
+
+def test_tails_begin_in_the_valley():
+    def limits(few, heap):
+        q = sorted([heap] * round(200 * few) + [0.97] * (201 - round(200 * few)))
+        return quality.tail_limits("prose_share", q, q)[0]
+
+    for few in (0.02, 0.3, 0.6, 0.97):
+        assert limits(few, 0.1) == quality.MAIN_PART and limits(few, 0.0) == pytest.approx(0.485) and limits(few, 0.3) == quality.MAIN_PART
+    assert quality.tail_limits("prose_share", [0.0] * 201, [0.0] * 201)[0] == quality.MAIN_PART  # nothing but lists
+    whole = [0.0] * 60 + [1.0] * 141
+    assert quality.tail_limits("prose_share", [0.98] * 201, whole)[0] == quality.MAIN_PART and quality.tail_limits("list_share", [0.0] * 201, [0.0] * 201)[1] < 0.2
+    assert quality.tail_limits("mean_word", [4.0] * 201, whole) == pytest.approx((4 - 0.7, 4 + 0.7))
+
+
+def test_a_corpus_of_lists_alone(spark):
+    table = spark.createDataFrame([(i, f"- oak lens {i}\n- copper rod\n- zinc disc\n- tin") for i in range(20)], "doc_id bigint, text string")
+    assert dict(rows(quality.no_prose(table))) == dict.fromkeys(range(20), "list")
 
 
 def test_rules_see_the_whole_line():
@@ -467,3 +486,58 @@ def test_power_iteration_against_the_dense_matrix(spark):
         consensus.BROADCAST_ANNOTATORS = before
     with pytest.raises(ValueError):
         consensus.consensus(votes, {1: none}, settle="dice")
+
+
+def test_runs_against_brute_force():
+    rng = np.random.default_rng(3)
+    items, _ = leaks.read_items([(1, " ".join(f"w{k}" for k in rng.integers(0, 3, 40))), (2, "w1 w2 w0"), (3, "".join("一二三"[k] for k in rng.integers(0, 3, 30)))])
+    runs = leaks.Runs(items)
+    for n in (1, 7, 60):
+        doc = rng.integers(-1, 6, n).astype(np.int32)
+        pairs_ = [(i, o) for i in range(3) for o in range(-45, n + 3)]
+        item, off = np.array([i for i, _ in pairs_], dtype=np.int32), np.array([o for _, o in pairs_], dtype=np.int32)
+        got = runs.keep(doc, item, off)
+        for (i, o), k in zip(pairs_, got):
+            need, best, here = (leaks.DENSE_RUN if items[i].dense else leaks.RUN), 0, 0
+            for p, t in enumerate(items[i].ids):
+                here = here + 1 if 0 <= p + o < n and doc[p + o] == t else 0
+                best = max(best, here)
+            assert k == (best >= need)
+
+
+def test_recall_of_planted_passages(spark):
+    """Passages of the given items, of all lengths from the least and in every script, with words replaced (not the outer two), in other case, spacing and punctuation."""
+    rng = random.Random(21)
+    table = spark.read.parquet(f"{DATA}/eval_items.parquet").select("item_id", "text").where("text IS NOT NULL")
+    items, _ = leaks.read_items(sorted((r["item_id"], r["text"]) for r in table.collect()), {r["item_id"]: set(r["stock"]) for r in leaks._stock_sentences(table).collect()})
+    texts = {r["item_id"]: leaks._HIDDEN.sub("", r["text"]) for r in table.collect()}
+    filler = [w for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL").limit(60).collect() for w in r["text"].split()]
+    docs, planted = [], []
+    for n, item in enumerate(rng.choice(items) for _ in range(700)):
+        spans = [m.span() for m in leaks._TOKEN.finditer(texts[item.item_id])]
+        if len(spans) != len(item.ids):
+            continue
+        least = leaks.CHARACTERS if item.dense else leaks.WORDS
+        start = rng.randrange(len(spans))
+        while start > 0 and not item.dense and item.words[start - 1] == item.words[start]:
+            start -= 1  # whole words
+        end, size = start, least + rng.randrange(15)
+        while end < len(spans) and not (item.long_enough(start, end + 1) and (item.dense or item.words[end] - item.words[start] + 1 >= size) and (end + 1 == len(spans) or item.dense or item.words[end + 1] != item.words[end])):
+            end += 1
+        if end == len(spans):
+            continue
+        words = texts[item.item_id][spans[start][0] : spans[end][1]]
+        if not item.dense:
+            words = words.split()
+            for k in range(rng.randrange(4), len(words) - 1, rng.randrange(7, 12)):
+                if rng.random() < 0.6 and k:
+                    words[k] = "replacedword"
+            words = "".join(w.strip(",;") + rng.choice([" ", "  ", "\n> ", ", "]) for w in words)
+            words = rng.choice([str, str.upper, str.lower])(words)
+        at = [rng.choice(filler) for _ in range(40)]
+        docs.append((n, " ".join(at) + "\n" + words + "\n" + " ".join(reversed(at))))
+        planted.append((n, item.item_id))
+    assert len(planted) > 300
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), table).collect()}
+    recall = sum(p in got for p in planted) / len(planted)
+    assert recall >= 0.97
