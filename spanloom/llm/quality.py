@@ -5,9 +5,13 @@ mean word length, symbol, digit and common-word shares, share of lines ending
 in punctuation, and the shares of its letters that stand in lines of prose, of
 lists, of tables and of junk).  Quantile sketches of every statistic, one per
 language and one of all documents, merge partition by partition; from them each
-value becomes a percentile band and a robust z-score, and values in the tails
-are flagged.  A document whose prose share lies in the low tail is then named
-after what its main part is.
+value becomes a percentile band and a robust z-score, and come the limits of the
+tails of every statistic.  The shares of prose, lists, tables and junk heap up at
+both ends, so their tails begin in the valley between the heaps, the widest gap
+between neighbouring quantiles, wherever it lies and however large the heaps are;
+without a valley, as those of the other statistics, at a robust z-score.  A
+document with its prose share in the low tail and a share of lists, tables or
+junk in its high tail is named after the one that is furthest out.
 
 Defined results for odd inputs: a null text counts as empty; an empty text has
 zero counts and shares and is no kind; documents of a language with fewer than
@@ -42,16 +46,19 @@ _MENU = frozenset(MENU_WORDS.split())
 
 KINDS = ["prose", "list", "table", "junk"]
 STATISTICS = ["words", "mean_word", "symbol_share", "digit_share", "common_share", "end_share", "repeat_share", "prose_share", "list_share", "table_share", "junk_share"]
+#: Statistics that are shares of a text's parts.
+PARTS = [f"{k}_share" for k in KINDS]
 #: Robust z-score beyond which a value lies in a tail.
 TAIL_Z = 3.5
 #: Least spread of a statistic that a z-score divides by.
 LEAST_SPREAD = 0.05
-#: The median prose share is taken as at least this, so that a corpus with little prose doesn't make it normal.
-PROSE_FLOOR = 0.6
-#: Prose share under which a text is no prose in its main part. The spread of the prose share is bounded so that all below it lies in the low tail, however much of the corpus isn't prose.
-PROSE_CUT = 0.5
-#: Size of the sketches.
-SKETCH_K = 200
+#: Least gap between neighbouring quantiles of a part's share that is a valley.
+VALLEY = 0.2
+#: A text of which more than this is prose isn't anything else in its main part, and a part beyond it is the main one.
+MAIN_PART = 0.5
+#: Size of the sketches, ranks at which they are read, and those of the percentile bands.
+SKETCH_K = 400
+RANKS = [i / 200 for i in range(201)]
 LEVELS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 _OWN = {lang: sorted(set(words.split()) - {w for other, ws in STOPWORDS.items() if other != lang for w in ws.split()}) for lang, words in STOPWORDS.items()}
@@ -250,49 +257,85 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 def quantile_table(stats: DataFrame, least: int = 200) -> DataFrame:
-    """(language, n, q_<statistic> array of quantiles at LEVELS) for every language.
+    """(language, n, few, q_<statistic>) for every language, quantiles at RANKS, and a row of all documents with language null.
 
-    The sketches of all languages merge into one of the whole corpus, whose
-    quantiles stand in for languages of fewer than ``least`` documents and for
-    documents without a known language.
+    The sketches of all languages merge into the one of the whole corpus.
+    ``few`` marks languages of fewer than ``least`` documents, and documents
+    without a known language, which are held against the whole corpus.
     """
-    own = sketches(stats)
-    whole = own.agg(*(F.kll_merge_agg_double(s).alias(s) for s in STATISTICS)).first()  # one row of sketches of fixed size
-
-    def quantiles(sketch: Column) -> Column:
-        return F.array(*(F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in LEVELS))
-
-    few = (F.col("n") < least) | (F.col("language") == "und")
-    return own.select("language", "n", *(quantiles(F.when(few, F.lit(whole[s]).cast("binary")).otherwise(F.col(s))).alias(f"q_{s}") for s in STATISTICS))
+    own = stats.sparkSession.createDataFrame(sketches(stats).toArrow())  # a row of sketches of fixed size for each of the known languages
+    whole = own.agg(F.lit(None).cast("string").alias("language"), F.sum("n").alias("n"), *(F.kll_merge_agg_double(s).alias(s) for s in STATISTICS)).where("n > 0")
+    ranks = F.array(*map(F.lit, RANKS))
+    few = F.coalesce((F.col("n") < least) | (F.col("language") == "und"), F.lit(False))
+    return own.unionByName(whole).select("language", "n", few.alias("few"), *(F.kll_sketch_get_quantile_double(s, ranks).alias(f"q_{s}") for s in STATISTICS))
+
+
+def valley(q: list[float]) -> float | None:
+    """The middle of the widest gap between neighbouring quantiles, None if no gap is wide."""
+    gaps = [b - a for a, b in zip(q, q[1:])]
+    widest = max(gaps)
+    at = gaps.index(widest)
+    return (q[at] + q[at + 1]) / 2 if widest >= VALLEY else None
+
+
+def centre_and_spread(s: str, q: list[float]) -> tuple[float, float]:
+    """Median of a statistic and its interquartile range as a deviation, from its quantiles."""
+    middle, low, high = (q[RANKS.index(r)] for r in (0.5, 0.25, 0.75))
+    floor = LEAST_SPREAD if s.endswith("share") else max(LEAST_SPREAD, abs(middle) * LEAST_SPREAD)
+    return middle, max((high - low) * 0.7413, floor)
+
+
+def tail_limits(s: str, own: list[float], whole: list[float]) -> tuple[float, float]:
+    """Values of a statistic at which its low and its high tail begin, from the quantiles of a language and of the corpus."""
+    centre, spread_ = centre_and_spread(s, own)
+    low, high = centre - TAIL_Z * spread_, centre + TAIL_Z * spread_
+    if s not in PARTS:
+        return low, high
+    gap = valley(own)
+    gap = valley(whole) if gap is None else gap
+    if s == "prose_share":
+        # where hardly any text is prose, no text is out of the ordinary, but none is prose either
+        return min(MAIN_PART, gap if gap is not None else low if centre > MAIN_PART else MAIN_PART), high
+    return low, min(MAIN_PART, gap if gap is not None else high)
+
+
+def _limits(stats: DataFrame, least: int) -> DataFrame:
+    """(language, l_<statistic> of centre, spread, low, high and the quantiles at LEVELS): one row for each known language."""
+    table = quantile_table(stats, least).collect()  # a row for each of the known languages and one of all
+    whole = next((r for r in table if r["language"] is None), None)
+    rows = []
+    for r in table:
+        if r["language"] is not None:
+            used = whole if r["few"] else r
+            parts = []
+            for s in STATISTICS:
+                q = list(used[f"q_{s}"])
+                low, high = tail_limits(s, q, list(whole[f"q_{s}"]))
+                parts.append((*centre_and_spread(s, q), low, high, [q[RANKS.index(x)] for x in LEVELS]))
+            rows.append((r["language"], *parts))
+    kind = "struct<centre:double,spread:double,low:double,high:double,levels:array<double>>"
+    return stats.sparkSession.createDataFrame(rows, "language string, " + ", ".join(f"l_{s} {kind}" for s in STATISTICS))
 
 
 def scored_statistics(documents: DataFrame, least: int = 200) -> DataFrame:
     """document_statistics with z_<statistic>, a robust z-score, and band_<statistic>, how many of LEVELS lie at or below the value, and ``tails``, the statistics whose value lies in a tail."""
     stats = document_statistics(documents).persist()
-    table = quantile_table(stats, least)
-    scored = stats.join(F.broadcast(table), "language")  # a row for each of the known languages
-    middle, low, high = LEVELS.index(0.5), LEVELS.index(0.25), LEVELS.index(0.75)
-
-    def z(s: str) -> Column:
-        q = F.col(f"q_{s}")
-        floor = F.lit(LEAST_SPREAD) if s.endswith("share") else F.greatest(F.lit(LEAST_SPREAD), F.abs(q[middle]) * LEAST_SPREAD)
-        spread_of = F.greatest((q[high] - q[low]) * F.lit(0.7413), floor)
-        if s != "prose_share":
-            return (F.col(s) - q[middle]) / spread_of
-        centre = F.greatest(q[middle], F.lit(PROSE_FLOOR))
-        return (F.col(s) - centre) / F.least(spread_of, (centre - F.lit(PROSE_CUT)) / F.lit(TAIL_Z))
-
-    scored = scored.select(*stats.columns, *(z(s).alias(f"z_{s}") for s in STATISTICS), *(F.expr(f"size(filter(q_{s}, q -> q <= {s})) AS band_{s}") for s in STATISTICS))
-    tails = F.array_compact(F.array(*(F.when(F.abs(F.col(f"z_{s}")) > TAIL_Z, F.lit(s)) for s in STATISTICS)))
-    return scored.withColumn("tails", tails)
+    scored = stats.join(F.broadcast(_limits(stats, least)), "language")  # a row for each of the known languages
+    out = [F.when((F.col(s) < F.col(f"l_{s}.low")) | (F.col(s) > F.col(f"l_{s}.high")), F.lit(s)) for s in STATISTICS]
+    beyond = [F.struct(((F.col(f"{k}_share") - F.col(f"l_{k}_share.high")) / (1 - F.col(f"l_{k}_share.high"))).alias("by"), F.lit(k).alias("kind")) for k in KINDS if k != "prose"]
+    return scored.select(
+        *stats.columns,
+        *(((F.col(s) - F.col(f"l_{s}.centre")) / F.col(f"l_{s}.spread")).alias(f"z_{s}") for s in STATISTICS),
+        *(F.expr(f"size(filter(l_{s}.levels, q -> q <= {s})) AS band_{s}") for s in STATISTICS),
+        F.array_compact(F.array(*out)).alias("tails"),
+        F.when((F.col("prose_share") < F.col("l_prose_share.low")) & (F.greatest(*beyond)["by"] > 0), F.greatest(*beyond)["kind"]).alias("kind"),
+    )
 
 
 def no_prose(documents: DataFrame, least: int = 200) -> DataFrame:
     """(doc_id, kind) of documents that are a list, a table or junk in their main part.
 
-    A document is looked at if its prose share lies in the low tail of its
-    language; its kind is the one that most of its letters belong to.
+    Those are the ones with the prose share in its low tail and a share of lists,
+    tables or junk in its high tail, named after the one furthest out.
     """
-    scored = scored_statistics(documents, least).where((F.col("z_prose_share") < -TAIL_Z) & (F.col("prose_share") < PROSE_CUT))
-    shares = [F.struct(F.col(f"{k}_share").alias("share"), F.lit(k).alias("kind")) for k in KINDS if k != "prose"]
-    return scored.select("doc_id", F.greatest(*shares).alias("main")).where(F.col("main.share") > F.lit(0.0)).select("doc_id", F.col("main.kind").alias("kind")).distinct()
+    return scored_statistics(documents, least).where("kind IS NOT NULL").select("doc_id", "kind").distinct()
