@@ -36,12 +36,25 @@ _WORD = regex.compile(rf"[{_DENSE}]|[^\W\d_{_DENSE}]+", regex.V0)
 _SPACE = regex.compile(r"\s+")
 
 
-_STRETCH = regex.compile(rf"[^\s{END_MARKS}]+")
+_ENDS = regex.compile(rf"[\s{END_MARKS}]")
+_ENDS_BEFORE = regex.compile(rf"(?r)[\s{END_MARKS}]")
 
 
-def is_forced(text: str, capacity: int) -> bool:
-    """Whether a text holds a stretch beyond the limit without white space and end marks."""
-    return len(text) > capacity and any(m.end() - m.start() > capacity for m in _STRETCH.finditer(text))
+def is_forced(text: str, cuts: list[tuple[int, int, str]], capacity: int) -> bool:
+    """Whether a cut fell into a stretch beyond the limit without white space and end marks.
+
+    A text that holds such a stretch always has one: no piece can hold the whole
+    stretch, so some piece ends inside of it, where there is neither a sentence
+    boundary nor white space to cut at.  A cut may also be forced on a shorter
+    stretch, by the overlap before it; that doesn't count.
+    """
+    for _, cut, kind in cuts:
+        if kind == "hard":
+            before = _ENDS_BEFORE.search(text, 0, cut)
+            behind = _ENDS.search(text, cut)
+            if (behind.start() if behind else len(text)) - (before.end() if before else 0) > capacity:
+                return True
+    return False
 
 
 def valley_depths(units: list[list[str]], block: int = BLOCK) -> list[float]:
@@ -139,7 +152,7 @@ def split_traces(traces: DataFrame, limits: DataFrame, purpose: str = "rt_pieces
 
     The limit and overlap come from ``limits`` (purpose, capacity, overlap).
     ``pieces`` is an array of (piece_start, piece_end, cut); ``forced`` is 1 if
-    the text holds a stretch beyond the limit without white space and end marks.
+    a cut fell into a stretch beyond the limit without white space and end marks.
     """
     limit = limits.where(F.col("purpose") == purpose).select("capacity", "overlap").orderBy("capacity").first()
     schema = "rtrace_id string, n_chars int, forced int, pieces array<struct<piece_start:int,piece_end:int,cut:string>>"
@@ -150,9 +163,10 @@ def split_traces(traces: DataFrame, limits: DataFrame, purpose: str = "rt_pieces
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            cut = [[dict(zip(("piece_start", "piece_end", "cut"), p)) for p in pieces(t, capacity, overlap)] for t in texts]
+            made = [pieces(t, capacity, overlap) for t in texts]
+            cut = [[dict(zip(("piece_start", "piece_end", "cut"), p)) for p in ps] for ps in made]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.string()), pa.array(cut, _OUT.field(1).type), pa.array([len(t) for t in texts], pa.int32()), pa.array([int(is_forced(t, capacity)) for t in texts], pa.int32()), b.column(2).cast(_OUT.field(4).type)],
+                [b.column(0).cast(pa.string()), pa.array(cut, _OUT.field(1).type), pa.array([len(t) for t in texts], pa.int32()), pa.array([int(is_forced(t, ps, capacity)) for t, ps in zip(texts, made)], pa.int32()), b.column(2).cast(_OUT.field(4).type)],
                 schema=_OUT,
             )
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -146,11 +147,19 @@ def test_pieces_properties():
         if t:
             assert cut[0][0] == 0 and cut[-1][1] == len(t) and all(b[0] == a[1] - 9 for a, b in zip(cut, cut[1:]))
     assert splitting.pieces(None, 60, 9) == splitting.pieces("", 60, 9) == []
-    assert [c for _, _, c in splitting.pieces("x" * 100, 60, 9)] == ["hard", "end"] and splitting.is_forced("x" * 61, 60) and not splitting.is_forced("x" * 60, 60)
+    assert [c for _, _, c in splitting.pieces("x" * 100, 60, 9)] == ["hard", "end"]
     with pytest.raises(ValueError):
         splitting.pieces("abc", 10, 5)
 
 
+def test_forced_cuts_are_the_long_stretches():
+    rng = random.Random(13)
+    for _ in range(400):
+        t = "".join(rng.choice(["x" * rng.randint(1, 90), " ", ". ", "\n", "。", "?", "w. "]) for _ in range(rng.randint(0, 12)))
+        want = max((len(x) for x in re.split(rf"[\s{splitting.END_MARKS}]", t)), default=0) > 60
+        assert splitting.is_forced(t, splitting.pieces(t, 60, 9), 60) == want
+
+
 def test_valley_between_topics():
     a, b = [["oak", "lens", "mass"]] * 8, [["tax", "rate", "loan"]] * 8
     depth = splitting.valley_depths(a + b)
