@@ -4,7 +4,7 @@ A depth-first visitor walks each payload once and emits tagged rows: the tag of
 a table, the row's key, its parent's key and a JSON payload.  All flat tables
 come out of this one pass; each is its tag's rows with a schema applied to the
 payload, so writing the rows partitioned by tag stores every table without
-reading the records again.
+reading the records again, and reading one table reads its partition only.
 
 Keys are paths of zero-based positions from the outermost node down.
 
@@ -19,19 +19,20 @@ alike, except that a node's label list without labels gives one label ''.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.partitions import spread
+from spanloom.partitions import once, shared_dir, spread
 
 #: Tables by tag, with the schema of their payload.
 TABLES = {
     "document": "doc_id string, title string, place string, metadata string",
     "node": "node_id string, annotated int, source string, node_start bigint, node_end bigint, text string",
-    "label": "node_id string, annotated int, label_no int, label string",
+    "label": "label_no int, label string",
     "edge": "edge_id string, from_node_id string, to_node_id string, label string",
 }
 
@@ -91,10 +92,9 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str, dict]]:
         path, parent, node = stack.pop()
         if not isinstance(node, dict):
             continue
-        node_id, annotated = _text(node.get("id")) or "", _annotated(node.get("annotation"))
-        yield "node", path, parent, {"node_id": node_id, "annotated": annotated, "source": _text(node.get("source")), "node_start": _whole(node.get("start")), "node_end": _whole(node.get("end")), "text": _text(node.get("text"))}
+        yield "node", path, parent, {"node_id": _text(node.get("id")) or "", "annotated": _annotated(node.get("annotation")), "source": _text(node.get("source")), "node_start": _whole(node.get("start")), "node_end": _whole(node.get("end")), "text": _text(node.get("text"))}
         for k, label in enumerate(_labels(node.get("label"))):
-            yield "label", f"{path}#{k}", path, {"node_id": node_id, "annotated": annotated, "label_no": k, "label": label}
+            yield "label", f"{path}#{k}", path, {"label_no": k, "label": label}
         stack += [(f"{path}/{i}", path, n) for i, n in reversed(list(enumerate(_array(node.get("children")))))]
     for i, edge in enumerate(_array(record.get("edges")) or _array(inner.get("edges"))):
         if isinstance(edge, dict):
@@ -102,6 +102,7 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str, dict]]:
 
 
 _ROWS = pa.schema([("tag", pa.string()), ("record_id", pa.int64()), ("key", pa.string()), ("parent_key", pa.string()), ("payload", pa.string())])
+ROWS = "tag string, record_id bigint, key string, parent_key string, payload string"
 #: Rows that the visitor hands on at a time.
 _CHUNK = 20_000
 
@@ -123,8 +124,9 @@ def tagged_rows(records: DataFrame, tags: list[str] | None = None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
 
-    last = records.where("record_id IS NOT NULL").groupBy("record_id").agg(F.max_by("payload", F.struct("received_at", "payload")).alias("payload"))
-    return spread(last).mapInArrow(emit, "tag string, record_id bigint, key string, parent_key string, payload string")
+    # only payloads of records that came several times are shuffled
+    last = once(records.select("record_id", "payload", "received_at"), "record_id", [F.col("received_at"), F.col("payload")])
+    return spread(last.select("record_id", "payload")).mapInArrow(emit, ROWS)
 
 
 def table_of(rows: DataFrame, tag: str) -> DataFrame:
@@ -137,11 +139,20 @@ def write_tables(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("tag").parquet(path)
 
 
-def labelled_nodes(records: DataFrame) -> DataFrame:
-    """(record_id, parent_path, node_path, node_id, annotated, label): a row for each node and each of its labels.
+def stored_tables(records: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """The flat tables by tag, written once and read back.
 
-    Label rows carry their node's id and flag, so the table needs no join.
+    Without a path they lie in a folder of their own in the shared folder.
     """
-    labels = table_of(tagged_rows(records, ["label"]), "label")
-    parent = F.when(F.col("parent_key").contains("/"), F.regexp_replace("parent_key", "/[0-9]+$", "")).otherwise(F.lit(""))
-    return labels.select("record_id", parent.alias("parent_path"), F.col("parent_key").alias("node_path"), "node_id", "annotated", "label").distinct()
+    spark = records.sparkSession
+    path = path or f"{shared_dir(spark)}/nested-{uuid.uuid4().hex}"
+    write_tables(tagged_rows(records), path)
+    rows = spark.read.schema(ROWS).parquet(path)
+    return {tag: table_of(rows, tag) for tag in TABLES}
+
+
+def labelled_nodes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(record_id, parent_path, node_path, node_id, annotated, label): a row for each node and each of its labels, by the link from label to node."""
+    nodes = tables["node"].select("record_id", F.col("key").alias("node_path"), F.col("parent_key").alias("parent_path"), "node_id", "annotated")
+    labels = tables["label"].select("record_id", F.col("parent_key").alias("node_path"), "label")
+    return nodes.join(labels, ["record_id", "node_path"]).select("record_id", "parent_path", "node_path", "node_id", "annotated", "label").distinct()

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom import partitions
 from spanloom.operators import coherence, engines, fusion, intervals, metrics, nested, search, series, units
 from spanloom.sources import annotation_tool, gold, store
 from spanloom.streaming import resume
@@ -273,11 +274,11 @@ def test_nested_records(spark):
         '{"document": {"title": "t", "nodes": {"id": 5, "annotation": null, "label": []}}}', None, "", "{broken", "[1]", '{"nodes": null}', '{"nodes": [{"id": NaN}]}', json.dumps({"nodes": [deep]}) if False else '{"nodes": []}',
     ]
     df = spark.createDataFrame([(i, p, None, "clash") for i, p in enumerate(payloads)] * 2 + [(None, payloads[0], None, "clash")], "record_id bigint, payload string, received_at timestamp, label string")
-    got = rows(nested.labelled_nodes(df))
+    got = rows(nested.labelled_nodes(nested.stored_tables(df)))
     assert got == [(0, "", "0", "a", 1, "x"), (0, "", "0", "a", 1, "y"), (0, "", "2", "", -1, ""), (0, "0", "0/0", "", 0, ""), (1, "", "0", "5", -1, "")]
-    tables = {t: nested.table_of(nested.tagged_rows(df), t).count() for t in nested.TABLES}
+    tables = {t: x.count() for t, x in nested.stored_tables(df).items()}
     assert tables == {"document": 4, "node": 4, "label": 6, "edge": 1}
-    assert nested.labelled_nodes(df.limit(0)).count() == 0
+    assert nested.labelled_nodes(nested.stored_tables(df.limit(0))).count() == 0
 
 
 def test_tagged_rows_round_trip(spark, tmp_path):
@@ -287,7 +288,34 @@ def test_tagged_rows_round_trip(spark, tmp_path):
     nodes = nested.table_of(back, "node")
     children = nodes.where("parent_key <> ''").select("record_id", F.col("parent_key").alias("key"))
     assert children.join(nodes, ["record_id", "key"], "left_anti").count() == 0
-    assert rows(nested.labelled_nodes(raw).select("record_id", "node_path").distinct()) == rows(nodes.select("record_id", "key"))
+    read_back = {t: nested.table_of(back, t) for t in nested.TABLES}
+    assert rows(nested.labelled_nodes(read_back).select("record_id", "node_path").distinct()) == rows(nodes.select("record_id", "key"))
+
+
+def test_rows_that_came_once_stay_where_they_are(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, "b", 7), (2, "c", 1), (2, "c", 1), (3, "d", None), (None, "x", 1)], "k bigint, v string, t int")
+    out = partitions.once(df, "k", [F.col("t"), F.col("v")])
+    assert rows(out) == [(1, "b", 7), (2, "c", 1), (3, "d", None)] and out.columns == df.columns
+    single = df.where("k = 3")
+    assert rows(partitions.once(single, "k", [F.col("t")])) == [(3, "d", None)]
+    before, partitions.BROADCAST_BYTES = partitions.BROADCAST_BYTES, 0
+    try:
+        assert rows(partitions.once(df, "k", [F.col("t"), F.col("v")])) == [(1, "b", 7), (2, "c", 1), (3, "d", None)]
+    finally:
+        partitions.BROADCAST_BYTES = before
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_joins_stand_hot_keys(spark, bound):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}" if i % 2 else None) for i in range(600)], "id int, k string")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("unused", 3)], "k string, v int")
+    before, partitions.BROADCAST_BYTES = partitions.BROADCAST_BYTES, bound
+    try:
+        inner, outer = (partitions.joined(left, right, ["k"], F.col("id"), how=how).select("id", "k", "v") for how in ("inner", "left"))
+        assert inner.count() == 401 and outer.count() == 600
+        assert sorted(r["id"] for r in outer.where("v IS NOT NULL").collect()) == sorted(r["id"] for r in inner.collect())
+    finally:
+        partitions.BROADCAST_BYTES = before
 
 
 # -- sources, store, streaming, search --------------------------------------------
