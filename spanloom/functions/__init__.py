@@ -3,19 +3,12 @@
 Everything here is text of Spark SQL expressions on columns of one row, so a
 whole chain of operators on a text stays in one stage without a shuffle.  Spans
 are ``array<struct<s:int,e:int>>``, labelled spans have ``label:string`` too,
-boundaries are ``array<int>``.
+boundaries are ``array<int>``.  Folds that would be quadratic as expressions are
+in ``arrays``.
 """
 
 from __future__ import annotations
 
-#: Spans of consecutive pieces from the array of their lengths.
-def spans_of_lengths(lengths: str) -> str:
-    return (
-        f"aggregate({lengths}, named_struct('p', 0, 'o', CAST(array() AS array<struct<s:int,e:int>>)), "
-        "(a, n) -> named_struct('p', a.p + n, 'o', concat(a.o, array(named_struct('s', a.p, 'e', a.p + n)))), a -> a.o)"
-    )
-
-
 def retile(spans: str, length: str) -> str:
     """Spans of which each ends where the next starts and the last at the end of the text; a lone one is the whole text."""
     return (
@@ -37,23 +30,3 @@ def starts_and_ends(spans: str) -> str:
 def pair_up(boundaries: str) -> str:
     """Spans between consecutive boundaries."""
     return f"transform(slice({boundaries}, 1, greatest(size({boundaries}) - 1, 0)), (b, i) -> named_struct('s', b, 'e', get({boundaries}, i + 1)))"
-
-
-def counts(values: str) -> str:
-    """array<struct<b:int,n:int>> of a sorted array's distinct values and how often each occurs, in one fold."""
-    return (
-        f"aggregate({values}, named_struct('b', CAST(NULL AS int), 'n', 0, 'o', CAST(array() AS array<struct<b:int,n:int>>)), "
-        "(a, v) -> CASE WHEN a.b = v THEN named_struct('b', v, 'n', a.n + 1, 'o', a.o) "
-        "ELSE named_struct('b', v, 'n', 1, 'o', CASE WHEN a.b IS NULL THEN a.o ELSE concat(a.o, array(named_struct('b', a.b, 'n', a.n))) END) END, "
-        "a -> CASE WHEN a.b IS NULL THEN a.o ELSE concat(a.o, array(named_struct('b', a.b, 'n', a.n))) END)"
-    )
-
-
-def nearest(b: str, others: str) -> str:
-    """Distance of a boundary to the nearest of others."""
-    return f"array_min(transform({others}, y -> abs({b} - y)))"
-
-
-def half_even(x: str, digits: int = 0) -> str:
-    """Rounding of ties to the even digit."""
-    return f"bround({x}, {digits})"

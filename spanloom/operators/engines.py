@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import retile
+from spanloom.functions import arrays, retile
 from spanloom.operators.units import SENTENCE_PATTERN
 
 # --------------------------------------------------------------------------
@@ -35,13 +35,10 @@ def at_delimiter(df: DataFrame, delimiter: str, text: str = "text") -> DataFrame
     leaves an empty span behind it; an empty text is one empty span.
     """
     pieces = F.split(F.col(text), delimiter, -1)
-    width = len(delimiter)
-    starts = (
-        f"aggregate(_p, named_struct('p', 0, 'o', CAST(array() AS array<int>)), (a, x) -> named_struct('p', a.p + length(x) + {width}, 'o', concat(a.o, array(a.p))), a -> a.o)"
-    )
-    kept = "CASE WHEN size(_s) > 1 AND _p[0] = '' THEN slice(_s, 2, size(_s) - 1) ELSE _s END"
-    spans = f"transform(_k, (s, i) -> named_struct('s', s, 'e', CAST(coalesce(get(_k, i + 1), length({text})) AS int)))"
-    return df.withColumn("_p", pieces).withColumn("_s", F.expr(starts)).withColumn("_k", F.expr(kept)).select(*df.columns, F.expr(spans).alias("spans"))
+    tiles = arrays.tiled_spans(F.transform("_p", lambda x: F.length(x) + len(delimiter)))
+    kept = "CASE WHEN size(_t) > 1 AND _p[0] = '' THEN slice(_t, 2, size(_t) - 1) ELSE _t END"
+    spans = f"transform(_k, (x, i) -> named_struct('s', x.s, 'e', CAST(coalesce(get(_k, i + 1).s, length({text})) AS int)))"
+    return df.withColumn("_p", pieces).withColumn("_t", tiles).withColumn("_k", F.expr(kept)).select(*df.columns, F.expr(spans).alias("spans"))
 
 
 def marker_pattern(markers: list[str]) -> str:
@@ -57,10 +54,9 @@ def at_markers(df: DataFrame, markers: list[str] | None = None, text: str = "tex
     """Adds ``spans``: base units in which a marker stands open a new span; the last ends with the text.  A text without units has none."""
     found = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))
     rule = F.lit(marker_pattern(markers or all_markers()))
-    facts = F.transform(found, lambda x, i: F.struct(F.length(x).alias("n"), ((i == 0) | F.rlike(F.lower(x), rule)).alias("opens")))
-    starts = "aggregate(_f, named_struct('p', 0, 'o', CAST(array() AS array<int>)), (a, x) -> named_struct('p', a.p + x.n, 'o', CASE WHEN x.opens THEN concat(a.o, array(a.p)) ELSE a.o END), a -> a.o)"
-    spans = f"transform(_s, (s, i) -> named_struct('s', s, 'e', CAST(coalesce(get(_s, i + 1), length({text})) AS int)))"
-    return df.withColumn("_f", facts).withColumn("_s", F.expr(starts)).select(*df.columns, F.expr(spans).alias("spans"))
+    facts = F.transform(found, lambda x: F.struct(F.length(x).alias("n"), F.rlike(F.lower(x), rule).alias("opens")))
+    spans = arrays.grouped_spans(F.transform("_f", lambda x: x["n"]), F.transform("_f", lambda x: x["opens"]))
+    return df.withColumn("_f", facts).select(*df.columns, spans.alias("spans"))
 
 
 def family_flags(unit: str = "unit") -> list:
@@ -82,12 +78,7 @@ def clean(df: DataFrame, spans: str = "spans", length: str = "n") -> DataFrame:
 # -- runs of equal labels -----------------------------------------------------
 def label_runs(df: DataFrame, units: str = "units") -> DataFrame:
     """Adds ``spans`` (s, e, label): from the first unit's start to the last unit's end of each run of equal labels."""
-    fold = (
-        f"aggregate({units}, CAST(array() AS array<struct<s:int,e:int,label:string>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).label <=> x.label "
-        "THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', x.e, 'label', x.label))) "
-        "ELSE concat(a, array(named_struct('s', x.s, 'e', x.e, 'label', x.label))) END)"
-    )
-    return df.withColumn("spans", F.expr(fold))
+    return df.withColumn("spans", arrays.label_runs(F.col(units)))
 
 
 def absorbed_runs(df: DataFrame, units: str = "units", length: str = "n") -> DataFrame:

@@ -1,8 +1,9 @@
 """Late fusion of several segmentations of one text.
 
 ``all_spans`` is an array with the spans of each engine.  Flatten, union,
-intersect, voting and fuzzy are folds over sorted boundaries; the best path and
-label fusion walk the spans once in Arrow batches.  Nothing is shuffled.
+intersect, voting and fuzzy sort the boundaries of a row and count them; the best
+path and label fusion walk the spans once.  All are linear in the spans but for
+sorting, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import counts, pair_up, starts_and_ends
+from spanloom.functions import arrays, pair_up, starts_and_ends
 
 SPANS = "array<struct<s:int,e:int>>"
 _ARROW_SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32())])
@@ -35,23 +36,22 @@ def union(df: DataFrame, all_spans: str = "all_spans") -> DataFrame:
 def intersect(df: DataFrame, all_spans: str = "all_spans") -> DataFrame:
     """Adds ``fused``: spans between the boundaries that every engine has, 0 and the greatest boundary."""
     per_engine = f"array_sort(flatten(transform({all_spans}, x -> array_distinct(concat(transform(x, y -> y.s), transform(x, y -> y.e))))))"
-    common = f"array_sort(array_distinct(concat(transform(filter({counts('_all')}, c -> c.n = size({all_spans})), c -> c.b), array(0, array_max(_all)))))"
-    out = df.withColumn("_all", F.expr(per_engine)).withColumn("_b", F.expr(f"CASE WHEN size(_all) = 0 THEN CAST(array() AS array<int>) ELSE {common} END"))
-    return out.withColumn("fused", F.expr(pair_up("_b"))).drop("_all", "_b")
+    common = f"array_sort(array_distinct(concat(transform(filter(_n, c -> c.n = size({all_spans})), c -> c.b), array(0, array_max(_all)))))"
+    out = df.withColumn("_all", F.expr(per_engine)).withColumn("_n", arrays.counted("_all")).withColumn("_b", F.expr(f"CASE WHEN size(_all) = 0 THEN CAST(array() AS array<int>) ELSE {common} END"))
+    return out.withColumn("fused", F.expr(pair_up("_b"))).drop("_all", "_n", "_b")
 
 
 def voting(df: DataFrame, threshold: int | None = None, all_spans: str = "all_spans") -> DataFrame:
     """Adds ``fused``: spans between boundaries with enough votes.  Starts and an engine's last end are votes; the threshold is by default more than half of the engines."""
     votes = f"array_sort(flatten(transform({all_spans}, x -> concat(transform(x, y -> y.s), IF(size(x) > 0, array(element_at(x, -1).e), CAST(array() AS array<int>))))))"
     enough = str(threshold) if threshold is not None else f"size({all_spans}) div 2 + 1"
-    out = df.withColumn("_v", F.expr(votes)).withColumn("_b", F.expr(f"transform(filter({counts('_v')}, c -> c.n >= {enough}), c -> c.b)"))
-    return out.withColumn("fused", F.expr(pair_up("_b"))).drop("_v", "_b")
+    out = df.withColumn("_n", arrays.counted(F.expr(votes))).withColumn("_b", F.expr(f"transform(filter(_n, c -> c.n >= {enough}), c -> c.b)"))
+    return out.withColumn("fused", F.expr(pair_up("_b"))).drop("_n", "_b")
 
 
 def fuzzy(df: DataFrame, distance: int = 1, all_spans: str = "all_spans") -> DataFrame:
     """Adds ``fused``: spans between cluster heads; a boundary within ``distance`` of its cluster's first is dropped, so the last one may vanish."""
-    heads = f"aggregate(_all, CAST(array() AS array<int>), (a, b) -> CASE WHEN size(a) = 0 OR b - element_at(a, -1) > {distance} THEN concat(a, array(b)) ELSE a END)"
-    return df.withColumn("_all", F.expr(flattened(all_spans))).withColumn("_b", F.expr(heads)).withColumn("fused", F.expr(pair_up("_b"))).drop("_all", "_b")
+    return df.withColumn("_b", arrays.cluster_heads(F.expr(flattened(all_spans)), F.lit(distance))).withColumn("fused", F.expr(pair_up("_b"))).drop("_b")
 
 
 def best_path(segmentations: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:

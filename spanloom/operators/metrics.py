@@ -1,9 +1,10 @@
 """Scores of segmentations against others.
 
-Every metric is an SQL expression on two span arrays of one row (``gold`` and
-``pred``, lengths in ``n``), so a table of all metrics is one projection behind
-one join on the text's key.  Evaluation boundaries are the ends of all spans but
-the last.
+Every metric is a column of two span arrays of one row (``gold`` and ``pred``,
+lengths in ``n``), so a table of all metrics is one projection behind one join on
+the text's key.  Evaluation boundaries are the ends of all spans but the last.
+What holds boundaries or spans of both sides against each other is linear in
+their number but for sorting.
 
 Defined results for degenerate inputs: P_k and WindowDiff are null where the
 text is not longer than their window; displacement is infinite if either side
@@ -13,10 +14,13 @@ as the metric's docstring says.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions import ends, nearest
+from spanloom.functions import ends
+from spanloom.functions.arrays import mean_overlaps, nearest, window_rates
 
 #: Presets: decay of soft boundary scores, window of the B-score, slack of the cover, bins of the density.
 SIGMA, WINDOW, SLACK, BINS = 5.0, 3, 10, 20
@@ -27,74 +31,87 @@ def with_boundaries(df: DataFrame, gold: str = "gold", pred: str = "pred") -> Da
     return df.withColumns({"gb": F.expr(ends(gold)), "pb": F.expr(ends(pred))})
 
 
-def near_share(a: str, b: str, window: float) -> str:
+def _ratio(a: Column, b: Column) -> Column:
+    return a / F.nullif(b, F.lit(0))
+
+
+def near_share(a: str, b: str, window: float) -> Column:
     """Share of the boundaries a that have one of b within the window."""
-    return f"size(filter({a}, x -> exists({b}, y -> abs(x - y) <= {window}))) / size({a})"
+    distance = nearest(F.col(a), F.col(b))
+    return _ratio(F.size(F.filter(distance, lambda x: x <= window)), F.size(a))
 
 
-def precision() -> str:
-    return "CASE WHEN size(pb) = 0 THEN 0D ELSE size(array_intersect(gb, pb)) / size(array_distinct(pb)) END"
+def precision() -> Column:
+    return F.when(F.size("pb") == 0, 0.0).otherwise(_ratio(F.size(F.array_intersect("gb", "pb")), F.size(F.array_distinct("pb"))))
 
 
-def recall() -> str:
-    return "CASE WHEN size(gb) = 0 THEN 1D ELSE size(array_intersect(gb, pb)) / size(array_distinct(gb)) END"
+def recall() -> Column:
+    return F.when(F.size("gb") == 0, 1.0).otherwise(_ratio(F.size(F.array_intersect("gb", "pb")), F.size(F.array_distinct("gb"))))
 
 
-def f_score(p: str, r: str) -> str:
+def f_score(p: Column, r: Column) -> Column:
     """Harmonic mean; both sides are bound to a name, so each is computed once."""
-    return f"transform(array(named_struct('p', CAST({p} AS double), 'r', CAST({r} AS double))), x -> CASE WHEN x.p + x.r > 0 THEN 2 * x.p * x.r / (x.p + x.r) ELSE 0D END)[0]"
+    both = F.array(F.struct(p.cast("double").alias("p"), r.cast("double").alias("r")))
+    return F.get(F.transform(both, lambda x: F.when(x["p"] + x["r"] > 0, 2 * x["p"] * x["r"] / (x["p"] + x["r"])).otherwise(0.0)), F.lit(0))
+
+
+def _unless_empty(a: str, b: str, value: Column) -> Column:
+    """1 if neither side has boundaries, 0 if one has none."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(value)
 
 
-def b_score(a: str = "gb", b: str = "pb", window: float = WINDOW) -> str:
+def b_score(a: str = "gb", b: str = "pb", window: float = WINDOW) -> Column:
     """Boundary similarity: harmonic mean of both directions' near shares; 1 if neither has boundaries, 0 if one has none."""
-    m, k = near_share(a, b, window), near_share(b, a, window)
-    return f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE {f_score(f'({m})', f'({k})')} END"
+    return _unless_empty(a, b, f_score(near_share(a, b, window), near_share(b, a, window)))
 
 
-def cover(a: str = "pb", b: str = "gb", slack: float = SLACK) -> str:
+def cover(a: str = "pb", b: str = "gb", slack: float = SLACK) -> Column:
     """Share of the boundaries a within the slack of any of b; 1 if a has none."""
-    return f"CASE WHEN size({a}) = 0 THEN 1D ELSE {near_share(a, b, slack)} END"
+    return F.when(F.size(a) == 0, 1.0).otherwise(near_share(a, b, slack))
 
 
-def jitter_similarity(a: str = "gb", b: str = "pb", jitter: int = 3) -> str:
+def jitter_similarity(a: str = "gb", b: str = "pb", jitter: int = 3) -> Column:
     """One-sided similarity: boundaries of a near one of b, over the number of b (may exceed 1) and of a, in harmonic mean; if one has none, 1 if the other has none too, else 0."""
-    near_a = f"size(filter({a}, x -> exists({b}, y -> abs(x - y) <= {jitter})))"
-    return f"CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN IF(size({a}) = size({b}), 1D, 0D) ELSE {f_score(f'{near_a} / size({b})', f'{near_a} / size({a})')} END"
+    near = F.size(F.filter(nearest(F.col(a), F.col(b)), lambda x: x <= jitter))
+    return _unless_empty(a, b, f_score(_ratio(near, F.size(b)), _ratio(near, F.size(a))))
 
 
-def soft(a: str, b: str, sigma: float = SIGMA) -> str:
+def soft(a: str, b: str, sigma: float = SIGMA) -> Column:
     """Mean decay of the distance from each boundary of a to the nearest of b."""
-    return f"aggregate(transform({a}, x -> exp(-{nearest('x', b)} / {sigma}D)), 0D, (t, v) -> t + v) / size({a})"
+    return _ratio(F.aggregate(nearest(F.col(a), F.col(b)), F.lit(0.0), lambda t, x: t + F.exp(-x / sigma)), F.size(a))
 
 
-def soft_f() -> str:
-    p, r = soft("pb", "gb"), soft("gb", "pb")
-    return f"CASE WHEN size(gb) = 0 AND size(pb) = 0 THEN 1D WHEN size(gb) = 0 OR size(pb) = 0 THEN 0D ELSE {f_score(f'({p})', f'({r})')} END"
+def soft_precision() -> Column:
+    return F.when(F.size("pb") == 0, F.when(F.size("gb") == 0, 1.0).otherwise(0.0)).when(F.size("gb") == 0, 0.0).otherwise(soft("pb", "gb"))
 
 
-def displacement() -> str:
-    """Mean distance from a gold boundary to the nearest predicted one."""
-    return f"CASE WHEN size(gb) = 0 OR size(pb) = 0 THEN double('Infinity') ELSE aggregate(transform(gb, x -> CAST({nearest('x', 'pb')} AS double)), 0D, (t, v) -> t + v) / size(gb) END"
+def soft_recall() -> Column:
+    return F.when(F.size("gb") == 0, 1.0).when(F.size("pb") == 0, 0.0).otherwise(soft("gb", "pb"))
 
 
-def bias() -> str:
-    """Surplus of predicted boundaries over gold ones, relative to the gold's number."""
-    return "(size(pb) - size(gb)) / greatest(1, size(gb))"
+def soft_f() -> Column:
+    return _unless_empty("gb", "pb", f_score(soft("pb", "gb"), soft("gb", "pb")))
 
 
-def _best_overlap(share: str) -> str:
-    inter = "greatest(0, least(g.e, p.e) - greatest(g.s, p.s))"
-    value = f"coalesce(array_max(transform(filter(pred, p -> p.e > p.s), p -> {share.format(i=inter)})), 0D)"
-    return f"aggregate(transform(filter(gold, g -> g.e > g.s), g -> {value}), 0D, (t, v) -> t + v) / nullif(size(filter(gold, g -> g.e > g.s)), 0)"
+def displacement() -> Column:
+    """Mean distance from a gold boundary to the nearest predicted one."""
+    total = F.aggregate(nearest(F.col("gb"), F.col("pb")), F.lit(0.0), lambda t, x: t + x)
+    return F.when((F.size("gb") == 0) | (F.size("pb") == 0), float("inf")).otherwise(_ratio(total, F.size("gb")))
 
 
-def mean_iou() -> str:
+def bias() -> Column:
+    """Surplus of predicted boundaries over gold ones, relative to the gold's number."""
+    return F.expr("(size(pb) - size(gb)) / greatest(1, size(gb))")
+
+
+def mean_iou() -> Column:
     """Mean over gold spans of the best intersection over union with a predicted span."""
-    return _best_overlap("CAST({i} AS double) / nullif((g.e - g.s) + (p.e - p.s) - {i}, 0)")
+    return mean_overlaps(F.col("gold"), F.col("pred"))["iou"]
 
 
-def mean_dice() -> str:
-    return _best_overlap("2D * {i} / ((g.e - g.s) + (p.e - p.s))")
+def mean_dice() -> Column:
+    """Mean over gold spans of the best Dice score with a predicted span."""
+    return mean_overlaps(F.col("gold"), F.col("pred"))["dice"]
 
 
 def density(b: str, bins: int = BINS) -> str:
@@ -103,38 +120,26 @@ def density(b: str, bins: int = BINS) -> str:
     return f"transform(sequence(0, {bins - 1}), i -> CASE WHEN size({b}) = 0 OR n = 0 THEN 1e-9D ELSE {count} / (size({b}) * (n / {bins}D)) + 1e-9D END)"
 
 
-def density_jsd(a: str = "gb", b: str = "pb", bins: int = BINS) -> str:
+def density_jsd(a: str = "gb", b: str = "pb", bins: int = BINS) -> Column:
     """Half the sums of P ln(P/M) and Q ln(Q/M) of both densities, which are not normalised."""
     part = "zip_with({x}, {y}, (p, q) -> p * ln(p / ((p + q) / 2)))"
     p, q = density(a, bins), density(b, bins)
     total = "aggregate({v}, 0D, (t, v) -> t + v)"
-    return f"0.5D * {total.format(v=part.format(x=p, y=q))} + 0.5D * {total.format(v=part.format(x=q, y=p))}"
-
-
-def _window_rates(differs: str) -> str:
-    """Share of positions 0 <= i < n - k for which ``differs`` (of ga and pa, the boundaries of either side in (i, i + k]) holds.
-
-    The counts change only where i passes a boundary b or b - k, so each stretch
-    between such points is judged once and weighed by its length.
-    """
-    points = "array_sort(array_distinct(filter(concat(array(0, n - k), gb, pb, transform(gb, b -> b - k), transform(pb, b -> b - k)), x -> x >= 0 AND x <= n - k)))"
-    ga, pa = "size(filter(gb, b -> b > i AND b <= i + k))", "size(filter(pb, b -> b > i AND b <= i + k))"
-    stretch = f"zip_with(slice(pts, 1, size(pts) - 1), slice(pts, 2, size(pts) - 1), (i, j) -> IF({differs.format(ga=ga, pa=pa)}, j - i, 0))"
-    return f"aggregate(transform(array({points}), pts -> aggregate({stretch}, 0, (t, v) -> t + v)), 0, (t, v) -> t + v) / (n - k)"
+    return F.expr(f"0.5D * {total.format(v=part.format(x=p, y=q))} + 0.5D * {total.format(v=part.format(x=q, y=p))}")
 
 
 #: The window of P_k and WindowDiff: half the mean gold span, ties to even.
-K = "greatest(1, CAST(bround(n / CAST(size(gold) AS double) / 2, 0) AS int))"
+K = "greatest(1, CAST(bround(n / nullif(CAST(size(gold) AS double), 0) / 2, 0) AS int))"
 
 
-def p_k() -> str:
-    """Needs a column k (K); for contiguous spans."""
-    return f"CASE WHEN n > k THEN {_window_rates('({ga} = 0) <> ({pa} = 0)')} END"
+def p_k() -> Column:
+    """Share of windows that hold a boundary on one side only; for contiguous spans."""
+    return window_rates(F.col("gb"), F.col("pb"), F.col("n"), F.expr(K))["p_k"]
 
 
-def window_diff() -> str:
-    """Share of windows whose boundary counts differ; needs a column k; for contiguous spans."""
-    return f"CASE WHEN n > k THEN {_window_rates('{ga} <> {pa}')} END"
+def window_diff() -> Column:
+    """Share of windows whose boundary counts differ; for contiguous spans."""
+    return window_rates(F.col("gb"), F.col("pb"), F.col("n"), F.expr(K))["window_diff"]
 
 
 def intrinsic(spans: str = "pred") -> dict[str, str]:
@@ -153,21 +158,33 @@ def with_moments(df: DataFrame, spans: str = "pred") -> DataFrame:
     return df.withColumn("moments", F.expr(fold))
 
 
-#: Metrics of a gold and a predicted segmentation, by group.
-REGISTRY: dict[str, dict[str, str]] = {
-    "classical": {"p_k": p_k(), "window_diff": window_diff()},
-    "boundary_accuracy": {"precision": precision(), "recall": recall(), "boundary_f1": f_score(f"({precision()})", f"({recall()})"), "soft_f1": soft_f(), "displacement": displacement()},
-    "segment_structure": {"mean_iou": mean_iou(), "mean_dice": mean_dice(), "bias": bias()},
-    "agreement": {"b_score": b_score(), "density_jsd": density_jsd()},
-    "optimistic": {"boundary_cover": cover()},
-}
-METRICS = {name: e for group in REGISTRY.values() for name, e in group.items()}
+#: Metrics of a gold and a predicted segmentation, by group; each makes its column.
+REGISTRY: dict[str, dict[str, Callable[[], Column]]] = {
+    "classical": {"p_k": p_k, "window_diff": window_diff},
+    "boundary_accuracy": {
+        "precision": precision, "recall": recall, "boundary_f1": lambda: f_score(precision(), recall()),
+        "soft_precision": soft_precision, "soft_recall": soft_recall, "soft_f1": soft_f, "displacement": displacement,
+    },
+    "segment_structure": {"mean_iou": mean_iou, "mean_dice": mean_dice, "bias": bias},
+    "agreement": {"b_score": b_score, "density_jsd": density_jsd},
+    "optimistic": {"boundary_cover": cover},
+}
+METRICS = {name: make for group in REGISTRY.values() for name, make in group.items()}
 
 
 def evaluate(df: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """keys and the named metrics (all by default) of rows with gold, pred and n."""
-    out = with_boundaries(df).withColumn("k", F.expr(K))
-    return out.select(*keys, *(F.expr(METRICS[m]).alias(m) for m in names or METRICS))
+    out = with_boundaries(df)
+    return out.select(*keys, *(METRICS[m]().alias(m) for m in names or METRICS))
+
+
+def table(df: DataFrame, approach: str, names: list[str] | None = None) -> DataFrame:
+    """(approach, means of the named metrics, n): one row for each approach, by falling boundary F1, ties by name."""
+    wanted = names or list(METRICS)
+    scores = evaluate(df, [approach], wanted)
+    finite = {m: F.when(F.abs(m) < float("inf"), F.col(m)) for m in wanted}
+    means = scores.groupBy(approach).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(m) for m, c in finite.items()))
+    return means.orderBy(F.desc("boundary_f1" if "boundary_f1" in wanted else wanted[0]), approach)
 
 
 def melted(scores: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -182,13 +199,17 @@ def aggregate_scores(long: DataFrame, by: list[str]) -> DataFrame:
     return finite.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
-def scores_as_json(aggregated: DataFrame, by: str) -> DataFrame:
-    """One JSON object {metric: {mean, std}} for each value of ``by``."""
-    entry = F.struct(F.col("metric"), F.struct(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")).alias("v"))
+def scores_as_json(aggregated: DataFrame, by: str, scale: int | None = None) -> DataFrame:
+    """One JSON object {metric: {mean, std}} for each value of ``by``; with a scale, in whole parts of it."""
+
+    def number(c: str) -> Column:
+        return F.round(c, 6) if scale is None else F.round(F.round(c, 9) * scale).cast("bigint")
+
+    entry = F.struct(F.col("metric"), F.struct(number("mean").alias("mean"), number("std").alias("std")).alias("v"))
     return aggregated.groupBy(by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("scores"))
 
 
-def pairwise(df: DataFrame, key: str, name: str, boundaries: str, expression: str, alias: str) -> DataFrame:
+def pairwise(df: DataFrame, key: str, name: str, boundaries: str, score: Column, alias: str) -> DataFrame:
     """(key, a, b, alias) for each unordered pair of the named segmentations of a text.
 
     The segmentations of one text are packed into one row (there are as many as
@@ -196,7 +217,7 @@ def pairwise(df: DataFrame, key: str, name: str, boundaries: str, expression: st
     """
     packed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(boundaries).alias("b")))).alias("_s"))
     pairs = packed.select(key, F.explode(F.expr("flatten(transform(_s, (x, i) -> transform(slice(_s, i + 2, size(_s)), y -> named_struct('a', x.name, 'b', y.name, 'ab', x.b, 'bb', y.b))))")).alias("_p"))
-    return pairs.select(key, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"), F.col("_p.ab").alias("ab"), F.col("_p.bb").alias("bb")).select(key, "a", "b", F.expr(expression).alias(alias))
+    return pairs.select(key, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"), F.col("_p.ab").alias("ab"), F.col("_p.bb").alias("bb")).select(key, "a", "b", score.alias(alias))
 
 
 def agreement_matrix(pairs: DataFrame, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import spans_of_lengths
+from spanloom.functions import arrays
 
 #: What is masked, in this order: display formula, formula, fenced code, inline code.
 MASK_PATTERN = r"(?s)\$\$.*?\$\$|\$.*?\$|```.*?```|`.*?`"
@@ -42,7 +42,7 @@ def _pieces(df: DataFrame, text: str, pattern: str) -> DataFrame:
 
 def sentence_units(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``units``, sentence spans that tile the text."""
-    return _pieces(df, text, SENTENCE_PATTERN).select(*df.columns, F.expr(spans_of_lengths("transform(_p, x -> length(x))")).alias("units"))
+    return _pieces(df, text, SENTENCE_PATTERN).select(*df.columns, arrays.tiled_spans(F.transform("_p", F.length)).alias("units"))
 
 
 def _words(x: str) -> str:
@@ -68,22 +68,18 @@ def clause_units(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
         rf"OR (get(_p, i - 1) RLIKE '[;:][ \\t\\n\\r\\f]*$' AND {_words('get(_p, i - 1)')} >= {min_words}) "
         rf"OR (get(_p, i - 1) RLIKE ',[ \\t\\n\\r\\f]*$' AND {_words('get(_p, i - 1)')} >= {min_words} AND lower(x) RLIKE '^{begins}[ \\t\\n\\r\\f]')))"
     )
-    return _pieces(df, text, CLAUSE_PATTERN).withColumn("_f", F.expr(facts)).select(*df.columns, F.expr(_grouped("_f", "x.cut")).alias("units"))
+    return _pieces(df, text, CLAUSE_PATTERN).withColumn("_f", F.expr(facts)).select(*df.columns, _grouped("cut"))
 
 
-def _grouped(facts: str, opens: str) -> str:
-    """Spans of runs of pieces (structs x with their length n); a piece for which ``opens`` holds opens a span."""
-    return (
-        f"aggregate({facts}, named_struct('p', 0, 'o', CAST(array() AS array<struct<s:int,e:int>>)), "
-        f"(a, x) -> named_struct('p', a.p + x.n, 'o', CASE WHEN size(a.o) = 0 OR {opens} THEN concat(a.o, array(named_struct('s', a.p, 'e', a.p + x.n))) "
-        "ELSE concat(slice(a.o, 1, size(a.o) - 1), array(named_struct('s', element_at(a.o, -1).s, 'e', a.p + x.n))) END), a -> a.o)"
-    )
+def _grouped(opens: str) -> Column:
+    """Spans of runs of the pieces in _f (structs with their length n); a piece with the flag ``opens`` opens a span."""
+    return arrays.grouped_spans(F.transform("_f", lambda x: x["n"]), F.transform("_f", lambda x: x[opens])).alias("units")
 
 
 def micro_merged(df: DataFrame, text: str = "text", pattern: str = SENTENCE_PATTERN, words: int = MICRO_WORDS, chars: int = MICRO_CHARS) -> DataFrame:
     """Adds ``units``: tiled units of which each with fewer words or stripped characters is merged into the one before; the first never is."""
     facts = f"transform(_p, x -> named_struct('n', length(x), 'big', {_words('x')} >= {words} AND {_stripped('x')} >= {chars}))"
-    return _pieces(df, text, pattern).withColumn("_f", F.expr(facts)).select(*df.columns, F.expr(_grouped("_f", "x.big")).alias("units"))
+    return _pieces(df, text, pattern).withColumn("_f", F.expr(facts)).select(*df.columns, _grouped("big"))
 
 
 def overlap_merged(df: DataFrame, spans: str = "spans") -> DataFrame:
@@ -91,12 +87,7 @@ def overlap_merged(df: DataFrame, spans: str = "spans") -> DataFrame:
 
     Unlike the periods of ``intervals``, spans that only touch stay apart.
     """
-    fold = (
-        f"aggregate(array_sort({spans}), CAST(array() AS array<struct<s:int,e:int>>), (a, x) -> CASE "
-        "WHEN size(a) = 0 OR x.s >= element_at(a, -1).e THEN concat(a, array(named_struct('s', x.s, 'e', x.e))) "
-        "ELSE concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))) END)"
-    )
-    return df.withColumn("merged", F.expr(fold))
+    return df.withColumn("merged", arrays.overlap_merged_spans(F.array_sort(spans)))
 
 
 def exploded(df: DataFrame, keys: list[str], array: str | Column, index: str, value: str) -> DataFrame:

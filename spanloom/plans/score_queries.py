@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import arrays
 from spanloom.operators import engines, fusion, metrics, units
 from spanloom.plans import sql
 from spanloom.plans.segment_queries import _GOLD, _gold_pairs, texts, traces
@@ -109,8 +110,11 @@ def m_intrinsic(spark: SparkSession, d: str) -> DataFrame:
 
 def m_alpha(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of three engines on which sentence units end a span, over the whole corpus."""
-    both = segmented(texts(spark, d)).join(units.sentence_units(texts(spark, d)).select("id", "units"), "id")
-    items = both.select(F.explode_outer("units").alias("u"), "nl", "mk", "ch").where("u IS NOT NULL").select(F.expr("CAST(exists(nl, x -> x.e = u.e) AS int) + CAST(exists(mk, x -> x.e = u.e) AS int) + CAST(exists(ch, x -> x.e = u.e) AS int)").alias("n1"), F.lit(3).alias("m"))
+    both = units.sentence_units(texts(spark, d)).join(segmented(texts(spark, d)).select("id", "nl", "mk", "ch"), "id")
+    ends = {c: arrays.nearest(F.transform("units", lambda u: u["e"]), F.transform(c, lambda x: x["e"])) for c in ("nl", "mk", "ch")}
+    both = both.withColumns({f"{c}_d": d for c, d in ends.items()})
+    votes = F.expr("transform(nl_d, (d, i) -> IF(d = 0, 1, 0) + IF(mk_d[i] = 0, 1, 0) + IF(ch_d[i] = 0, 1, 0))")
+    items = units.exploded(both.select("id", votes.alias("votes")), ["id"], "votes", "unit_idx", "n1").select("n1", F.lit(3).alias("m"))
     return metrics.binary_alpha(items).select(F.round("alpha", 6).alias("alpha"))
 
 
@@ -135,7 +139,7 @@ def eval_fuzzy_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Greater and mean cover of each pair of engines, and their one-sided similarity, over all documents."""
     rows = segmented(texts(spark, d)).select("id", F.expr(metrics.ends("nl")).alias("gb"), F.expr(metrics.ends("mk")).alias("pb"))
     one, two = metrics.cover("gb", "pb"), metrics.cover("pb", "gb")
-    scored = rows.select(F.col("id").alias("doc_id"), F.expr(one).alias("a"), F.expr(two).alias("b"), F.expr(metrics.jitter_similarity()).alias("j"))
+    scored = rows.select(F.col("id").alias("doc_id"), one.alias("a"), two.alias("b"), metrics.jitter_similarity().alias("j"))
     return scored.select("doc_id", F.round(F.greatest("a", "b"), 6).alias("optimistic"), F.round((F.col("a") + F.col("b")) / 2, 6).alias("symmetric"), F.round("j", 6).alias("jitter"))
 
 
@@ -143,17 +147,18 @@ _AGGREGATED = ["boundary_f1", "bias", "b_score"]
 
 
 def _by_source(spark: SparkSession, d: str) -> DataFrame:
-    scores = _rated(spark, d, _AGGREGATED).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    pairs = segmented(texts(spark, d).where("n > 0")).select(F.col("id").alias("doc_id"), "n", F.col("nl").alias("gold"), F.col("mk").alias("pred"))
+    scores = metrics.evaluate(pairs, ["doc_id"], _AGGREGATED).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return metrics.aggregate_scores(metrics.melted(scores, ["source"], _AGGREGATED), ["source"])
 
 
 def eval_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return _by_source(spark, d).select("source", "metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return _by_source(spark, d).select("source", "metric", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 def eval_json(spark: SparkSession, d: str) -> DataFrame:
-    """The aggregate as one JSON object per source."""
-    return metrics.scores_as_json(_by_source(spark, d), "source")
+    """The aggregate as one JSON object per source, in ten thousandths."""
+    return metrics.scores_as_json(_by_source(spark, d), "source", 10_000)
 
 
 # -- leaderboards ---------------------------------------------------------------
@@ -171,7 +176,7 @@ def leaderboard_rf(spark: SparkSession, d: str) -> DataFrame:
     gold = engines.clean(_gold_pairs(spark, d)).select("id", F.expr(metrics.ends("spans")).alias("gb"))
     both = gold.join(_models(spark, d), "id")
     n = gold.count()
-    board = both.groupBy("exp_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.expr(metrics.b_score("gb", "mb"))), 6).alias("score")).where(F.col("n") == n)
+    board = both.groupBy("exp_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(metrics.b_score("gb", "mb")), 6).alias("score")).where(F.col("n") == n)
     named = board.withColumn("family", F.expr(metrics.families("exp_id"))).withColumn("aligner", F.expr(metrics.aligner("exp_id")))
     return metrics.ranked(named, "score", "exp_id")
 
@@ -188,14 +193,14 @@ def _humans(spark: SparkSession, d: str) -> DataFrame:
 
 def human_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of both annotators on each trace that both have."""
-    return _humans(spark, d).select("id", F.round(F.expr(metrics.b_score("ha", "ve", 10)), 6).alias("b_score"))
+    return _humans(spark, d).select("id", F.round(metrics.b_score("ha", "ve", 10), 6).alias("b_score"))
 
 
 def leaderboard_ta(spark: SparkSession, d: str) -> DataFrame:
     """Experiments by the mean agreement of all pairs of both annotators and the experiment."""
     both = _humans(spark, d).join(_models(spark, d), "id")
-    triad = f"(({metrics.b_score('ha', 've', 10)}) + ({metrics.b_score('ha', 'mb', 10)}) + ({metrics.b_score('ve', 'mb', 10)})) / 3"
-    board = both.groupBy("exp_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.expr(triad)), 6).alias("score"))
+    triad = (metrics.b_score("ha", "ve", 10) + metrics.b_score("ha", "mb", 10) + metrics.b_score("ve", "mb", 10)) / 3
+    board = both.groupBy("exp_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(triad), 6).alias("score"))
     return metrics.ranked(board.withColumn("family", F.expr(metrics.families("exp_id"))), "score", "exp_id")
 
 
@@ -236,6 +241,9 @@ def _f(p: str, r: str) -> str:
 
 
 _SCORES = f"WITH {_LISTS}, rt AS (SELECT id, {_PR} AS p, {_RE} AS r, (len(pb) - len(gb)) / greatest(1, len(gb)) AS bias, {sql.b_score('gb', 'pb')} AS b_score FROM bp), sc AS (SELECT id, p, r, {_f('p', 'r')} AS boundary_f1, bias, b_score FROM rt)"
+_AGGREGATE = """l AS (SELECT source, unnest([{'m': 'boundary_f1', 'v': boundary_f1}, {'m': 'bias', 'v': bias}, {'m': 'b_score', 'v': b_score}]) AS x FROM sc JOIN documents ON sc.id = documents.doc_id),
+    ag AS (SELECT source, x.m AS metric, avg(x.v) AS mean, stddev_samp(x.v) AS std FROM l GROUP BY ALL)"""
+_NUMBER = "CAST(CAST(round(round({x}, 9) * 10000) AS BIGINT) AS VARCHAR)"
 _LAB = f"""{_ENG},{_VOTES}, fu AS (SELECT * FROM ({_PAIR.format(src='v')})),
     lab AS (SELECT id, 0 AS eng, s, e, CASE WHEN e - s < 120 THEN 'short' ELSE 'long' END AS label FROM nl UNION ALL SELECT id, 1, s, e, 'marker' FROM mk WHERE s > 0 UNION ALL SELECT id, 2, s, e, CASE WHEN (s // {sql.CHUNK}) % 2 = 0 THEN 'even' ELSE 'odd' END FROM ch),
     ov AS (SELECT fu.doc_id, fu.seg_idx, fu.s, fu.e, lab.eng, lab.s AS ls, lab.label FROM fu LEFT JOIN lab ON fu.doc_id = lab.id AND least(fu.e, lab.e) > greatest(fu.s, lab.s))"""
@@ -303,9 +311,8 @@ ORACLE_SQL = {
     "m_alpha": f"""WITH {_ENG}, it AS (SELECT u.id, u.e, (SELECT count(DISTINCT eng) FROM seg WHERE seg.id = u.id AND seg.e = u.e) AS n1 FROM u),
         t AS (SELECT sum(2 * n1 * (3 - n1) / 2) AS dis, sum(n1)::DOUBLE AS t1, sum(3 - n1)::DOUBLE AS t0 FROM it)
         SELECT round(CASE WHEN t1 * t0 = 0 THEN 1.0 ELSE 1 - (dis / (t1 + t0)) / (2 * t1 * t0 / ((t1 + t0) * (t1 + t0 - 1))) END, 6) AS alpha FROM t""",
-    "eval_aggregate": f"""{_SCORES}, j AS (SELECT source, boundary_f1, round(bias, 6) AS bias, round(b_score, 6) AS b_score FROM sc JOIN documents ON sc.id = documents.doc_id),
-        l AS (SELECT source, 'boundary_f1' AS metric, round(boundary_f1, 6) AS value FROM j UNION ALL SELECT source, 'bias', bias FROM j UNION ALL SELECT source, 'b_score', b_score FROM j)
-        SELECT source, metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM l GROUP BY source, metric""",
+    "eval_aggregate": f"{_SCORES}, {_AGGREGATE} SELECT source, metric, round(mean, 9) AS mean, round(std, 9) AS std FROM ag",
+    "eval_json": f"""{_SCORES}, {_AGGREGATE} SELECT source, '{{' || string_agg('"' || metric || '":{{"mean":' || {_NUMBER.format(x='mean')} || CASE WHEN std IS NULL THEN '' ELSE ',"std":' || {_NUMBER.format(x='std')} END || '}}', ',' ORDER BY metric) || '}}' AS scores FROM ag GROUP BY source""",
     "human_baseline": f"WITH {sql.TRACES},{_TA} SELECT ha.id, round({sql.b_score('ha.b', 've.b', 10)}, 6) AS b_score FROM ha JOIN ve ON ha.id = ve.id",
     "leaderboard_rf": f"""WITH {_MODELS},{_GOLD_TAIL},{sql.cleaned('gc', 'gp', 'o')},{sql.boundaries('gl', 'gc', 'o')},
         bo AS (SELECT exp_id, count(*) AS n, round(avg({sql.b_score('gl.b', 'md.mb')}), 6) AS score FROM gl JOIN md ON gl.id = md.id GROUP BY exp_id HAVING count(*) = (SELECT count(*) FROM gl))
@@ -318,6 +325,22 @@ ORACLE_SQL = {
         bc AS MATERIALIZED (SELECT exp_id, x, y, {sql.b_score('b', 'c', 10)} AS z FROM ac),
         bo AS (SELECT exp_id, count(*) AS n, round(avg((x + y + z) / 3), 6) AS score FROM bc GROUP BY exp_id)
         SELECT exp_id, n, score, {_FAMILY} AS family, CAST(row_number() OVER (ORDER BY score DESC, exp_id) AS INTEGER) AS rank FROM bo""",
+    "score_density": f"""{_SCORES}, va AS (SELECT domain, round(round(b_score, 6), 4) AS v, count(*) AS c FROM sc JOIN documents ON sc.id = documents.doc_id WHERE domain IS NOT NULL AND b_score BETWEEN 0 AND 1 GROUP BY ALL),
+        en AS (SELECT domain FROM va GROUP BY domain HAVING sum(c) >= 10), gr AS (SELECT va.domain, v, c, i / 100.0::DOUBLE AS x FROM va JOIN en ON va.domain = en.domain, (SELECT unnest(range(101)) AS i)),
+        cu AS (SELECT domain, x, sum(c * exp(-0.5 * pow((x - v) / 0.05, 2))) AS d FROM gr GROUP BY ALL)
+        SELECT domain, round(x, 6) AS x, round(d / max(d) OVER (PARTITION BY domain), 6) AS density FROM cu""",
+    "fuse_graph": f"""WITH RECURSIVE {_ENG},
+        w AS (SELECT id, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, count(*) AS n FROM seg GROUP BY ALL),
+        nd AS (SELECT id, b, CAST(row_number() OVER (PARTITION BY id ORDER BY b) AS INTEGER) AS r FROM (SELECT id, s AS b FROM w UNION SELECT id, e FROM w)),
+        ed AS (SELECT w.id, x.r AS si, y.r AS ei, n FROM w JOIN nd x ON w.id = x.id AND w.s = x.b JOIN nd y ON w.id = y.id AND w.e = y.b),
+        gr AS (SELECT nd.id, nd.r, nd.b, coalesce(list({'{'}'s': si, 'n': n{'}'} ORDER BY si) FILTER (WHERE si < nd.r), []) AS es, max(nd.r) OVER (PARTITION BY nd.id) AS m FROM nd LEFT JOIN ed ON nd.id = ed.id AND nd.r = ed.ei GROUP BY nd.id, nd.r, nd.b),
+        dp AS (SELECT id, 1 AS r, m, [0::BIGINT] AS t, [0] AS p FROM gr WHERE r = 1
+            UNION ALL
+            SELECT id, r, m, list_append(t, coalesce(bn, 0)), list_append(p, CASE WHEN bn > 0 THEN es[list_position(list_transform(es, lambda z: t[z.s] + z.n), bn)].s ELSE 0 END)
+            FROM (SELECT dp.id, gr.r, dp.m, t, p, es, list_max(list_transform(es, lambda z: t[z.s] + z.n)) AS bn FROM dp JOIN gr ON dp.id = gr.id AND gr.r = dp.r + 1)),
+        pa AS (SELECT id, m AS r, p FROM dp WHERE r = m UNION ALL SELECT id, p[r], p FROM pa WHERE p[r] > 0),
+        pt AS (SELECT pa.id, nd.b FROM pa JOIN nd ON pa.id = nd.id AND pa.r = nd.r UNION SELECT id, 0 FROM nd UNION SELECT id, b FROM nd WHERE r = 1)
+        {_PAIR.format(src='pt')}""",
     "score_boxes": f"{_SCORES} SELECT domain, count(*) AS n, min(round(b_score, 6)) AS low, round(quantile_cont(round(b_score, 6), 0.25), 6) AS q1, round(quantile_cont(round(b_score, 6), 0.5), 6) AS median, round(quantile_cont(round(b_score, 6), 0.75), 6) AS q3, max(round(b_score, 6)) AS high FROM sc JOIN documents ON sc.id = documents.doc_id WHERE domain IS NOT NULL GROUP BY domain",
     "eval_consensus": f"""WITH {_ENG},{sql.boundaries('l1', 'nl')},{sql.boundaries('l2', 'mk')},{sql.boundaries('l3', 'ch')}, e AS (SELECT t.id, coalesce(l1.b, CAST([] AS INTEGER[])) AS a, coalesce(l2.b, CAST([] AS INTEGER[])) AS b, coalesce(l3.b, CAST([] AS INTEGER[])) AS c FROM texts t LEFT JOIN l1 ON t.id = l1.id LEFT JOIN l2 ON t.id = l2.id LEFT JOIN l3 ON t.id = l3.id)
         SELECT id AS doc_id, round((({sql.b_score('a', 'b')}) + ({sql.b_score('a', 'c')}) + ({sql.b_score('b', 'c')})) / 3, 6) AS consensus FROM e""",

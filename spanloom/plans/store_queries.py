@@ -99,7 +99,7 @@ def _scorer(spark: SparkSession, d: str):  # noqa: ANN202
             mine = rows.where((F.col("aligner_idx") == i) & (F.size("all_spans") > 0))
             one = fusion.ALIGNERS[name](mine).select("id", "mask", "aligner_idx", "gb", F.when(F.size("all_spans") > 1, F.col("fused")).otherwise(F.col("all_spans")[0]).alias("x"))
             parts = one if parts is None else parts.unionByName(one)
-        scored = parts.withColumn("mb", F.expr(metrics.ends("x"))).select("mask", "aligner_idx", F.expr(metrics.b_score("gb", "mb")).alias("b"))
+        scored = parts.withColumn("mb", F.expr(metrics.ends("x"))).select("mask", "aligner_idx", metrics.b_score("gb", "mb").alias("b"))
         return scored.groupBy("mask", "aligner_idx").agg(F.round(F.avg("b"), 9).alias("score"))
 
     return score
@@ -113,7 +113,7 @@ def evo_search(spark: SparkSession, d: str) -> DataFrame:
 def voted_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of three engines' vote with the text's lines, by language."""
     voted = fusion.voting(segmented(texts(spark, d))).select("id", "nl", "fused")
-    scored = voted.select("id", F.expr(metrics.ends("nl")).alias("gb"), F.expr(metrics.ends("fused")).alias("pb")).select("id", F.expr(metrics.b_score()).alias("b"))
+    scored = voted.select("id", F.expr(metrics.ends("nl")).alias("gb"), F.expr(metrics.ends("fused")).alias("pb")).select("id", metrics.b_score().alias("b"))
     langs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("none")).alias("lang"))
     return scored.join(langs, "id").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("b"), 6).alias("b_score"))
 

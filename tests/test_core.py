@@ -214,7 +214,7 @@ def test_labels_and_tables(spark):
     assert rows(metrics.by_unit(df)) == [("newline", 0.5, 0.25)]
     b = spark.createDataFrame([([5, 9], [6]), ([], [1]), ([], [])], "gb array<int>, pb array<int>")
     # both boundaries lie near the single other one: precision 2, recall 1
-    assert [r[0] for r in b.select(F.expr(metrics.jitter_similarity())).collect()] == [pytest.approx(4 / 3), 0.0, 1.0]
+    assert [r[0] for r in b.select(metrics.jitter_similarity()).collect()] == [pytest.approx(4 / 3), 0.0, 1.0]
 
 
 def test_engines_that_ask():

@@ -18,8 +18,10 @@ def duck():
 
 
 def canonical(df, columns):
+    """Rows as texts; floats must be the same to their last digit, since both sides round them."""
+
     def text(v):
-        return "null" if v is None or (isinstance(v, float) and v != v) else f"{v:.6g}" if isinstance(v, float) else str(v)
+        return "null" if v is None or (isinstance(v, float) and v != v) else repr(v) if isinstance(v, float) else str(v)
 
     return sorted(tuple(map(text, r)) for r in df[columns].itertuples(index=False))
 
