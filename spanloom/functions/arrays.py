@@ -21,7 +21,6 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 SPANS = ArrayType(StructType().add("s", IntegerType()).add("e", IntegerType()))
 LABELLED = ArrayType(StructType().add("s", IntegerType()).add("e", IntegerType()).add("label", StringType()))
-COUNTS = ArrayType(StructType().add("b", IntegerType()).add("n", IntegerType()))
 NUMBERS = ArrayType(IntegerType())
 _SHIFT = np.int64(1) << 33  # keeps the values of one row apart from those of the next
 
@@ -127,16 +126,16 @@ def label_runs(units: pa.Array) -> pa.Array:
     return _lists(_count(opens, sizes), runs, units)
 
 
-@arrow_udf(COUNTS)
-def counted(values: pa.Array) -> pa.Array:
-    """Distinct values of a sorted array and how often each occurs."""
+@arrow_udf(NUMBERS)
+def frequent(values: pa.Array, least: pa.Array) -> pa.Array:
+    """Distinct values of a sorted array that occur at least so often."""
     sizes, flat = _flat(values)
-    v = _numbers(flat)
+    v, row = _numbers(flat), _rows(sizes)
     opens = _first(sizes)
     opens[1:] |= v[1:] != v[:-1]
     at = np.flatnonzero(opens)
-    pairs = pa.StructArray.from_arrays([pa.array(v[at], pa.int32()), pa.array(np.diff(np.append(at, len(v))), pa.int32())], ["b", "n"])
-    return _lists(_count(opens, sizes), pairs, values)
+    at = at[np.diff(np.append(at, len(v))) >= _numbers(least)[row[at]]]
+    return _lists(np.bincount(row[at], minlength=len(sizes)).astype(np.int64), pa.array(v[at], pa.int32()), values)
 
 
 @arrow_udf(NUMBERS)

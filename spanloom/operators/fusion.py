@@ -36,17 +36,16 @@ def union(df: DataFrame, all_spans: str = "all_spans") -> DataFrame:
 def intersect(df: DataFrame, all_spans: str = "all_spans") -> DataFrame:
     """Adds ``fused``: spans between the boundaries that every engine has, 0 and the greatest boundary."""
     per_engine = f"array_sort(flatten(transform({all_spans}, x -> array_distinct(concat(transform(x, y -> y.s), transform(x, y -> y.e))))))"
-    common = f"array_sort(array_distinct(concat(transform(filter(_n, c -> c.n = size({all_spans})), c -> c.b), array(0, array_max(_all)))))"
-    out = df.withColumn("_all", F.expr(per_engine)).withColumn("_n", arrays.counted("_all")).withColumn("_b", F.expr(f"CASE WHEN size(_all) = 0 THEN CAST(array() AS array<int>) ELSE {common} END"))
+    out = df.withColumn("_all", F.expr(per_engine)).withColumn("_n", arrays.frequent("_all", F.size(all_spans)))
+    out = out.withColumn("_b", F.expr("CASE WHEN size(_all) = 0 THEN CAST(array() AS array<int>) ELSE array_sort(array_distinct(concat(_n, array(0, element_at(_all, -1))))) END"))
     return out.withColumn("fused", F.expr(pair_up("_b"))).drop("_all", "_n", "_b")
 
 
 def voting(df: DataFrame, threshold: int | None = None, all_spans: str = "all_spans") -> DataFrame:
     """Adds ``fused``: spans between boundaries with enough votes.  Starts and an engine's last end are votes; the threshold is by default more than half of the engines."""
     votes = f"array_sort(flatten(transform({all_spans}, x -> concat(transform(x, y -> y.s), IF(size(x) > 0, array(element_at(x, -1).e), CAST(array() AS array<int>))))))"
-    enough = str(threshold) if threshold is not None else f"size({all_spans}) div 2 + 1"
-    out = df.withColumn("_n", arrays.counted(F.expr(votes))).withColumn("_b", F.expr(f"transform(filter(_n, c -> c.n >= {enough}), c -> c.b)"))
-    return out.withColumn("fused", F.expr(pair_up("_b"))).drop("_n", "_b")
+    enough = F.lit(threshold) if threshold is not None else F.expr(f"CAST(size({all_spans}) div 2 + 1 AS int)")
+    return df.withColumn("_b", arrays.frequent(F.expr(votes), enough)).withColumn("fused", F.expr(pair_up("_b"))).drop("_b")
 
 
 def fuzzy(df: DataFrame, distance: int = 1, all_spans: str = "all_spans") -> DataFrame:
