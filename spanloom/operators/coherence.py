@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.engines import absorbed_runs
 from spanloom.partitions import spread
+from spanloom.sources.prompts import PROMPTS
 
 Embed = Callable[[list[str]], np.ndarray]
 Entail = Callable[[list[tuple[str, str]]], list[tuple[float, float]]]
@@ -324,7 +326,7 @@ def unit_groups(n: int, group: Callable[[int, int], list[list[int]]], chunk: int
 
 def sentence_reply(piece: str) -> str:
     """A provider for offset_chunks: cuts behind end marks."""
-    cuts = [m.end() for m in re.finditer(r"[.!?\n]+\s*", piece)] or [len(piece)]
+    cuts = [m.end() for m in re.finditer(r"[.!?\n]+[ \t\n\r\f]*", piece)] or [len(piece)]
     return json.dumps([list(p) for p in zip([0, *cuts[:-1]], cuts)])
 
 
@@ -340,3 +342,72 @@ def by_offset_chunks(df: DataFrame, key: str, text: str = "text", reply: Reply =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, out_type)], names=[key, "spans"])
 
     return spread(narrow).mapInArrow(walk, f"`{key}` {kind}, spans array<struct<s:int,e:int>>")
+
+
+# -- engines that show a model units --------------------------------------------
+Group = Callable[[list[str], int, int], list[list[int]]]
+
+
+def groups_of_three(units: list[str], start: int, stop: int) -> list[list[int]]:
+    """A provider for by_unit_groups: units 0 to 2, 3 to 5, and so on."""
+    return [[i for i in range(max(start, k), min(k + 3, stop))] for k in range(start - start % 3, stop, 3)]
+
+
+def by_unit_groups(df: DataFrame, key: str, text: str = "text", units: str = "units", group: Group = groups_of_three, chunk: int = 100) -> DataFrame:
+    """(key, spans) from the first unit's start to the last unit's end of each of unit_groups."""
+    return _per_text(df, key, lambda us: [(g[0], g[-1]) for g in unit_groups(len(us), lambda a, b: group(us, a, b), chunk)], text, units)
+
+
+# --------------------------------------------------------------------------
+# What the keyword labels are called in each scheme.
+# --------------------------------------------------------------------------
+SCHEMES = {
+    "thought_anchor": {"conclusion": "Final Answer Emission", "reflection": "Self Checking", "planning": "Plan Generation", "fact": "Fact Retrieval", "reasoning": "Active Computation"},
+    "reasoning_flow": {"conclusion": "Conclusion", "reflection": "Reflection", "planning": "Planning", "fact": "Fact", "reasoning": "Reasoning"},
+    "argument": {"conclusion": "FINAL CLAIM", "reflection": "REBUTTAL-CORRECTION", "planning": "META", "fact": "PREMISE", "reasoning": "INTERMEDIATE CLAIM"},
+}
+
+
+def keyword_reply(scheme: str) -> Reply:
+    """A provider for by_prompted_labels: replies with the scheme's name of the unit's keyword label."""
+
+    def reply(prompt: str) -> str:
+        unit = prompt.partition("\nUnit: ")[2].rpartition("\nAfter: ")[0]
+        return json.dumps({"label": SCHEMES[scheme][keyword_label(unit)]})
+
+    return reply
+
+
+def prompted_labels(units: list[str], template: str, labels: list[str], reply: Reply, window: int = 2, retries: int = 5) -> list[str]:
+    """A label for each unit from a model that is shown it in its context.
+
+    Replies that aren't JSON with one of the labels are asked for again a bounded
+    number of times, then the unit is UNK.
+    """
+    out = []
+    for i, unit in enumerate(units):
+        first, last = units[max(i - window, 0)], units[min(i + window, len(units) - 1)]
+        slots = {"LABELS": ", ".join(labels), "PREVIOUS": "[START OF TRACE]" if unit == first else first, "NEXT": "[END OF TRACE]" if unit != first and unit == last else last, "TARGET": unit}
+        prompt = template
+        for slot, value in slots.items():
+            prompt = prompt.replace("{" + slot + "}", value)
+        label = None
+        for _ in range(retries):
+            try:
+                label = json.loads(reply(prompt)).get("label")
+            except (ValueError, AttributeError):
+                continue
+            if label in labels:
+                break
+            label = None
+        out.append(label or "UNK")
+    return out
+
+
+def by_prompted_labels(df: DataFrame, key: str, scheme: str, text: str = "text", units: str = "units", reply: Reply | None = None, template: str | None = None) -> DataFrame:
+    """(key, spans of (s, e, label)): runs of the labels of a scheme that a model gives the units; in the argument scheme the last run is absorbed and spans are tiled."""
+    labels, ask, prompt = LABEL_SETS[scheme], reply or keyword_reply(scheme), template or PROMPTS[scheme]
+    if scheme != "argument":
+        return by_labels(df, key, lambda us: prompted_labels(us, prompt, labels, ask), text, units)
+    each = by_labels(df.select(key, text, units), key, lambda us: prompted_labels(us, prompt, labels, ask), text, units)
+    return absorbed_runs(each.withColumnRenamed("spans", "_runs").join(df.select(key, F.length(text).alias("_n")), key), "_runs", "_n").select(key, "spans")

@@ -1,9 +1,12 @@
 """Score-series engines: token scores of a bigram model and decisions on them.
 
-The token scores of a language model come from a provider; the built-in one is
-an add-one smoothed bigram model counted on the corpus itself, so scores are
-joins and aggregations (it stands in for a neural model and does not reproduce
-one's scores).  The decision operators work on any token table (key, tok_idx,
+The token scores of a language model come from a provider, a function of (texts,
+key) that gives (key, tokens, surprisal, entropy, gap) with one array entry for
+each token.  The built-in one is an add-one smoothed bigram model counted on the
+corpus itself (it stands in for a neural model and does not reproduce one's
+scores).  Counting is its only shuffle, with partial counts first; the model is
+then looked up where the texts lie, if it is measured to be small, else joined.
+The decision operators work on such arrays or on any token table (key, tok_idx,
 token, char_s, score): window means before and after each hard end mark, z-scored
 per text, with a percentile as threshold.
 
@@ -12,20 +15,25 @@ Windows run over the tokens of one text, whose number is bounded by its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.partitions import spread
+from spanloom.partitions import joined, spread
 
 #: Tokens that tile a text: a word with the space before it, or a single other character.
 TOKEN_PATTERN = r" ?[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
 HARD_MARKS = [".", "!", "?", "\n"]
 SOFT_MARKS = [",", "\t"]
+_HARD, _SOFT = frozenset(HARD_MARKS), frozenset(SOFT_MARKS)
 EPSILON = 1e-6
+#: Scores of a token.
+SCORES = ["surprisal", "entropy", "gap"]
+#: Pairs of tokens up to which the model is sent to all workers (32 bytes each).
+MODEL_ROWS = 1_000_000
 
 
 def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -49,19 +57,119 @@ def context_table(counts: DataFrame) -> DataFrame:
     v = counts.agg(F.count_distinct("token").alias("v"))
     per = counts.groupBy("prev").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max(F.when(F.col("token").isin(HARD_MARKS), F.col("n")).otherwise(0)).alias("sep_n"))
     size = F.lit(int(v.first()["v"] or 0))  # one number
-    seen = counts.join(per, "prev").select("prev", "total", "kinds", "sep_n", ((F.col("n") + 1) / (F.col("total") + size)).alias("p"))
+    seen = joined(counts, per, ["prev"], F.col("token")).select("prev", "total", "kinds", "sep_n", ((F.col("n") + 1) / (F.col("total") + size)).alias("p"))
     # -sum p ln p over seen tokens, and the same for all unseen ones, which are equal
     ent = seen.groupBy("prev", "total", "kinds", "sep_n").agg((-F.sum(F.col("p") * F.log("p"))).alias("h"))
     p0 = 1.0 / (F.col("total") + size)
     return ent.select("prev", "total", "kinds", "sep_n", size.alias("v"), (F.col("h") - (size - F.col("kinds")) * p0 * F.log(p0)).alias("entropy"))
 
 
-def scored_tokens(pairs: DataFrame, key: str) -> DataFrame:
-    """Tokens with ``surprisal``, ``entropy`` and ``gap`` (how much likelier the likeliest hard mark is than the token)."""
-    counts = bigram_counts(pairs).persist()  # read three times, small beside the tokens
-    contexts = context_table(counts)
-    model = counts.join(contexts, "prev").select("prev", "token", "entropy", F.log((F.col("total") + F.col("v")) / (F.col("n") + 1)).alias("surprisal"), F.log((F.col("sep_n") + 1) / (F.col("n") + 1)).alias("gap"))
-    return pairs.join(model, ["prev", "token"]).select(key, "tok_idx", "token", "prev", "char_s", "surprisal", "entropy", "gap")
+def bigram_model(counts: DataFrame) -> DataFrame:
+    """(prev, token, surprisal, entropy, gap); gap is how much likelier the likeliest hard mark is than the token."""
+    both = joined(counts, context_table(counts), ["prev"], F.col("token"))
+    return both.select("prev", "token", F.log((F.col("total") + F.col("v")) / (F.col("n") + 1)).alias("surprisal"), "entropy", F.log((F.col("sep_n") + 1) / (F.col("n") + 1)).alias("gap"))
+
+
+_PAIRS = "transform(tokens, (x, i) -> named_struct('prev', IF(i = 0, '', get(tokens, i - 1)), 'token', x))"
+
+
+def bigram_scores(df: DataFrame, key: str, text: str = "text", wanted: list[str] | None = None, rows: int = MODEL_ROWS) -> DataFrame:
+    """(key, tokens, the wanted SCORES): arrays of the tokens of each text and their scores by the bigram model of all texts."""
+    wanted = wanted or SCORES
+    own = df.where(F.col(text).isNotNull()).select(key, F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1)).alias("tokens"))
+    counts = bigram_counts(own.select(F.inline(F.expr(_PAIRS)))).persist()
+    model = bigram_model(counts).select("prev", "token", *wanted)
+    if counts.count() <= rows:
+        table = model.select(F.xxhash64("prev", "token").alias("h"), *wanted).toArrow()
+        h = table["h"].to_numpy()
+        order = np.argsort(h)
+        if not len(h) or (np.diff(h[order]) > 0).all():  # else two pairs have one hash
+            counts.unpersist()
+            return _looked_up(own, key, wanted, h[order], [table[c].to_numpy()[order] for c in wanted])
+    flat = own.select(key, F.posexplode(F.expr(_PAIRS)).alias("tok_idx", "p")).select(key, "tok_idx", "p.prev", "p.token")
+    scored = joined(flat, model, ["prev", "token"], F.xxhash64(key, "tok_idx"), F.lit(96))
+    return scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token", *wanted))).alias("t")).select(key, F.col("t.token").alias("tokens"), *(F.col(f"t.{c}").alias(c) for c in wanted))
+
+
+def _looked_up(own: DataFrame, key: str, wanted: list[str], h: np.ndarray, scores: list[np.ndarray]) -> DataFrame:
+    hashed = spread(own.withColumn("_h", F.expr("transform(tokens, (x, i) -> xxhash64(IF(i = 0, '', get(tokens, i - 1)), x))")))
+    kind = dict(own.dtypes)[key]
+    model = own.sparkSession.sparkContext.broadcast((h, scores))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = model.value
+        for b in batches:
+            lists = b.column(2)
+            at = np.searchsorted(known, lists.flatten().to_numpy())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.ListArray.from_arrays(offsets, pa.array(v[at])) for v in values)], names=[key, "tokens", *wanted])
+
+    return hashed.mapInArrow(look_up, f"`{key}` {kind}, tokens array<string>, " + ", ".join(f"{c} array<double>" for c in wanted))
+
+
+Decide = Callable[[list[str], np.ndarray], np.ndarray]
+
+
+def _z(values: np.ndarray) -> np.ndarray:
+    return (values - values.mean()) / (values.std() + EPSILON)
+
+
+def at_turns(window: int, quantile: float, flat: bool = False) -> Decide:
+    """Decision on a text: tokens behind hard marks, with full windows on both sides, whose turn of the mean score has a z-score below the quantile."""
+
+    def decide(tokens_: list[str], scores: np.ndarray) -> np.ndarray:
+        n = len(tokens_)
+        at = np.array([i for i in range(window, n - window) if tokens_[i - 1] in _HARD], dtype=np.int64)
+        if not len(at):
+            return at
+        views = np.lib.stride_tricks.sliding_window_view(scores, window)
+        before = views[at - window]
+        delta = views[at].mean(axis=1) - before.mean(axis=1)
+        if flat:
+            delta = delta / np.sqrt(before.var(axis=1) + EPSILON)
+        z = np.round(_z(delta), 9)
+        return at[z < np.round(np.quantile(z, quantile), 9)]
+
+    return decide
+
+
+def at_forced(alpha: float = 1.0, beta: float = 2.0, quantile: float = 0.9, soft_bias: float = 0.5) -> Decide:
+    """Decision on a text as of forced_boundaries."""
+
+    def decide(tokens_: list[str], scores: np.ndarray) -> np.ndarray:
+        if not len(tokens_):
+            return np.zeros(0, dtype=np.int64)
+        bias = np.array([0.0, *(1.0 if t in _HARD else soft_bias if t in _SOFT else 0.0 for t in tokens_[:-1])])
+        z = np.round(alpha * _z(scores) + beta * bias, 9)
+        over = (z > np.round(np.quantile(z, quantile), 9)) & np.array([t not in _HARD for t in tokens_])
+        over[0] = False
+        return np.flatnonzero(over & ~np.concatenate([[False], over[:-1]]))
+
+    return decide
+
+
+def decided(scored: DataFrame, key: str, score: str, decide: Decide) -> DataFrame:
+    """(key, bs): characters at which the tokens start that a decision picks, for each text of a provider."""
+    narrow = scored.select(key, "tokens", score)
+    kind = dict(narrow.dtypes)[key]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, v in zip(b.column(1).to_pylist(), b.column(2)):
+                t = t or []
+                picked = decide(t, v.values.to_numpy() if v.is_valid else np.zeros(0))
+                out.append(np.concatenate([[0], np.cumsum([len(x) for x in t])])[picked].astype(np.int32) if len(picked) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "bs"])
+
+    return narrow.mapInArrow(walk, f"`{key}` {kind}, bs array<int>")
+
+
+def spans_at(decided_: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """(key, spans): contiguous spans cut at the boundaries ``bs``, empty ones dropped, of every text of ``lengths`` (key, n)."""
+    points = "array_distinct(concat(array(0), filter(array_sort(coalesce(bs, CAST(array() AS array<int>))), b -> b > 0 AND b < n), array(n)))"
+    cut = lengths.where("n > 0").join(decided_, key, "left").withColumn("_b", F.expr(points))
+    return cut.select(key, F.expr("transform(slice(_b, 1, size(_b) - 1), (b, i) -> named_struct('s', b, 'e', get(_b, i + 1)))").alias("spans"))
 
 
 def candidates(scored: DataFrame, key: str, score: str, window: int, flat: bool = False) -> DataFrame:
@@ -138,10 +246,8 @@ def topk_shift(pairs: DataFrame, key: str, k: int = 20) -> DataFrame:
 
 
 def spans_from(boundaries: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
-    """(key, spans): contiguous spans cut at the boundaries, empty ones dropped, of every text of ``lengths`` (key, n)."""
-    cut = boundaries.groupBy(key).agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    points = "array_distinct(concat(array(0), filter(coalesce(bs, CAST(array() AS array<int>)), b -> b > 0 AND b < n), array(n)))"
-    return lengths.where("n > 0").join(cut, key, "left").withColumn("_b", F.expr(points)).select(key, F.expr("transform(slice(_b, 1, size(_b) - 1), (b, i) -> named_struct('s', b, 'e', get(_b, i + 1)))").alias("spans"))
+    """spans_at for boundaries in rows of (key, b)."""
+    return spans_at(boundaries.groupBy(key).agg(F.array_sort(F.collect_set("b")).alias("bs")), lengths, key)
 
 
 def step_turns(scores: np.ndarray, ends: np.ndarray, span: int = 4, quantile: float = 0.6, least: int = 4) -> list[int]:

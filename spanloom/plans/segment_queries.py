@@ -128,30 +128,32 @@ def lm_bigram_counts(spark: SparkSession, d: str) -> DataFrame:
     return series.bigram_counts(series.bigrams(series.tokens(texts(spark, d), "id"), "id"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return series.scored_tokens(series.bigrams(series.tokens(texts(spark, d), "id"), "id"), "id")
-
-
 def tok_surprisal(spark: SparkSession, d: str) -> DataFrame:
     """Mean surprisal, entropy and gap of each document's tokens."""
-    means = _scored(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("tokens"), *(F.round(F.avg(c), 6).alias(c) for c in ("surprisal", "entropy", "gap")))
-    return means.withColumnRenamed("id", "doc_id")
+    scored = series.bigram_scores(texts(spark, d), "id").where("size(tokens) > 0")
+    mean = {c: F.round(F.expr(f"aggregate({c}, 0D, (t, x) -> t + x) / size({c})"), 6).alias(c) for c in series.SCORES}
+    return scored.select(F.col("id").alias("doc_id"), F.size("tokens").cast("bigint").alias("tokens"), *mean.values())
 
 
 def _cut(found: DataFrame, quantile: float, high: bool = False) -> DataFrame:
     return series.threshold_boundaries(found, "id", quantile, high).select(F.col("id").alias("doc_id"), "b")
 
 
+def _decided(spark: SparkSession, d: str, score: str, decide: series.Decide) -> DataFrame:
+    found = series.decided(series.bigram_scores(texts(spark, d), "id", wanted=[score]), "id", score, decide)
+    return units.exploded(found, ["id"], "bs", "i", "b").select(F.col("id").alias("doc_id"), "b")
+
+
 def seg_surprisal(spark: SparkSession, d: str) -> DataFrame:
-    return _cut(series.candidates(_scored(spark, d), "id", "surprisal", 15), 0.1)
+    return _decided(spark, d, "surprisal", series.at_turns(15, 0.1))
 
 
 def seg_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return _cut(series.candidates(_scored(spark, d), "id", "entropy", 30), 0.1)
+    return _decided(spark, d, "entropy", series.at_turns(30, 0.1))
 
 
 def seg_flatness(spark: SparkSession, d: str) -> DataFrame:
-    return _cut(series.candidates(_scored(spark, d), "id", "surprisal", 15, flat=True), 0.1)
+    return _decided(spark, d, "surprisal", series.at_turns(15, 0.1, flat=True))
 
 
 def seg_topk_shift(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +162,7 @@ def seg_topk_shift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seg_forced(spark: SparkSession, d: str) -> DataFrame:
-    return series.forced_boundaries(_scored(spark, d), "id").select(F.col("id").alias("doc_id"), "b")
+    return _decided(spark, d, "gap", series.at_forced())
 
 
 def seg_step_reward(spark: SparkSession, d: str) -> DataFrame:
@@ -203,6 +205,33 @@ def seg_zero_shot(spark: SparkSession, d: str) -> DataFrame:
     return _label_runs(spark, d, lambda us: coherence.zero_shot_labels(us, coherence.LABEL_SETS["reasoning_flow"]))
 
 
+def seg_zero_shot_ta(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of equal labels out of the thought-anchor scheme."""
+    return _label_runs(spark, d, lambda us: coherence.zero_shot_labels(us, coherence.LABEL_SETS["thought_anchor"]))
+
+
+def seg_unit_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of units that a model puts together, shown a window at a time."""
+    return _long(coherence.by_unit_groups(units.sentence_units(texts(spark, d)), "id"), "spans", "seg_idx")
+
+
+def _prompted(spark: SparkSession, d: str, scheme: str) -> DataFrame:
+    runs = coherence.by_prompted_labels(units.sentence_units(texts(spark, d)), "id", scheme)
+    return units.exploded(runs, ["id"], "spans", "seg_idx", "x").select(F.col("id").alias("doc_id"), "seg_idx", "x.s", "x.e", "x.label")
+
+
+def seg_thought_anchor(spark: SparkSession, d: str) -> DataFrame:
+    return _prompted(spark, d, "thought_anchor")
+
+
+def seg_reasoning_flow(spark: SparkSession, d: str) -> DataFrame:
+    return _prompted(spark, d, "reasoning_flow")
+
+
+def seg_argument(spark: SparkSession, d: str) -> DataFrame:
+    return _prompted(spark, d, "argument")
+
+
 def topic_terms(spark: SparkSession, d: str) -> DataFrame:
     """The ten most telling words of each domain."""
     words = read(spark, d, "documents").where("text IS NOT NULL AND domain IS NOT NULL").select("domain", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{3,})"), F.lit(1))).alias("term"))
@@ -214,7 +243,7 @@ QUERIES = {
     for f in (
         mask_spans, units_sentence, units_clause, unit_micro_merge, unit_overlap_merge, clean_offsets, seg_newline_line, seg_newline_para, seg_marker_rules, seg_marker_rules_custom, seg_every,
         marker_family_counts, rle_merge_a, rle_merge_b, context_window_prompts, reply_parsing, lm_bigram_counts, tok_surprisal, seg_surprisal, seg_entropy, seg_flatness, seg_topk_shift, seg_forced,
-        seg_step_reward, seg_semantic_shift, seg_entailment, seg_offset_chunks, seg_keyword_labels, seg_topics, seg_zero_shot, topic_terms,
+        seg_step_reward, seg_semantic_shift, seg_entailment, seg_offset_chunks, seg_keyword_labels, seg_topics, seg_zero_shot, seg_zero_shot_ta, seg_unit_groups, seg_thought_anchor, seg_reasoning_flow, seg_argument, topic_terms,
     )
 }
 
@@ -268,7 +297,7 @@ _MODEL = f"""{sql.DOCUMENTS},{_TOKENS},
 _MARKS = "('.', '!', '?', chr(10))"
 
 
-def _decided(score: str, w: int, q: float, flat: bool = False) -> str:
+def _decided_sql(score: str, w: int, q: float, flat: bool = False) -> str:
     delta = "(m1 - m0) / sqrt(v0 + 1e-6)" if flat else "m1 - m0"
     return f"""WITH {_MODEL},
     win AS (SELECT id, k, char_s, lag(token) OVER o AS before, avg({score}) OVER (o ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS m0, avg({score}) OVER (o ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS m1,
@@ -284,6 +313,33 @@ def _beyond(q: float, high: bool) -> str:
     SELECT z.id AS doc_id, CAST(char_s AS INTEGER) AS b FROM z JOIN cut ON z.id = cut.id WHERE z.z {'>' if high else '<'} cut""".replace(",\n    z AS", ", z AS", 1)
 
 
+def _named(scheme: str) -> str:
+    return "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in coherence.SCHEMES[scheme].items()) + " END"
+
+
+_RUN_OF = """, o AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY id ORDER BY unit_idx) THEN 1 ELSE 0 END AS opens FROM l),
+    rr AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY unit_idx ROWS UNBOUNDED PRECEDING) AS run FROM o),
+    runs AS (SELECT id, CAST(run - 1 AS INTEGER) AS seg_idx, min(s) AS s, max(e) AS e, max(label) AS label FROM rr GROUP BY id, run)"""
+_LABELLED = (
+    sql.DOCUMENTS + "," + sql.units() + ", l AS (SELECT id, unit_idx, s, e, CASE "
+    + " ".join(f"WHEN regexp_matches(lower(piece), '(^|[^\\p{{L}}\\p{{N}}])({'|'.join(keys)})($|[^\\p{{L}}\\p{{N}}])') THEN '{label}'" for label, keys in coherence.KEYWORDS if keys)
+    + f" ELSE '{coherence.KEYWORDS[-1][0]}' END AS label FROM u)" + _RUN_OF
+)
+
+
+def _zero_shot_sql(scheme: str) -> str:
+    """Labels by the words of a unit that begin like a word of a label; of equal ones the first."""
+    count = "len(list_filter(ws, lambda w: {}))"
+    hits = [" + ".join(count.format(f"left(w, 5) = '{part[:5].lower()}'") for part in label.split()) for label in coherence.LABEL_SETS[scheme]]
+    names = ", ".join(f"'{x}'" for x in coherence.LABEL_SETS[scheme])
+    micro = _grouped(f"{sql.DOCUMENTS},{sql.units()}", _MICRO)
+    return f"""WITH m AS ({micro}), w AS (SELECT doc_id AS id, unit_idx, s, e, regexp_extract_all(lower(substring(text, s + 1, e - s)), '[\\p{{L}}\\p{{N}}]+') AS ws FROM m JOIN documents USING (doc_id)),
+        h AS (SELECT id, unit_idx, s, e, [{', '.join(hits)}] AS hs FROM w), l AS (SELECT id, unit_idx, s, e, [{names}][list_position(hs, list_max(hs))] AS label FROM h) {_RUN_OF}
+        SELECT id AS doc_id, seg_idx, s, e, label FROM runs"""
+
+
+_MICRO = rf"{_WORDS.format(x='piece')} >= 3 AND length(regexp_replace(piece, '^{_SPACE}+|{_SPACE}+$', '', 'g')) >= 10"
+
 ORACLE_SQL = {
     "mask_spans": f"""WITH {sql.DOCUMENTS},
         m AS (SELECT id, n, regexp_extract_all(text, '{MASK_PATTERN}') AS bs, regexp_split_to_array(text, '{MASK_PATTERN}') AS gs FROM texts),
@@ -294,7 +350,7 @@ ORACLE_SQL = {
         f"{sql.DOCUMENTS},{sql.units(CLAUSE_PATTERN)}",
         rf"regexp_matches(before, '[.!?\n]{_SPACE}*$') OR (regexp_matches(before, '[;:]{_SPACE}*$') AND {_WORDS.format(x='before')} >= 4) OR (regexp_matches(before, ',{_SPACE}*$') AND {_WORDS.format(x='before')} >= 4 AND regexp_matches(lower(piece), '^({_BEGINS}){_SPACE}'))",
     ),
-    "unit_micro_merge": _grouped(f"{sql.DOCUMENTS},{sql.units()}", rf"{_WORDS.format(x='piece')} >= 3 AND length(regexp_replace(piece, '^{_SPACE}+|{_SPACE}+$', '', 'g')) >= 10"),
+    "unit_micro_merge": _grouped(f"{sql.DOCUMENTS},{sql.units()}", _MICRO),
     "unit_overlap_merge": f"""WITH {_GOLD},
         f AS (SELECT *, CASE WHEN s >= max(e) OVER (PARTITION BY id ORDER BY s, e, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM gp),
         g AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY s, e, o ROWS UNBOUNDED PRECEDING) AS grp FROM f)
@@ -321,9 +377,9 @@ ORACLE_SQL = {
     "reply_parsing": f"WITH {_HA} SELECT id, unit_idx, label, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM ha",
     "lm_bigram_counts": f"WITH {sql.DOCUMENTS},{_TOKENS} SELECT prev, token, n FROM cnt",
     "tok_surprisal": f"WITH {_MODEL} SELECT id AS doc_id, count(*) AS tokens, round(avg(surprisal), 6) AS surprisal, round(avg(entropy), 6) AS entropy, round(avg(gap), 6) AS gap FROM sc GROUP BY id",
-    "seg_surprisal": _decided("surprisal", 15, 0.1),
-    "seg_entropy": _decided("entropy", 30, 0.1),
-    "seg_flatness": _decided("surprisal", 15, 0.1, True),
+    "seg_surprisal": _decided_sql("surprisal", 15, 0.1),
+    "seg_entropy": _decided_sql("entropy", 30, 0.1),
+    "seg_flatness": _decided_sql("surprisal", 15, 0.1, True),
     "seg_topk_shift": f"""WITH {sql.DOCUMENTS},{_TOKENS},
         top AS (SELECT prev, token, n / sum(n) OVER (PARTITION BY prev) AS p FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, token) AS r FROM cnt) WHERE r <= 20),
         sp AS (SELECT * FROM (SELECT id, k, char_s, prev, lag(prev) OVER (PARTITION BY id ORDER BY k) AS prev2 FROM bg) WHERE prev IN {_MARKS} AND k >= 1),
@@ -340,12 +396,22 @@ ORACLE_SQL = {
         fl AS (SELECT z.id, k, char_s, z.z > cut AND token NOT IN {_MARKS} AND k > 0 AS over_ FROM z JOIN cut ON z.id = cut.id),
         ag AS (SELECT *, coalesce(lag(over_) OVER (PARTITION BY id ORDER BY k), false) AS again FROM fl)
         SELECT id AS doc_id, CAST(char_s AS INTEGER) AS b FROM ag WHERE over_ AND NOT again""",
-    "seg_keyword_labels": "WITH " + sql.DOCUMENTS + "," + sql.units() + ", l AS (SELECT id, unit_idx, s, e, CASE "
-    + " ".join(f"WHEN regexp_matches(lower(piece), '(^|[^\\p{{L}}\\p{{N}}])({'|'.join(keys)})($|[^\\p{{L}}\\p{{N}}])') THEN '{label}'" for label, keys in coherence.KEYWORDS if keys)
-    + f" ELSE '{coherence.KEYWORDS[-1][0]}' END AS label FROM u)"
-    + """, o AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY id ORDER BY unit_idx) THEN 1 ELSE 0 END AS opens FROM l),
-        r AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY unit_idx ROWS UNBOUNDED PRECEDING) AS run FROM o)
-        SELECT id AS doc_id, CAST(run - 1 AS INTEGER) AS seg_idx, min(s) AS s, max(e) AS e, max(label) AS label FROM r GROUP BY id, run""",
+    "seg_keyword_labels": f"WITH {_LABELLED} SELECT id AS doc_id, seg_idx, s, e, label FROM runs",
+    "seg_thought_anchor": f"WITH {_LABELLED} SELECT id AS doc_id, seg_idx, s, e, {_named('thought_anchor')} AS label FROM runs",
+    "seg_reasoning_flow": f"WITH {_LABELLED} SELECT id AS doc_id, seg_idx, s, e, {_named('reasoning_flow')} AS label FROM runs",
+    "seg_argument": f"""WITH {_LABELLED}, kept AS (SELECT * FROM (SELECT *, max(seg_idx) OVER (PARTITION BY id) AS top FROM runs) WHERE top = 0 OR seg_idx < top)
+        SELECT kept.id AS doc_id, seg_idx, CASE WHEN seg_idx = 0 THEN 0 ELSE s END AS s, CAST(coalesce(lead(s) OVER (PARTITION BY kept.id ORDER BY seg_idx), n) AS INTEGER) AS e, {_named('argument')} AS label FROM kept JOIN texts ON kept.id = texts.id""",
+    "seg_unit_groups": f"WITH {sql.DOCUMENTS},{sql.units()} SELECT id AS doc_id, CAST(unit_idx // 3 AS INTEGER) AS seg_idx, min(s) AS s, max(e) AS e FROM u GROUP BY id, unit_idx // 3",
+    "seg_zero_shot": _zero_shot_sql("reasoning_flow"),
+    "seg_zero_shot_ta": _zero_shot_sql("thought_anchor"),
+    "seg_offset_chunks": f"""WITH RECURSIVE {sql.DOCUMENTS},
+        r AS (SELECT id, text, n, 0 AS i, CAST([] AS STRUCT(s INTEGER, e INTEGER)[]) AS sp FROM texts
+            UNION ALL
+            SELECT id, text, n, CAST(i + list_sum(w) AS INTEGER), list_transform(range(1, len(w) + 1), lambda k: {{'s': CAST(i + coalesce(list_sum(w[:k - 1]), 0) AS INTEGER), 'e': CAST(i + list_sum(w[:k]) AS INTEGER)}})
+            FROM (SELECT id, text, n, i, CASE WHEN len(x) = 0 THEN [length(p)] ELSE list_transform(x, lambda y: length(y)) END AS w
+                FROM (SELECT id, text, n, i, p, regexp_extract_all(p, '[^.!?\n]*[.!?\n]+[ \t\n\r\f]*') AS x FROM (SELECT id, text, n, i, substring(text, i + 1, 300) AS p FROM r WHERE i < n - 20)))),
+        a AS (SELECT id, unnest(sp) AS x FROM r UNION ALL SELECT id, {{'s': i, 'e': CAST(n AS INTEGER)}} FROM r WHERE i >= n - 20 AND i < n)
+        SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY x.s, x.e) - 1 AS INTEGER) AS seg_idx, x.s AS s, x.e AS e FROM a""",
     "topic_terms": """WITH w AS (SELECT domain, unnest(regexp_extract_all(lower(text), '([a-z]{3,})', 1)) AS term FROM documents WHERE text IS NOT NULL AND domain IS NOT NULL),
         c AS (SELECT domain, term, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT domain, sum(n) AS size FROM c GROUP BY domain), m AS (SELECT avg(size) AS m FROM s), a AS (SELECT term, sum(n) AS all_n FROM c GROUP BY term),
         x AS (SELECT c.domain, c.term, n, round(n / size * ln(1 + m / all_n), 9) AS weight FROM c JOIN s ON c.domain = s.domain JOIN a ON c.term = a.term, m)

@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom import partitions
+from spanloom.functions import arrays
 from spanloom.operators import coherence, engines, fusion, intervals, metrics, nested, search, series, units
 from spanloom.sources import annotation_tool, gold, store
 from spanloom.streaming import resume
@@ -194,6 +196,76 @@ def test_score_series_threshold(spark):
     assert [r["b"] for r in series.threshold_boundaries(found, "id", 0.5).collect()] == [7]
 
 
+def test_scores_by_lookup_and_by_join_are_the_same(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    near, far = (series.bigram_scores(docs, "doc_id", rows=r) for r in (1 << 20, 0))
+    packed = [rows(x.select("doc_id", F.md5(F.to_json("tokens")), *(F.expr(f"round(aggregate({c}, 0D, (t, v) -> t + v), 6)") for c in series.SCORES)).where("size(tokens) > 0")) for x in (near, far)]
+    assert packed[0] == packed[1] and packed[0]
+    assert series.bigram_scores(docs.limit(0), "doc_id").count() == 0
+    table = near.select("doc_id", F.posexplode(F.arrays_zip("tokens", "gap")).alias("tok_idx", "z")).select("doc_id", "tok_idx", F.col("z.tokens").alias("token"), F.col("z.gap").alias("gap"))
+    table = table.withColumn("char_s", (F.sum(F.length("token")).over(Window.partitionBy("doc_id").orderBy("tok_idx")) - F.length("token")).cast("int"))
+    want = rows(series.forced_boundaries(table, "doc_id").select("doc_id", "b"))
+    got = rows(series.decided(near, "doc_id", "gap", series.at_forced()).select("doc_id", F.explode("bs")))
+    assert got == want
+
+
+def test_long_texts_in_linear_time(spark):
+    import time
+
+    n = 100_000
+    df = spark.createDataFrame([("ab. " * n,)], "text string").withColumn("n", F.length("text"))
+    began = time.perf_counter()
+    out = units.micro_merged(df, words=1, chars=1)
+    runs = engines.label_runs(out.withColumn("units", F.transform("units", lambda u: F.struct(u["s"], u["e"], F.when(u["s"] % 8 == 0, "x").alias("label")))))
+    assert runs.select(F.size("spans")).first()[0] == n
+    both = engines.at_delimiter(df, " ").withColumnRenamed("spans", "gold")
+    both = units.sentence_units(both).withColumnRenamed("units", "pred")
+    scores = metrics.evaluate(both, ["n"]).first()
+    assert scores["b_score"] > 0.999 and scores["mean_iou"] > 0.9
+    fused = fusion.voting(both.select(F.array("gold", "pred", "gold").alias("all_spans")))
+    assert fused.select(F.size("fused")).first()[0] >= n
+    assert time.perf_counter() - began < 40
+
+
+def test_array_kernels_against_brute_force(spark):
+    rng = random.Random(17)
+    data = []
+    for i in range(120):
+        a, b = (None if rng.random() < 0.05 else [rng.randint(0, 30) for _ in range(rng.choice([0, 1, 2, 7]))] for _ in range(2))
+        own = sorted((s, s + rng.randint(0, 6)) for s in (rng.randint(0, 30) for _ in range(rng.choice([0, 1, 3, 8]))))
+        data.append((i, a, b, own))
+    df = spark.createDataFrame(data, f"id int, a array<int>, b array<int>, spans {SPAN}")
+    out = df.select("id", arrays.nearest("a", "b").alias("near"), arrays.merged_spans("spans").alias("m"), arrays.overlap_merged_spans("spans").alias("o"), arrays.tiled_spans("a").alias("t"), arrays.frequent(F.array_sort("a"), F.lit(2)).alias("f"), arrays.cluster_heads(F.array_sort("a"), F.lit(3)).alias("h"))
+    got = {r["id"]: r for r in out.collect()}
+    for i, a, b, own in data:
+        r = got[i]
+        for name, apart in (("m", lambda s, e: s > e), ("o", lambda s, e: s >= e)):
+            want = []
+            for s, e in own:
+                if not want or apart(s, want[-1][1]):
+                    want.append([s, e])
+                want[-1][1] = max(want[-1][1], e)
+            assert [list(x) for x in r[name]] == want
+        if a is None:
+            assert r["near"] is None and r["t"] is None and r["f"] is None and r["h"] is None
+            continue
+        assert r["near"] == [min((abs(x - y) for y in b or []), default=None) for x in a]
+        assert [tuple(x) for x in r["t"]] == [(sum(a[:k]), sum(a[: k + 1])) for k in range(len(a))] and r["f"] == sorted({x for x in a if a.count(x) > 1})
+        heads = []
+        for x in sorted(a):
+            if not heads or x - heads[-1] > 3:
+                heads.append(x)
+        assert r["h"] == heads
+
+
+def test_prompts_and_examples(spark, tmp_path):
+    from spanloom.sources import prompts
+
+    (tmp_path / "p.json").write_text('{"a": "x {T}", "b": "y"}')
+    assert rows(prompts.read_prompts(spark, str(tmp_path / "p.json"))) == [("a", "x {T}"), ("b", "y")]
+    assert prompts.examples(spark).count() == 2
+
+
 def test_folds():
     v = np.array([(1, 0), (1, 0), (0, 1), (1, 0), (0, 1), (0, 1)], dtype=float)
     assert coherence.semantic_shift(v) == [(0, 3), (4, 5)] and coherence.semantic_shift(v[:0]) == []

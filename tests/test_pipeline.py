@@ -26,3 +26,24 @@ def test_fused_and_own(spark):
     for bad in ({"names": ["nope"]}, {"names": ["newline", "marker"]}, {"names": ["newline"], "unit": "page"}, {"names": ["newline", "marker"], "aligner": "nope"}):
         with pytest.raises(ValueError):
             pipeline.Segmenter(**bad)
+
+
+def test_unit_reaches_the_engines(spark):
+    text = "We need to add the two parts, because the rest of it is known; the answer is 4 so far. Wait, the first one is wrong here. " * 3
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    for name in ("shift", "entailment", "groups", "anchors"):
+        by_unit = {u: [(x["s"], x["e"]) for x in pipeline.Segmenter([name], unit=u).segment(df).first()["spans"]] for u in ("sent", "clause")}
+        assert by_unit["sent"] != by_unit["clause"], name
+
+
+def test_own_providers(spark):
+    df = spark.createDataFrame([(1, "One two. Three four. Five six. Seven.")], "id int, text string")
+    always = lambda prompt: '{"label": "Fact"}'
+    assert [(x["s"], x["e"], x["label"]) for x in pipeline.Segmenter(["flow"], options={"flow": {"reply": always}}).segment(df).first()["spans"]] == [(0, 37, "Fact")]
+    never = lambda prompt: "no json"
+    assert {x["label"] for x in pipeline.Segmenter(["flow"], options={"flow": {"reply": never}}).segment(df).first()["spans"]} == {"UNK"}
+
+    def flat_scores(texts, key):
+        return texts.select(key, F.split("text", "(?<=[ .])").alias("tokens")).withColumn("surprisal", F.transform("tokens", lambda t: F.length(t).cast("double")))
+
+    assert pipeline.Segmenter(["surprisal"], options={"surprisal": {"scores": flat_scores, "window": 2}}).segment(df).count() == 1
