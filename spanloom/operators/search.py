@@ -7,13 +7,22 @@ is a plan of expressions without state and comes out alike on any cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.fusion import best_path
+from spanloom.partitions import shared_dir, spread
+
 #: Aligners by number.
-ALIGNERS = ["union", "intersect", "voting", "fuzzy"]
+ALIGNERS = ["union", "intersect", "voting", "fuzzy", "graph"]
 #: Share of engines in a random mask, chance of a new aligner, draws of a tournament, share of elites, score of a configuration without one.
 DENSITY, REDRAW, DRAWS, ELITE, MISSING = 0.25, 0.05, 7, 16, -1e30
+#: Most configurations of a generation, and how many are scored at a time.
+POPULATION, BLOCK = 100_000, 4_096
 
 
 def draw(*parts: str) -> str:
@@ -100,29 +109,127 @@ def elites(scored: DataFrame, n: int) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """slot anew, from 0 by falling score.  A population is at most a few thousand rows."""
+    """slot anew, from 0 by falling score, of a generation, which holds at most ``POPULATION`` rows."""
     return df.withColumn("slot", F.row_number().over(Window.orderBy(F.desc("score"), "mask", "aligner_idx")) - 1)
 
 
-def search(spark: SparkSession, score, bits: int, size: int, generations: int, seed: int = 1337):  # noqa: ANN001, ANN201
+# -- scores of configurations ---------------------------------------------------
+def fused_boundaries(engines: list[list[tuple[int, int]]], aligner: str, distance: int = 1) -> np.ndarray:
+    """Boundaries, first and last included, of the fusion of several engines' spans; of a single engine its own."""
+    sides = [np.unique(np.array(x, dtype=np.int64)) for x in engines]
+    if len(sides) == 1:
+        return sides[0]
+    if aligner == "graph":
+        return np.unique(np.array(best_path(engines), dtype=np.int64))
+    if aligner == "voting":
+        votes = np.array([b for x in engines if x for b in [*(s for s, _ in x), x[-1][1]]], dtype=np.int64)
+        values, counts = np.unique(votes, return_counts=True)
+        return values[counts >= len(engines) // 2 + 1]
+    values, counts = np.unique(np.concatenate(sides), return_counts=True)
+    if aligner == "intersect":
+        return np.unique(np.concatenate([values[counts == len(sides)], [0], values[-1:]])) if len(values) else values
+    if aligner == "fuzzy":
+        kept, at = [], 0
+        while at < len(values):
+            kept.append(values[at])
+            at = int(np.searchsorted(values, values[at] + distance, side="right"))
+        return np.array(kept, dtype=np.int64)
+    return values
+
+
+def boundary_similarity(a: np.ndarray, b: np.ndarray, window: float) -> float:
+    """The B-score of two sorted arrays of inner boundaries."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+
+    def near(x: np.ndarray, y: np.ndarray) -> float:
+        at = np.searchsorted(y, x)
+        gap = np.minimum(np.abs(y[np.minimum(at, len(y) - 1)] - x), np.abs(y[np.maximum(at - 1, 0)] - x))
+        return float((gap <= window).mean())
+
+    p, r = near(a, b), near(b, a)
+    return 2 * p * r / (p + r) if p + r else 0.0
+
+
+def scorer(texts: DataFrame, bits: int, window: float = 3.0) -> Callable[[DataFrame], DataFrame]:
+    """Scores configurations by their fused spans' mean agreement with gold boundaries.
+
+    ``texts`` is (gb, pool): a text's gold boundaries and the spans of every
+    engine.  Configurations are a stated set of at most ``POPULATION``, sent along
+    in blocks of ``BLOCK``; each task returns a sum for each of them, so no text
+    is joined with anything.
+    """
+    packed = spread(texts.select("gb", "pool")).persist()
+    schema = "mask bigint, aligner_idx int, total double, n bigint"
+
+    def block(wanted: list[tuple[int, int]]) -> DataFrame:
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals, n = np.zeros(len(wanted)), 0
+            for b in batches:
+                for gold, pool in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    spans = [[(x["s"], x["e"]) for x in engine or []] for engine in pool]
+                    inner = np.unique(np.array(gold, dtype=np.int64))
+                    n += 1
+                    for i, (mask, aligner) in enumerate(wanted):
+                        found = fused_boundaries([spans[k] for k in range(bits) if mask >> k & 1], ALIGNERS[aligner])
+                        totals[i] += boundary_similarity(inner, found[1:-1], window)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in wanted], pa.int64()), pa.array([a for _, a in wanted], pa.int32()), pa.array(totals), pa.array([n] * len(wanted), pa.int64())], names=["mask", "aligner_idx", "total", "n"])
+
+        return packed.mapInArrow(walk, schema)
+
+    def score(configs: DataFrame) -> DataFrame:
+        rows = sorted((r["mask"], r["aligner_idx"]) for r in configs.distinct().limit(POPULATION + 1).collect())
+        if len(rows) > POPULATION:
+            raise ValueError(f"a generation may hold {POPULATION} configurations")
+        parts = configs.sparkSession.createDataFrame([], schema)
+        for k in range(0, len(rows), BLOCK):
+            parts = parts.unionByName(block(rows[k : k + BLOCK]))
+        return parts.groupBy("mask", "aligner_idx").agg(F.round(F.sum("total") / F.sum("n"), 9).alias("score"))
+
+    return score
+
+
+def search(spark: SparkSession, score: Callable[[DataFrame], DataFrame], bits: int, size: int, generations: int, seed: int = 1337, offspring: int | None = None, target: int | None = None) -> DataFrame:
     """(mask, aligner_idx, score) of all configurations tried.
 
     ``score`` takes (mask, aligner_idx) rows and returns them with a score; only
-    configurations that have none are given to it.  Lineage is cut after every
+    configurations that have none are given to it.  Of each generation's
+    ``offspring`` (as many as its members by default) those that were tried
+    before are replaced by newly drawn ones; with the elites, the ``size`` best
+    make the next generation.  The search ends after so many generations, or
+    when ``target`` configurations were tried.  Lineage is cut after every
     generation by a checkpoint in the shared folder.
     """
-    from spanloom.partitions import shared_dir
-
+    if max(size, offspring or 0) > POPULATION:
+        raise ValueError(f"a generation may hold {POPULATION} configurations")
     shared_dir(spark)
-    pool = population(spark, size, bits, seed)
-    results = spark.createDataFrame([], "mask bigint, aligner_idx int, score double")
-    for g in range(generations):
-        new = pool.select("mask", "aligner_idx").distinct().join(results, ["mask", "aligner_idx"], "left_anti")
-        results = insert_ignore(results, score(new)).checkpoint()
-        scored = numbered(pool.select("mask", "aligner_idx").distinct().join(results, ["mask", "aligner_idx"], "left").na.fill({"score": MISSING})).checkpoint()
-        a, b = tournament(scored, size, g, "a", seed), tournament(scored, size, g, "b", seed)
+    keys = ["mask", "aligner_idx"]
+    pool = population(spark, size, bits, seed).select(*keys).distinct()
+    results = insert_ignore(spark.createDataFrame([], "mask bigint, aligner_idx int, score double"), score(pool)).checkpoint()
+    for g in range(1, generations):
+        if target is not None and results.count() >= target:
+            break
+        scored = numbered(pool.join(results, keys, "left").na.fill({"score": MISSING})).checkpoint()
+        n = offspring or size
+        a, b = tournament(scored, n, g, "a", seed), tournament(scored, n, g, "b", seed)
         pairs = a.select("slot", F.col("mask").alias("mask_a"), F.col("aligner_idx").alias("aligner_a")).join(b.select("slot", F.col("mask").alias("mask_b"), F.col("aligner_idx").alias("aligner_b")), "slot")
-        children = mutated(crossed(pairs, bits, g, seed), bits, g, seed)
-        best = elites(scored, max(1, size // ELITE)).select(F.col("slot"), "mask", "aligner_idx")
-        pool = best.union(children.where(F.col("slot") >= max(1, size // ELITE))).checkpoint()
+        children = mutated(crossed(pairs, bits, g, seed), bits, g, seed).select(*keys).distinct().join(results, keys, "left_anti")
+        drawn = population(spark, n, bits, seed + g).select(*keys).distinct().join(results, keys, "left_anti")
+        fresh = children.withColumn("_o", F.lit(0)).unionByName(drawn.join(children, keys, "left_anti").withColumn("_o", F.lit(1))).orderBy("_o", *keys).limit(n).select(*keys).checkpoint()
+        results = insert_ignore(results, score(fresh)).checkpoint()
+        kept = elites(scored, max(1, size // ELITE)).select(*keys)
+        best = elites(fresh.join(results, keys), size - max(1, size // ELITE)).select(*keys)
+        pool = kept.unionByName(best).distinct()
     return results
+
+
+def report(results: DataFrame) -> DataFrame:
+    """(aligner, n, best, mean): how the configurations of each aligner did."""
+    name = F.element_at(F.array(*map(F.lit, ALIGNERS)), F.col("aligner_idx") + 1)
+    return results.groupBy(name.alias("aligner")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.avg("score").alias("mean"))
+
+
+def extracted(results: DataFrame, names: list[str]) -> DataFrame:
+    """(approach, engines, score) of all results."""
+    return decoded(results, names).select("approach", F.array_join("engines", "+").alias("engines"), "score")

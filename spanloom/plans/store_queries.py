@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import fusion, metrics, search
+from spanloom.operators import engines, fusion, metrics, search, units
 from spanloom.plans import sql
 from spanloom.plans.score_queries import segmented
 from spanloom.plans.segment_queries import _HA, _gold_pairs, _labelled, texts, traces
@@ -22,9 +22,9 @@ def resume_left_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_per_group(spark: SparkSession, d: str) -> DataFrame:
-    """One correct, not overlong trace per domain and model."""
-    rows = read(spark, d, "rtrace").where("id IS NOT NULL AND correct AND length(rt) < 6000 AND domain IS NOT NULL AND model IS NOT NULL").select("id", "domain", "model").distinct()
-    return annotation_tool.sample_per_group(rows, ["domain", "model"], "id")
+    """One correct trace per domain and model, not overlong if the group has such a one."""
+    rows = read(spark, d, "rtrace").where("id IS NOT NULL AND rt IS NOT NULL AND correct AND domain IS NOT NULL AND model IS NOT NULL").select("id", "domain", "model", F.ceil(F.length("rt") / 6000).alias("step")).distinct()
+    return annotation_tool.sample_per_group(rows, ["domain", "model"], "id", first=["step"]).select("id", "domain", "model")
 
 
 def ls_export_html(spark: SparkSession, d: str) -> DataFrame:
@@ -84,30 +84,37 @@ def bulk_lookup(spark: SparkSession, d: str) -> DataFrame:
     return search.lookup(known, _toy_scored(spark).where("slot >= 96"))
 
 
-def _scorer(spark: SparkSession, d: str):  # noqa: ANN202
-    """Scores configurations of six engines by the mean agreement of their fused spans with the gold."""
-    gold = _gold_pairs(spark, d).select("id", F.expr(metrics.ends("spans")).alias("gb"))
-    base = segmented(traces(spark, d).join(gold.select("id"), "id", "left_semi"))
-    packed = base.join(gold, "id").select("id", "gb", F.array("nl", "mk", "ch", "nl", "mk", "ch").alias("pool")).persist()
+#: Engines of the search, by bit.
+POOL = ["line", "paragraph", "marker", "every400", "every200", "sentence", "unit", "clause"]
 
-    def score(configs: DataFrame) -> DataFrame:
-        # configurations are a bounded population; every text is read once with all of them beside it
-        chosen = F.broadcast(configs.withColumn("_one", F.lit(1)))
-        rows = packed.withColumn("_one", F.lit(1)).join(chosen, "_one").withColumn("all_spans", F.expr("transform(filter(sequence(0, 5), i -> (shiftright(mask, i) & 1) = 1), i -> get(pool, i))"))
-        parts = None
-        for i, name in enumerate(search.ALIGNERS):
-            mine = rows.where((F.col("aligner_idx") == i) & (F.size("all_spans") > 0))
-            one = fusion.ALIGNERS[name](mine).select("id", "mask", "aligner_idx", "gb", F.when(F.size("all_spans") > 1, F.col("fused")).otherwise(F.col("all_spans")[0]).alias("x"))
-            parts = one if parts is None else parts.unionByName(one)
-        scored = parts.withColumn("mb", F.expr(metrics.ends("x"))).select("mask", "aligner_idx", metrics.b_score("gb", "mb").alias("b"))
-        return scored.groupBy("mask", "aligner_idx").agg(F.round(F.avg("b"), 9).alias("score"))
 
-    return score
+def _pooled(df: DataFrame) -> DataFrame:
+    """(id, pool): the spans of all engines of the search, in one pass over the texts."""
+    out = segmented(df.withColumn("n", F.length("text"))).select("id", "nl", "mk", "ch")
+    one = engines.at_delimiter(df, "\n\n").withColumnRenamed("spans", "pa")
+    one = engines.every(one, sql.CHUNK // 2).withColumnRenamed("spans", "c2")
+    for name, cut in {"se": units.sentence_units, "mm": units.micro_merged, "cl": units.clause_units}.items():
+        one = cut(one).withColumnRenamed("units", name)
+    both = out.join(one.select("id", "pa", "c2", "se", "mm", "cl"), "id")
+    return both.select("id", F.array("nl", "pa", "mk", "ch", "c2", "se", "mm", "cl").alias("pool"))
 
 
 def evo_search(spark: SparkSession, d: str) -> DataFrame:
-    """Three generations of a small search on the gold traces."""
-    return search.search(spark, _scorer(spark, d), 6, 24, 3, SEED)
+    """Four generations of 256 configurations of eight engines and five aligners on the gold traces."""
+    gold = _gold_pairs(spark, d).select("id", F.expr(metrics.ends("spans")).alias("gb"))
+    rows = traces(spark, d).join(gold.select("id"), "id", "left_semi")
+    score = search.scorer(_pooled(rows).join(gold, "id"), len(POOL))
+    return search.search(spark, score, len(POOL), SIZE, 4, SEED)
+
+
+def evo_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many configurations each aligner has, their best and their mean score."""
+    return search.report(_toy_scored(spark)).select("aligner", "n", "best", F.round("mean", 9).alias("mean"))
+
+
+def evo_extract(spark: SparkSession, d: str) -> DataFrame:
+    """All scored configurations by name."""
+    return search.extracted(_toy_scored(spark).select("mask", "aligner_idx", "score").distinct(), [f"engine{i}" for i in range(BITS)])
 
 
 def voted_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +128,7 @@ def voted_agreement(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        resume_left_anti, sample_per_group, ls_export_html, ls_import_offsets, evo_population, evo_mutate, evo_crossover, evo_tournament, evo_topk, evo_decode, upsert_ignore, bulk_lookup, evo_search, voted_agreement,
+        resume_left_anti, sample_per_group, ls_export_html, ls_import_offsets, evo_population, evo_mutate, evo_crossover, evo_tournament, evo_topk, evo_decode, upsert_ignore, bulk_lookup, evo_search, evo_report, evo_extract, voted_agreement,
     )
 }
 
@@ -138,20 +145,20 @@ def _mask(test) -> str:  # noqa: ANN001
 
 _POP = f"""sl AS (SELECT CAST(range AS INTEGER) AS slot FROM range({SIZE})),
     p0 AS (SELECT slot, {_mask(lambda i: f"{_draw(f"'{SEED}'", "'init'", 'slot', f"'{i}'")} < 0.25")} AS m FROM sl),
-    pop AS (SELECT slot, CASE WHEN m = 0 THEN (1::BIGINT << CAST(floor({_draw(f"'{SEED}'", "'init'", 'slot', "'one'")} * {BITS}) AS INTEGER)) ELSE m END AS mask, CAST(floor({_draw(f"'{SEED}'", "'al'", 'slot')} * 4) AS INTEGER) AS aligner_idx FROM p0)"""
+    pop AS (SELECT slot, CASE WHEN m = 0 THEN (1::BIGINT << CAST(floor({_draw(f"'{SEED}'", "'init'", 'slot', "'one'")} * {BITS}) AS INTEGER)) ELSE m END AS mask, CAST(floor({_draw(f"'{SEED}'", "'al'", 'slot')} * {len(search.ALIGNERS)}) AS INTEGER) AS aligner_idx FROM p0)"""
 _TOY = f"{_POP}, toy AS (SELECT slot, mask, aligner_idx, round(bit_count(mask) / {float(BITS)}::DOUBLE, 6) AS score FROM pop)"
 _G = "'1'"
 
 ORACLE_SQL = {
     "resume_left_anti": "SELECT DISTINCT id FROM rtrace WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM reasoning_flow_gold WHERE id IS NOT NULL)",
-    "sample_per_group": "SELECT id, domain, model FROM (SELECT *, row_number() OVER (PARTITION BY domain, model ORDER BY md5('0:' || id), id) AS r FROM (SELECT DISTINCT id, domain, model FROM rtrace WHERE id IS NOT NULL AND correct AND length(rt) < 6000 AND domain IS NOT NULL AND model IS NOT NULL)) WHERE r = 1",
+    "sample_per_group": "SELECT id, domain, model FROM (SELECT *, row_number() OVER (PARTITION BY domain, model ORDER BY step, md5('0:' || id), id) AS r FROM (SELECT DISTINCT id, domain, model, ceil(length(rt) / 6000) AS step FROM rtrace WHERE id IS NOT NULL AND rt IS NOT NULL AND correct AND domain IS NOT NULL AND model IS NOT NULL)) WHERE r = 1",
     "ls_export_html": f"""WITH {_HA}, b AS (SELECT id, unit_idx, '<p>' || replace(replace(replace(substring(text, s + 1, e - s), '&', '&amp;'), '"', '&quot;'), '<', '&lt;') || '</p>' AS x FROM ha)
         SELECT id, md5('<div>' || string_agg(x, '' ORDER BY unit_idx) || '</div>') AS digest FROM b GROUP BY id""",
     "ls_import_offsets": f"WITH {_HA} SELECT id, 1 AS completed_by, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, label FROM ha",
     "evo_population": f"WITH {_POP} SELECT * FROM pop",
     "evo_mutate": f"""WITH {_POP}, x AS (SELECT slot, aligner_idx, xor(mask, {_mask(lambda i: f"{_draw(f"'{SEED}'", "'flip'", _G, 'slot', f"'{i}'")} < {1.0 / BITS!r}")}) AS m FROM pop)
         SELECT slot, CASE WHEN m = 0 THEN (1::BIGINT << CAST(floor({_draw(f"'{SEED}'", "'bit'", _G, 'slot')} * {BITS}) AS INTEGER)) ELSE m END AS mask,
-        CASE WHEN {_draw(f"'{SEED}'", "'re'", _G, 'slot')} < 0.05 THEN CAST(floor({_draw(f"'{SEED}'", "'which'", _G, 'slot')} * 4) AS INTEGER) ELSE aligner_idx END AS aligner_idx FROM x""",
+        CASE WHEN {_draw(f"'{SEED}'", "'re'", _G, 'slot')} < 0.05 THEN CAST(floor({_draw(f"'{SEED}'", "'which'", _G, 'slot')} * {len(search.ALIGNERS)}) AS INTEGER) ELSE aligner_idx END AS aligner_idx FROM x""",
     "evo_crossover": f"""WITH {_POP}, x AS (SELECT a.slot, a.mask AS ma, b.mask AS mb, a.aligner_idx AS aa, b.aligner_idx AS ab, {_mask(lambda i: f"{_draw(f"'{SEED}'", "'mix'", _G, 'a.slot', f"'{i}'")} < 0.5")} AS mx FROM pop a JOIN pop b ON a.slot = {SIZE - 1} - b.slot)
         SELECT slot, CASE WHEN ((ma & mx) | (mb & ~mx)) = 0 THEN ma ELSE ((ma & mx) | (mb & ~mx)) END AS mask, CASE WHEN {_draw(f"'{SEED}'", "'par'", _G, 'slot')} < 0.5 THEN aa ELSE ab END AS aligner_idx FROM x""",
     "evo_tournament": f"""WITH {_TOY}, k AS (SELECT s.slot AS o, CAST(k.range AS INTEGER) AS k FROM sl s, range(7) k),
@@ -160,7 +167,10 @@ ORACLE_SQL = {
         SELECT o AS slot, mask, aligner_idx, score FROM r WHERE rn = 1""",
     "evo_topk": f"WITH {_TOY} SELECT mask, aligner_idx, score FROM toy ORDER BY score DESC, mask, aligner_idx LIMIT {SIZE // search.ELITE}",
     "evo_decode": f"""WITH {_POP}, b AS (SELECT slot, aligner_idx, list_filter(range({BITS}), lambda i: (mask >> i) & 1 = 1) AS bs FROM pop)
-        SELECT slot, array_to_string(list_transform(bs, lambda i: 'engine' || i), '_') || CASE WHEN len(bs) > 1 THEN '_' || ['union', 'intersect', 'voting', 'fuzzy'][aligner_idx + 1] ELSE '' END AS approach, CAST(len(bs) AS INTEGER) AS n_engines FROM b""",
+        SELECT slot, array_to_string(list_transform(bs, lambda i: 'engine' || i), '_') || CASE WHEN len(bs) > 1 THEN '_' || {search.ALIGNERS}[aligner_idx + 1] ELSE '' END AS approach, CAST(len(bs) AS INTEGER) AS n_engines FROM b""",
+    "evo_report": f"WITH {_TOY} SELECT {search.ALIGNERS}[aligner_idx + 1] AS aligner, count(*) AS n, max(score) AS best, round(avg(score), 9) AS mean FROM toy GROUP BY ALL",
+    "evo_extract": f"""WITH {_TOY}, b AS (SELECT DISTINCT mask, aligner_idx, score, list_transform(list_filter(range({BITS}), lambda i: (mask >> i) & 1 = 1), lambda i: 'engine' || i) AS es FROM toy)
+        SELECT array_to_string(es, '_') || CASE WHEN len(es) > 1 THEN '_' || {search.ALIGNERS}[aligner_idx + 1] ELSE '' END AS approach, array_to_string(es, '+') AS engines, score FROM b""",
     "upsert_ignore": f"""WITH {_TOY}, f AS (SELECT DISTINCT mask, aligner_idx, score FROM toy WHERE slot < 160)
         SELECT mask, aligner_idx, score FROM f UNION ALL SELECT mask, aligner_idx, max(score + 1) FROM toy WHERE slot >= 96 AND NOT EXISTS (SELECT 1 FROM f WHERE f.mask = toy.mask AND f.aligner_idx = toy.aligner_idx) GROUP BY ALL""",
     "bulk_lookup": f"WITH {_TOY} SELECT DISTINCT a.mask, a.aligner_idx, a.score FROM toy a JOIN toy b ON a.mask = b.mask AND a.aligner_idx = b.aligner_idx WHERE a.slot < 160 AND b.slot >= 96",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ANNOTATIONS = "struct<annotations:array<struct<completed_by:int,result:array<struct<value:struct<start:string,end:string,startOffset:int,endOffset:int,hypertextlabels:array<string>>>>>>"
@@ -14,18 +14,17 @@ def boxes(df: DataFrame, text: str, spans: str, out: str = "html") -> DataFrame:
     return df.withColumn(out, F.expr(f"concat('<div>', array_join(transform({spans}, x -> {box}), ''), '</div>')"))
 
 
-def sample_per_group(df: DataFrame, groups: list[str], key: str, n: int = 1, seed: str = "0") -> DataFrame:
-    """n rows of each group, those whose keys have the smallest hashes.
+def sample_per_group(df: DataFrame, groups: list[str], key: str, n: int = 1, seed: str = "0", first: list[str] | None = None) -> DataFrame:
+    """n rows of each group, those smallest in the columns ``first`` and of these the ones whose keys have the smallest hashes.
 
     A group may hold a large part of all rows: the best of each of 32 parts of a
     group come first, then the best of those.
     """
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
-    from pyspark.sql import Window
-
-    part = Window.partitionBy(*groups, F.pmod(F.hash(key), F.lit(32))).orderBy("_h", key)
+    order_by = [*(first or []), "_h", key]
+    part = Window.partitionBy(*groups, F.pmod(F.hash(key), F.lit(32))).orderBy(*order_by)
     few = df.withColumn("_h", order).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= n)
-    return few.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy("_h", key))).where(F.col("_r") <= n).drop("_h", "_r")
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order_by))).where(F.col("_r") <= n).drop("_h", "_r")
 
 
 def imported(tasks: DataFrame, units: DataFrame) -> DataFrame:

@@ -426,3 +426,32 @@ def test_search_operators(spark):
     assert all(sum(1 << int(e) for e in r["engines"]) == r["mask"] for r in back)
     found = search.search(spark, lambda c: c.withColumn("score", F.bit_count("mask") / 8.0), 8, 12, 3)
     assert found.groupBy("mask", "aligner_idx").count().where("count > 1").count() == 0 and found.count() > 12
+
+
+def test_search_fuses_like_the_aligners(spark):
+    rng = random.Random(23)
+
+    def tiling():
+        cuts = sorted(rng.sample(range(1, 40), rng.randint(0, 8)))
+        return list(zip([0, *cuts], [*cuts, 40]))
+
+    data = [(i, [tiling() for _ in range(rng.randint(2, 5))]) for i in range(30)]
+    df = spark.createDataFrame(data, f"id int, all_spans array<{SPAN}>")
+    for name in search.ALIGNERS:
+        out = fusion.graph(df, ["id"]) if name == "graph" else fusion.ALIGNERS[name](df)
+        got = {r["id"]: sorted({b for x in r["fused"] for b in x}) for r in out.select("id", "fused").collect()}
+        for i, segs in data:
+            assert search.fused_boundaries(segs, name).tolist() == got[i], name
+    with pytest.raises(ValueError):
+        search.search(spark, lambda c: c, 8, search.POPULATION + 1, 2)
+
+
+def test_scorer_against_the_metric(spark):
+    rng = random.Random(29)
+    texts_ = [([rng.randint(1, 39) for _ in range(rng.randint(0, 5))], [[(0, k), (k, 40)] for k in rng.sample(range(1, 39), 3)]) for _ in range(15)]
+    df = spark.createDataFrame(texts_, f"gb array<int>, pool array<{SPAN}>")
+    configs = spark.createDataFrame([(m, a) for m in range(1, 8) for a in range(5)], "mask bigint, aligner_idx int")
+    got = {(r["mask"], r["aligner_idx"]): r["score"] for r in search.scorer(df, 3)(configs).collect()}
+    assert len(got) == 35
+    want = df.select(metrics.b_score("gb", "pb").alias("s")) if "pb" in df.columns else df.withColumn("gb", F.array_sort(F.array_distinct("gb"))).withColumn("pb", F.expr("array(pool[1][0].e)")).select(metrics.b_score("gb", "pb").alias("s"))
+    assert got[2, 0] == pytest.approx(want.agg(F.avg("s")).first()[0])
