@@ -239,11 +239,19 @@ def binary_alpha(items: DataFrame, ones: str = "n1", coders: str = "m") -> DataF
     return parts.select(F.when(F.col("t1") * F.col("t0") == 0, F.lit(1.0)).otherwise(1 - (F.col("dis") / n) / (2 * F.col("t1") * F.col("t0") / (n * (n - 1)))).alias("alpha"))
 
 
+#: What engines' names hold, by the letter of their family: rules, probabilities, meaning, language models.
+FAMILIES = {
+    "H": ["newline", "paragraph", "marker", "every", "sentence", "clause"],
+    "L": ["prompted", "reward", "groups", "anchors", "flow", "argument"],
+    "P": ["surprisal", "entropy", "flatness", "topk", "forced"],
+    "S": ["shift", "entailment", "topic", "zeroshot"],
+}
+
+
 def families(name: str) -> str:
     """Letters of the engine families in an experiment's name: H rules, P probabilities, S meaning, L language models."""
     low = f"lower({name})"
-    groups = {"H": ["newline", "marker", "every", "sentence", "clause"], "L": ["prompted", "reward"], "P": ["surprisal", "entropy", "flatness", "topk", "forced"], "S": ["shift", "entailment", "topic", "zeroshot"]}
-    return "concat(" + ", ".join(f"IF({' OR '.join(f'instr({low}, {w!r}) > 0' for w in words)}, '{letter}', '')" for letter, words in sorted(groups.items())) + ")"
+    return "concat(" + ", ".join(f"IF({' OR '.join(f'instr({low}, {w!r}) > 0' for w in words)}, '{letter}', '')" for letter, words in sorted(FAMILIES.items())) + ")"
 
 
 def aligner(name: str) -> str:
@@ -261,9 +269,34 @@ def by_unit(df: DataFrame, name: str = "exp_id", score: str = "score") -> DataFr
     return parts.where("engine <> ''").groupBy("engine").pivot("unit", ["sent", "clause"]).agg(F.avg(score))
 
 
+#: Most experiments of a leaderboard.
+EXPERIMENTS = 100_000
+
+
+def board(scores: DataFrame, texts: int | None = None) -> DataFrame:
+    """(exp_id, n, score, ptime) from (exp_id, score, ptime) of every text; with ``texts`` only of experiments that cover so many."""
+    means = scores.groupBy("exp_id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"), F.avg("ptime").alias("ptime"))
+    return means if texts is None else means.where(F.col("n") == texts)
+
+
+def subset_board(scores: DataFrame, subset: str) -> DataFrame:
+    """(exp_id, subset, n, score): the same for each subset of the texts, such as their domain or their one model."""
+    return scores.groupBy("exp_id", subset).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"))
+
+
+def single_engines(*boards: DataFrame) -> DataFrame:
+    """(exp_id, score_0, score_1 ...): experiments of one engine, which no aligner names, that all boards hold."""
+    out = None
+    for i, b in enumerate(boards):
+        one = b.where(F.expr(aligner("exp_id")) == "none").select("exp_id", F.col("score").alias(f"score_{i}"))
+        out = one if out is None else out.join(one, "exp_id")
+    return out
+
+
 def ranked(df: DataFrame, score: str, tie: str) -> DataFrame:
-    """Adds a dense order by falling score, ties by name.  For tables of experiments, which are few."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
+    """Adds a dense order by falling score, ties by name, to a table of at most ``EXPERIMENTS`` rows, which one task orders."""
+    rank = F.row_number().over(Window.orderBy(F.desc(score), tie))
+    return df.withColumn("rank", F.when(rank <= EXPERIMENTS, rank).otherwise(F.raise_error(F.lit(f"a leaderboard may hold {EXPERIMENTS} experiments")).cast("int")))
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:

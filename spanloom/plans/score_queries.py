@@ -196,11 +196,31 @@ def human_baseline(spark: SparkSession, d: str) -> DataFrame:
     return _humans(spark, d).select("id", F.round(metrics.b_score("ha", "ve", 10), 6).alias("b_score"))
 
 
-def leaderboard_ta(spark: SparkSession, d: str) -> DataFrame:
-    """Experiments by the mean agreement of all pairs of both annotators and the experiment."""
+def _triads(spark: SparkSession, d: str) -> DataFrame:
+    """(id, exp_id, score): mean agreement of all pairs of both annotators and the experiment."""
     both = _humans(spark, d).join(_models(spark, d), "id")
     triad = (metrics.b_score("ha", "ve", 10) + metrics.b_score("ha", "mb", 10) + metrics.b_score("ve", "mb", 10)) / 3
-    board = both.groupBy("exp_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(triad), 6).alias("score"))
+    return both.select("id", "exp_id", triad.alias("score"), F.lit(0.0).alias("ptime"))
+
+
+def leaderboard_subset(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the traces' domain."""
+    domains = read(spark, d, "rtrace").where("id IS NOT NULL").groupBy("id").agg(F.max("domain").alias("domain")).where("domain IS NOT NULL")
+    board = metrics.subset_board(_triads(spark, d).join(domains, "id"), "domain")
+    return board.select("exp_id", "domain", "n", F.round("score", 9).alias("score"))
+
+
+def leaderboard_single(spark: SparkSession, d: str) -> DataFrame:
+    """Single engines' agreement with the annotators and with the gold side by side."""
+    gold = engines.clean(_gold_pairs(spark, d)).select("id", F.expr(metrics.ends("spans")).alias("gb"))
+    flow = gold.join(_models(spark, d), "id").select("exp_id", metrics.b_score("gb", "mb").alias("score"), F.lit(0.0).alias("ptime"))
+    both = metrics.single_engines(metrics.board(_triads(spark, d)), metrics.board(flow, gold.count()))
+    return both.select("exp_id", F.round("score_0", 9).alias("score_ta"), F.round("score_1", 9).alias("score_rf"))
+
+
+def leaderboard_ta(spark: SparkSession, d: str) -> DataFrame:
+    """Experiments by the mean agreement of all pairs of both annotators and the experiment."""
+    board = metrics.board(_triads(spark, d)).select("exp_id", "n", F.round("score", 6).alias("score"))
     return metrics.ranked(board.withColumn("family", F.expr(metrics.families("exp_id"))), "score", "exp_id")
 
 
@@ -221,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fuse_flatten, fuse_union, fuse_intersect, fuse_voting, fuse_fuzzy, fuse_graph, fuse_label_majority, fuse_label_concat, m_boundary, m_near, m_overlap, m_windows, m_density, m_intrinsic, m_alpha,
-        eval_pair_matrix, eval_consensus, eval_fuzzy_agreement, eval_aggregate, eval_json, leaderboard_rf, leaderboard_ta, human_baseline, score_boxes, score_density,
+        eval_pair_matrix, eval_consensus, eval_fuzzy_agreement, eval_aggregate, eval_json, leaderboard_rf, leaderboard_ta, leaderboard_subset, leaderboard_single, human_baseline, score_boxes, score_density,
     )
 }
 
@@ -269,7 +289,14 @@ def _humans_sql(name: str, table: str) -> str:
 
 
 _TA = f"{_humans_sql('ha', 'thought_anchor_gold_ha')},{_humans_sql('ve', 'thought_anchor_gold_ve')}"
-_FAMILY = "CASE exp_id WHEN 'newline_sent' THEN 'H' WHEN 'marker_sent' THEN 'H' WHEN 'every_sent' THEN 'H' ELSE 'H' END"
+_FAMILY = "concat(" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(exp_id), '{w}')" for w in words) + f" THEN '{letter}' ELSE '' END" for letter, words in sorted(metrics.FAMILIES.items())) + ")"
+_TRIADS = f"""{_MODELS},{_TA},
+        hm AS MATERIALIZED (SELECT ha.id, ha.b AS a, ve.b AS b FROM ha JOIN ve ON ha.id = ve.id),
+        tri AS MATERIALIZED (SELECT hm.id, exp_id, a, b, mb AS c FROM hm JOIN md ON hm.id = md.id),
+        ab AS MATERIALIZED (SELECT id, exp_id, a, b, c, {sql.b_score('a', 'b', 10)} AS x FROM tri),
+        ac AS MATERIALIZED (SELECT id, exp_id, b, c, x, {sql.b_score('a', 'c', 10)} AS y FROM ab),
+        bc AS MATERIALIZED (SELECT id, exp_id, x, y, {sql.b_score('b', 'c', 10)} AS z FROM ac),
+        td AS (SELECT id, exp_id, (x + y + z) / 3 AS score FROM bc)"""
 _GOLD_TAIL = _GOLD.replace(sql.TRACES + ",", "", 1)
 
 ORACLE_SQL = {
@@ -317,30 +344,13 @@ ORACLE_SQL = {
     "leaderboard_rf": f"""WITH {_MODELS},{_GOLD_TAIL},{sql.cleaned('gc', 'gp', 'o')},{sql.boundaries('gl', 'gc', 'o')},
         bo AS (SELECT exp_id, count(*) AS n, round(avg({sql.b_score('gl.b', 'md.mb')}), 6) AS score FROM gl JOIN md ON gl.id = md.id GROUP BY exp_id HAVING count(*) = (SELECT count(*) FROM gl))
         SELECT exp_id, n, score, {_FAMILY} AS family, CASE WHEN contains(exp_id, 'voting') THEN 'voting' ELSE 'none' END AS aligner, CAST(row_number() OVER (ORDER BY score DESC, exp_id) AS INTEGER) AS rank FROM bo""",
-    "leaderboard_ta": f"""WITH {_MODELS},{_TA},
-        hm AS MATERIALIZED (SELECT ha.id, ha.b AS a, ve.b AS b FROM ha JOIN ve ON ha.id = ve.id),
-        tri AS MATERIALIZED (SELECT exp_id, a, b, mb AS c FROM hm JOIN md ON hm.id = md.id),
-        ab AS MATERIALIZED (SELECT exp_id, a, b, c, {sql.b_score('a', 'b', 10)} AS x FROM tri),
-        ac AS MATERIALIZED (SELECT exp_id, b, c, x, {sql.b_score('a', 'c', 10)} AS y FROM ab),
-        bc AS MATERIALIZED (SELECT exp_id, x, y, {sql.b_score('b', 'c', 10)} AS z FROM ac),
-        bo AS (SELECT exp_id, count(*) AS n, round(avg((x + y + z) / 3), 6) AS score FROM bc GROUP BY exp_id)
+    "leaderboard_ta": f"""WITH {_TRIADS}, bo AS (SELECT exp_id, count(*) AS n, round(avg(score), 6) AS score FROM td GROUP BY exp_id)
         SELECT exp_id, n, score, {_FAMILY} AS family, CAST(row_number() OVER (ORDER BY score DESC, exp_id) AS INTEGER) AS rank FROM bo""",
-    "score_density": f"""{_SCORES}, va AS (SELECT domain, round(round(b_score, 6), 4) AS v, count(*) AS c FROM sc JOIN documents ON sc.id = documents.doc_id WHERE domain IS NOT NULL AND b_score BETWEEN 0 AND 1 GROUP BY ALL),
-        en AS (SELECT domain FROM va GROUP BY domain HAVING sum(c) >= 10), gr AS (SELECT va.domain, v, c, i / 100.0::DOUBLE AS x FROM va JOIN en ON va.domain = en.domain, (SELECT unnest(range(101)) AS i)),
-        cu AS (SELECT domain, x, sum(c * exp(-0.5 * pow((x - v) / 0.05, 2))) AS d FROM gr GROUP BY ALL)
-        SELECT domain, round(x, 6) AS x, round(d / max(d) OVER (PARTITION BY domain), 6) AS density FROM cu""",
-    "fuse_graph": f"""WITH RECURSIVE {_ENG},
-        w AS (SELECT id, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, count(*) AS n FROM seg GROUP BY ALL),
-        nd AS (SELECT id, b, CAST(row_number() OVER (PARTITION BY id ORDER BY b) AS INTEGER) AS r FROM (SELECT id, s AS b FROM w UNION SELECT id, e FROM w)),
-        ed AS (SELECT w.id, x.r AS si, y.r AS ei, n FROM w JOIN nd x ON w.id = x.id AND w.s = x.b JOIN nd y ON w.id = y.id AND w.e = y.b),
-        gr AS (SELECT nd.id, nd.r, nd.b, coalesce(list({'{'}'s': si, 'n': n{'}'} ORDER BY si) FILTER (WHERE si < nd.r), []) AS es, max(nd.r) OVER (PARTITION BY nd.id) AS m FROM nd LEFT JOIN ed ON nd.id = ed.id AND nd.r = ed.ei GROUP BY nd.id, nd.r, nd.b),
-        dp AS (SELECT id, 1 AS r, m, [0::BIGINT] AS t, [0] AS p FROM gr WHERE r = 1
-            UNION ALL
-            SELECT id, r, m, list_append(t, coalesce(bn, 0)), list_append(p, CASE WHEN bn > 0 THEN es[list_position(list_transform(es, lambda z: t[z.s] + z.n), bn)].s ELSE 0 END)
-            FROM (SELECT dp.id, gr.r, dp.m, t, p, es, list_max(list_transform(es, lambda z: t[z.s] + z.n)) AS bn FROM dp JOIN gr ON dp.id = gr.id AND gr.r = dp.r + 1)),
-        pa AS (SELECT id, m AS r, p FROM dp WHERE r = m UNION ALL SELECT id, p[r], p FROM pa WHERE p[r] > 0),
-        pt AS (SELECT pa.id, nd.b FROM pa JOIN nd ON pa.id = nd.id AND pa.r = nd.r UNION SELECT id, 0 FROM nd UNION SELECT id, b FROM nd WHERE r = 1)
-        {_PAIR.format(src='pt')}""",
+    "leaderboard_subset": f"WITH {_TRIADS}, dm AS (SELECT id, max(domain) AS domain FROM rtrace GROUP BY id) SELECT exp_id, domain, count(*) AS n, round(avg(score), 9) AS score FROM td JOIN dm ON td.id = dm.id WHERE domain IS NOT NULL GROUP BY ALL",
+    "leaderboard_single": f"""WITH {_TRIADS},{_GOLD_TAIL},{sql.cleaned('gc', 'gp', 'o')},{sql.boundaries('gl', 'gc', 'o')},
+        rf AS (SELECT exp_id, avg({sql.b_score('gl.b', 'md.mb')}) AS score FROM gl JOIN md ON gl.id = md.id GROUP BY exp_id HAVING count(*) = (SELECT count(*) FROM gl)),
+        ta AS (SELECT exp_id, avg(score) AS score FROM td GROUP BY exp_id)
+        SELECT ta.exp_id, round(ta.score, 9) AS score_ta, round(rf.score, 9) AS score_rf FROM ta JOIN rf ON ta.exp_id = rf.exp_id WHERE NOT contains(ta.exp_id, 'voting')""",
     "score_boxes": f"{_SCORES} SELECT domain, count(*) AS n, min(round(b_score, 6)) AS low, round(quantile_cont(round(b_score, 6), 0.25), 6) AS q1, round(quantile_cont(round(b_score, 6), 0.5), 6) AS median, round(quantile_cont(round(b_score, 6), 0.75), 6) AS q3, max(round(b_score, 6)) AS high FROM sc JOIN documents ON sc.id = documents.doc_id WHERE domain IS NOT NULL GROUP BY domain",
     "eval_consensus": f"""WITH {_ENG},{sql.boundaries('l1', 'nl')},{sql.boundaries('l2', 'mk')},{sql.boundaries('l3', 'ch')}, e AS (SELECT t.id, coalesce(l1.b, CAST([] AS INTEGER[])) AS a, coalesce(l2.b, CAST([] AS INTEGER[])) AS b, coalesce(l3.b, CAST([] AS INTEGER[])) AS c FROM texts t LEFT JOIN l1 ON t.id = l1.id LEFT JOIN l2 ON t.id = l2.id LEFT JOIN l3 ON t.id = l3.id)
         SELECT id AS doc_id, round((({sql.b_score('a', 'b')}) + ({sql.b_score('a', 'c')}) + ({sql.b_score('b', 'c')})) / 3, 6) AS consensus FROM e""",

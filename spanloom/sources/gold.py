@@ -33,3 +33,9 @@ def spans(gold: DataFrame) -> DataFrame:
 
 def edges(gold: DataFrame) -> DataFrame:
     return gold.select("doc_id", F.explode("edges").alias("e")).select("doc_id", "e.*")
+
+
+def upload(gold: DataFrame, path: str) -> None:
+    """Writes the three projections of gold documents as tables samples, rtrace and reasoning_flow_gold under a path."""
+    for name, rows in {"samples": samples(gold), "rtrace": traces(gold), "reasoning_flow_gold": spans(gold)}.items():
+        rows.where("id IS NOT NULL").dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{path}/{name}.parquet")

@@ -398,6 +398,21 @@ def test_gold_files(spark, tmp_path):
     assert gold.spans(g).first() == ("d", [[0, 6]], ["y"]) and gold.edges(g).count() == 1 and gold.traces(g).first()["rt"] == "abcdef" and gold.samples(g).first()["question"] == "q"
 
 
+def test_upload_and_boards(spark, tmp_path):
+    doc = {"doc_id": "d", "raw_text": {"question": "q", "response": "abcdef"}, "metadata": {"batch": 1}, "nodes": [{"id": "r", "start": 0, "end": 6, "label": "y", "source": "response"}]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(doc, indent=1))
+    gold.upload(gold.read_gold(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+    assert rows(spark.read.parquet(str(tmp_path / "out" / "reasoning_flow_gold.parquet"))) == [("d", [[0, 6]], ["y"])]
+    assert spark.read.parquet(str(tmp_path / "out" / "samples.parquet")).first()["question"] == "q"
+    scores = spark.createDataFrame([("newline_sent", 1.0, 2.0, "a"), ("newline_sent", 0.0, 4.0, "b"), ("newline_marker_voting_sent", 1.0, 1.0, "a")], "exp_id string, score double, ptime double, domain string")
+    assert rows(metrics.board(scores, 2)) == [("newline_sent", 2, 0.5, 3.0)]
+    assert rows(metrics.subset_board(scores, "domain")) == [("newline_marker_voting_sent", "a", 1, 1.0), ("newline_sent", "a", 1, 1.0), ("newline_sent", "b", 1, 0.0)]
+    assert rows(metrics.single_engines(metrics.board(scores), metrics.board(scores))) == [("newline_sent", 0.5, 0.5)]
+    pred = spark.createDataFrame([("x", 10, [(0, 5), (5, 10)], [(0, 5), (5, 10)]), ("y", 10, [(0, 5), (5, 10)], [(0, 10)])], f"exp_id string, n int, gold {SPAN}, pred {SPAN}")
+    assert [r["exp_id"] for r in metrics.table(pred, "exp_id").collect()] == ["x", "y"]
+
+
 def test_annotation_round_trip(spark):
     df = spark.createDataFrame([("d", 'a "b" <c>', [(0, 4), (4, 9)], ["x", "y"])], f"id string, text string, units {SPAN}, labels array<string>")
     assert annotation_tool.boxes(df, "text", "units").first()["html"] == "<div><p>a &quot;b</p><p>&quot; &lt;c></p></div>"
