@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.partitions import spread
+from spanloom.partitions import once, spread
 
 #: Classes; the last one holds all smaller texts.
 CLASSES = 8
@@ -136,12 +136,12 @@ def _filled(ids: np.ndarray, sizes: np.ndarray, capacity: int, worker: int, firs
     return batch, first + n + len(cut_ids)
 
 
-def fill_containers(documents: DataFrame, limits: DataFrame, purpose: str = "doc_containers", tokenizer: str | None = None, distinct_ids: bool = True) -> DataFrame:
+def fill_containers(documents: DataFrame, limits: DataFrame, purpose: str = "doc_containers", tokenizer: str | None = None) -> DataFrame:
     """(container, doc_id, part, position, n_tokens): the filling of containers with all texts.
 
     ``part`` counts the pieces of a text beyond the capacity (0 for all others).
-    Texts stay in the partitions they are read in, no row is shuffled; with
-    ``distinct_ids`` false, repeated ids are dropped first.
+    Texts stay in the partitions they are read in; only those of ids that are
+    counted to stand there several times are shuffled, and the longest one counts.
     """
     limit = limits.where(F.col("purpose") == purpose).select("capacity").orderBy("capacity").first()
     schema = "container bigint, doc_id bigint, part int, position int, n_tokens int"
@@ -166,7 +166,5 @@ def fill_containers(documents: DataFrame, limits: DataFrame, purpose: str = "doc
         if held:
             yield _filled(np.concatenate(ids), np.concatenate(sizes), capacity, worker, first)[0]
 
-    rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
-    if not distinct_ids:
-        rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = once(documents.select("doc_id", "text"), "doc_id", [F.length("text"), F.col("text")])
     return spread(rows).mapInArrow(fill, schema)

@@ -255,10 +255,10 @@ def test_packing(spark):
 
 
 def test_filling(spark):
-    docs = spark.createDataFrame([(1, "short text", 7), (2, "word " * 500, 7), (3, None, 7), (4, "", 7), (None, "x", 7), (5, "<|endoftext|> ok", 7)], "doc_id bigint, text string, container int")
+    docs = spark.createDataFrame([(1, "short text", 7), (2, "word " * 500, 7), (3, None, 7), (4, "", 7), (None, "x", 7), (5, "<|endoftext|> ok", 7), (5, "<|endoftext|> ok", 7)], "doc_id bigint, text string, container int")
     limits = spark.createDataFrame([("doc_containers", "token", 100, None)], "purpose string, unit string, capacity int, overlap int")
     out = packing.fill_containers(docs, limits).toPandas()
-    assert out.groupby("container").n_tokens.sum().max() <= 100 and set(out.doc_id) == {1, 2, 5}
+    assert out.groupby("container").n_tokens.sum().max() <= 100 and set(out.doc_id) == {1, 2, 5} and (out.doc_id == 5).sum() == 1
     assert out[out.doc_id == 2].n_tokens.sum() == packing.count_tokens("word " * 500, packing.tokenizer_path())
     assert packing.fill_containers(docs, limits.limit(0)).count() == 0 and packing.fill_containers(docs.limit(0), limits).count() == 0
 
