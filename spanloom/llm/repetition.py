@@ -50,6 +50,7 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 200, 20_000
 
 _DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}"
 _TOKEN = regex.compile(rf"[{_DENSE}]|\d+(?:[.,/:]\d+)*|[^\W\d_{_DENSE}]+|[^\w\s]", regex.V0)
+_ASCII_TOKEN = re.compile(r"\d+(?:[.,/:]\d+)*|[^\W\d_]+|[^\w\s]", re.ASCII)  # the same for texts of these letters alone
 _SENTENCE = re.compile(r"(?<=[.!?。！？।؟])\s+|(?<=[。！？])|\n+")
 _NUMBER = re.compile(r"[-−]?\d+(?:[.,/:]\d+)*")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +97,7 @@ def _repeat_mask(h: np.ndarray, k: int) -> np.ndarray | None:
 
 def _shares(low: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of a text without letter case, one for all numbers, and the letters of each token."""
-    tokens = _TOKEN.findall(low)
+    tokens = (_ASCII_TOKEN if low.isascii() else _TOKEN).findall(low)
     ids = {t: 0 if t[0].isdigit() else n for n, t in enumerate(dict.fromkeys(tokens), 1)}
     size = len(tokens)
     return np.fromiter(map(ids.__getitem__, tokens), dtype=np.uint64, count=size), np.fromiter(map(len, tokens), dtype=np.int64, count=size)
