@@ -268,8 +268,8 @@ def step_turns(scores: np.ndarray, ends: np.ndarray, span: int = 4, quantile: fl
     after = (total[ahead] - total[i]) / (ahead - i)
     before = np.where(i > 0, (total[i] - total[back]) / np.maximum(i - back, 1), scores)
     size = np.abs(after - before)
-    z = (size - size.mean()) / (size.std() + EPSILON)
-    bar = np.quantile(z, quantile)
+    z = np.round(_z(size), 9)
+    bar = np.round(np.quantile(z, quantile), 9)
     out, current = [], 0
     for k in np.flatnonzero(z[:-1] > bar * (0.5 + 0.5 * np.minimum(i[:-1] / 5, 1))).tolist():
         if ends[k] - current > least:

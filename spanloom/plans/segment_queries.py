@@ -340,6 +340,10 @@ def _zero_shot_sql(scheme: str) -> str:
 
 _MICRO = rf"{_WORDS.format(x='piece')} >= 3 AND length(regexp_replace(piece, '^{_SPACE}+|{_SPACE}+$', '', 'g')) >= 10"
 
+#: Score of a premise's and a hypothesis' words, null without a hypothesis.
+_SHARE = "(CASE WHEN len({t}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({p}, {t}))::DOUBLE / len({t}) END)"
+_ENTAILED = f"CASE WHEN {{t}} IS NOT NULL THEN least(greatest({_SHARE} + 0.4::DOUBLE * ((1.0::DOUBLE - {_SHARE}) / 2.0::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE) END"
+
 ORACLE_SQL = {
     "mask_spans": f"""WITH {sql.DOCUMENTS},
         m AS (SELECT id, n, regexp_extract_all(text, '{MASK_PATTERN}') AS bs, regexp_split_to_array(text, '{MASK_PATTERN}') AS gs FROM texts),
@@ -402,6 +406,26 @@ ORACLE_SQL = {
     "seg_argument": f"""WITH {_LABELLED}, kept AS (SELECT * FROM (SELECT *, max(seg_idx) OVER (PARTITION BY id) AS top FROM runs) WHERE top = 0 OR seg_idx < top)
         SELECT kept.id AS doc_id, seg_idx, CASE WHEN seg_idx = 0 THEN 0 ELSE s END AS s, CAST(coalesce(lead(s) OVER (PARTITION BY kept.id ORDER BY seg_idx), n) AS INTEGER) AS e, {_named('argument')} AS label FROM kept JOIN texts ON kept.id = texts.id""",
     "seg_unit_groups": f"WITH {sql.DOCUMENTS},{sql.units()} SELECT id AS doc_id, CAST(unit_idx // 3 AS INTEGER) AS seg_idx, min(s) AS s, max(e) AS e FROM u GROUP BY id, unit_idx // 3",
+    "seg_step_reward": f"""WITH RECURSIVE {sql.DOCUMENTS},{sql.units()},
+        sc AS (SELECT id, unit_idx AS k, e, len(regexp_extract_all(piece, '[0-9]'))::DOUBLE / (e - s) AS v FROM u),
+        dl AS (SELECT id, k, e, lead(e) OVER w AS e1, abs(avg(v) OVER (w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) - coalesce(avg(v) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), v)) AS d FROM sc WINDOW w AS (PARTITION BY id ORDER BY k)),
+        z AS (SELECT id, k, e, e1, round((d - avg(d) OVER p) / (stddev_pop(d) OVER p + 1e-6), 9) AS z FROM dl WINDOW p AS (PARTITION BY id)),
+        q AS (SELECT id, round(quantile_cont(z, 0.6), 9) AS bar FROM z GROUP BY id),
+        c AS (SELECT z.id, k, e, e1 FROM z JOIN q ON z.id = q.id WHERE e1 IS NOT NULL AND z > bar * (0.5::DOUBLE + 0.5::DOUBLE * least(k / 5.0::DOUBLE, 1.0::DOUBLE))),
+        r AS (SELECT DISTINCT id, -1 AS k, NULL::INTEGER AS b, 0 AS cur FROM c
+            UNION ALL SELECT r.id, min(c.k), min_by(c.e, c.k), min_by(c.e1, c.k) FROM r JOIN c ON r.id = c.id AND c.k > r.k AND c.e - r.cur > 4 GROUP BY r.id)
+        SELECT id AS doc_id, b FROM r WHERE b IS NOT NULL""",
+    "seg_entailment": f"""WITH RECURSIVE m AS ({_grouped(f"{sql.DOCUMENTS},{sql.units()}", _MICRO)}),
+        w AS (SELECT doc_id AS id, unit_idx AS i, s, e, list_distinct(regexp_extract_all(lower(substring(text, s + 1, e - s)), '[\\p{{L}}\\p{{N}}]+')) AS ws FROM m JOIN documents USING (doc_id)),
+        x AS (SELECT *, lag(ws) OVER o AS p1, list_distinct(list_concat(lag(ws, 2) OVER o, lag(ws) OVER o)) AS p2, lead(ws) OVER o AS nx FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+        f AS (SELECT id, i, {', '.join(f"{_ENTAILED.format(p=p, t=t)} AS {name}" for name, p, t in (('a1', 'p1', 'ws'), ('a2', 'p2', 'ws'), ('b1', 'p1', 'nx'), ('b2', 'p2', 'nx')))} FROM x),
+        r AS (SELECT id, i, 0 AS head, 0.85::DOUBLE AS av FROM w WHERE i = 0
+            UNION ALL
+            SELECT id, i, CASE WHEN joins THEN head ELSE i END, CASE WHEN joins THEN 0.7::DOUBLE * av + 0.3::DOUBLE * score ELSE 0.85::DOUBLE END FROM (
+                SELECT f.id, f.i, head, av, CASE WHEN f.i - head >= 2 THEN a2 ELSE a1 END AS score,
+                    CASE WHEN f.i - head >= 2 THEN a2 ELSE a1 END >= greatest(av - 0.15::DOUBLE, 0.25::DOUBLE) OR coalesce(CASE WHEN f.i - head >= 2 THEN b2 ELSE b1 END, 0.0::DOUBLE) >= greatest(av - 0.15::DOUBLE, 0.25::DOUBLE) AS joins
+                FROM r JOIN f ON r.id = f.id AND f.i = r.i + 1))
+        SELECT r.id AS doc_id, CAST(row_number() OVER (PARTITION BY r.id ORDER BY head) - 1 AS INTEGER) AS seg_idx, min(s) AS s, max(e) AS e FROM r JOIN w ON r.id = w.id AND r.i = w.i GROUP BY r.id, head""",
     "seg_zero_shot": _zero_shot_sql("reasoning_flow"),
     "seg_zero_shot_ta": _zero_shot_sql("thought_anchor"),
     "seg_offset_chunks": f"""WITH RECURSIVE {sql.DOCUMENTS},
