@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.arrays import tiled_spans
 from spanloom.partitions import joined, spread
 
 #: Tokens that tile a text: a word with the space before it, or a single other character.
@@ -235,14 +236,21 @@ def js_distance(a: str, b: str) -> str:
     return f"sqrt(greatest(0D, 0.5D * aggregate(transform({zipped}, x -> {kl}), 0D, (t, v) -> t + v)))"
 
 
-def topk_shift(pairs: DataFrame, key: str, k: int = 20) -> DataFrame:
-    """(key, tok_idx, char_s, delta): distance between the next-token shares before and behind each hard mark."""
-    top = top_tokens(bigram_counts(pairs), k)
-    w = Window.partitionBy(key).orderBy("tok_idx")
-    spots = pairs.withColumn("prev2", F.lag("prev").over(w)).where(F.col("prev").isin(HARD_MARKS) & (F.col("tok_idx") >= 1))
-    # distances of the distinct pairs of contexts, of which there are few beside the spots
+def topk_shift(df: DataFrame, key: str, text: str = "text", k: int = 20) -> DataFrame:
+    """(key, tok_idx, char_s, delta): distance between the next-token shares before and behind each hard mark.
+
+    Only the tokens behind hard marks become rows; they meet the distances of the
+    distinct pairs of contexts, of which there are few.
+    """
+    own = df.where(F.col(text).isNotNull()).select(key, F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1)).alias("tokens"))
+    top = top_tokens(bigram_counts(own.select(F.inline(F.expr(_PAIRS)))), k)
+    marks = ", ".join("'" + m.replace("\n", "\\n") + "'" for m in HARD_MARKS)
+    at = f"filter(transform(tokens, (x, i) -> named_struct('tok_idx', i, 'char_s', get(_t, i).s, 'prev', get(tokens, i - 1), 'prev2', IF(i = 1, '', get(tokens, i - 2)))), y -> y.prev IN ({marks}))"
+    tiled = own.withColumn("_t", tiled_spans(F.transform("tokens", F.length)))
+    spots = tiled.select(key, F.explode_outer(F.expr(at)).alias("y")).where("y IS NOT NULL").select(key, "y.*")
     contexts = spots.select("prev", "prev2").distinct().join(top, "prev").join(top.select(F.col("prev").alias("prev2"), F.col("top").alias("top2")), "prev2")
-    return spots.join(contexts.select("prev", "prev2", F.expr(js_distance("top2", "top")).alias("delta")), ["prev", "prev2"]).select(key, "tok_idx", "char_s", "delta")
+    deltas = contexts.select("prev", "prev2", F.expr(js_distance("top2", "top")).alias("delta"))
+    return joined(spots, deltas, ["prev", "prev2"], F.xxhash64(key, "tok_idx")).select(key, "tok_idx", "char_s", "delta")
 
 
 def spans_from(boundaries: DataFrame, lengths: DataFrame, key: str) -> DataFrame:

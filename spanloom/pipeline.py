@@ -44,7 +44,7 @@ def _scored(score: str, window: int, quantile: float, flat: bool = False) -> Eng
 
 
 def _topk(texts: DataFrame, key: str, k: int = 20, quantile: float = 0.9) -> DataFrame:
-    found = series.threshold_boundaries(series.topk_shift(series.bigrams(series.tokens(texts, key), key), key, k), key, quantile, True)
+    found = series.threshold_boundaries(series.topk_shift(texts, key, k=k), key, quantile, True)
     return series.spans_from(found, texts.select(key, "n"), key)
 
 

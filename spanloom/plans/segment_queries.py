@@ -157,8 +157,7 @@ def seg_flatness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seg_topk_shift(spark: SparkSession, d: str) -> DataFrame:
-    pairs = series.bigrams(series.tokens(texts(spark, d), "id"), "id")
-    return _cut(series.topk_shift(pairs, "id").withColumn("delta", F.round("delta", 9)), 0.9, True)
+    return _cut(series.topk_shift(texts(spark, d), "id").withColumn("delta", F.round("delta", 9)), 0.9, True)
 
 
 def seg_forced(spark: SparkSession, d: str) -> DataFrame:
