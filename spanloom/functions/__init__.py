@@ -9,14 +9,6 @@ in ``arrays``.
 
 from __future__ import annotations
 
-def retile(spans: str, length: str) -> str:
-    """Spans of which each ends where the next starts and the last at the end of the text; a lone one is the whole text."""
-    return (
-        f"CASE WHEN size({spans}) = 1 THEN array(named_struct('s', 0, 'e', {length})) ELSE "
-        f"transform({spans}, (x, i) -> named_struct('s', x.s, 'e', CAST(coalesce(get({spans}, i + 1).s, {length}) AS int))) END"
-    )
-
-
 def ends(spans: str) -> str:
     """Evaluation boundaries: the ends of all spans but the last."""
     return f"slice(transform({spans}, x -> x.e), 1, greatest(size({spans}) - 1, 0))"

@@ -113,6 +113,19 @@ def overlap_merged_spans(spans: pa.Array) -> pa.Array:
     return _merge(spans, False)
 
 
+@arrow_udf(SPANS)
+def retiled_spans(spans: pa.Array, n: pa.Array) -> pa.Array:
+    """Spans of which each ends where the next starts and the last at the end of the text; a lone one is the whole text."""
+    sizes, flat = _flat(spans)
+    row, start = _rows(sizes), flat.field(0)
+    at = np.arange(len(row))
+    last = np.append(row[1:] != row[:-1], True) if len(row) else row.astype(bool)
+    end = n.cast(pa.int32()).take(pa.array(row))
+    following = pc.if_else(pa.array(last), end, pc.coalesce(start.take(pa.array(np.minimum(at + 1, max(len(row) - 1, 0)))), end))
+    start = pc.if_else(pa.array(sizes[row] == 1), pa.scalar(0, pa.int32()), start.cast(pa.int32()))
+    return _lists(sizes, pa.StructArray.from_arrays([start, following.cast(pa.int32())], ["s", "e"]), spans)
+
+
 @arrow_udf(LABELLED)
 def label_runs(units: pa.Array) -> pa.Array:
     """Runs of equal labels (null equals null) of (s, e, label) units: the first unit's start to the last unit's end."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import arrays, retile
+from spanloom.functions import arrays
 from spanloom.operators.units import SENTENCE_PATTERN
 
 # --------------------------------------------------------------------------
@@ -72,7 +72,7 @@ def every(df: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 def clean(df: DataFrame, spans: str = "spans", length: str = "n") -> DataFrame:
     """Replaces spans by their repaired form: contiguous to the end of the text."""
-    return df.withColumn(spans, F.expr(retile(spans, length)))
+    return df.withColumn(spans, arrays.retiled_spans(F.col(spans), F.col(length)))
 
 
 # -- runs of equal labels -----------------------------------------------------
